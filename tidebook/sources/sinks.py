@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +26,14 @@ class WriteMismatch(RuntimeError):
     """A written partition does not hold the rows that were to be written."""
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return fs.exists(hadoop_path)
+def held_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, None where nothing was written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def upsert(df: DataFrame, path: str, keys: Sequence[str], partition: str, order: Sequence[Column] = ()) -> None:
@@ -41,10 +46,11 @@ def upsert(df: DataFrame, path: str, keys: Sequence[str], partition: str, order:
     """
     spark = df.sparkSession
     fresh = latest_by_key(df, list(keys), list(order))
-    if _exists(spark, path):
+    held = held_table(spark, path)
+    if held is not None:
         fresh = staged(fresh, "upsert-in")
         touched = fresh.select(partition).distinct()
-        held = spark.read.parquet(path).join(touched, partition, "left_semi")
+        held = held.join(touched, partition, "left_semi")
         both = held.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)), allowMissingColumns=True)
         fresh = staged(latest_by_key(both, list(keys), [F.col("_new")]).drop("_new"), "upsert-out")
     # Rows of one partition value may be many; only the session's own file splits bound a file.

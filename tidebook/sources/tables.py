@@ -26,6 +26,16 @@ def _participant(nation: str, alias: str) -> Column:
     return F.concat(F.lit("N"), F.col(nation)).alias(alias)
 
 
+def _price(rough: bool = False) -> Column:
+    """Unit price in whole thousandths, so that every sum of values is exact."""
+    unit = (
+        F.col("l_extendedprice") / F.col("l_quantity")
+        if rough
+        else F.col("p_retailprice") * (F.lit(1.0) - F.col("l_discount"))
+    )
+    return F.round(unit * 1000.0)
+
+
 def trades(spark: SparkSession, root: str, lineitem: DataFrame | None = None) -> DataFrame:
     """One row per trade with its buying and selling participant."""
     li = table(spark, root, "lineitem") if lineitem is None else lineitem
@@ -46,7 +56,7 @@ def trades(spark: SparkSession, root: str, lineitem: DataFrame | None = None) ->
             "participant_buy",
             "participant_sell",
             F.col("l_quantity").alias("volume"),
-            (price * F.col("l_quantity")).alias("value"),
+            (_price() * F.col("l_quantity")).alias("value"),
             F.col("l_linestatus").alias("line_status"),
             F.col("l_returnflag").alias("return_flag"),
         )
@@ -56,11 +66,7 @@ def trades(spark: SparkSession, root: str, lineitem: DataFrame | None = None) ->
 def bars(spark: SparkSession, root: str, rough: bool = False) -> DataFrame:
     """Daily bars. ``rough`` uses the noisy unit price, which gaps on most days."""
     part = table(spark, root, "part").select("p_partkey", _ticker(), "p_retailprice")
-    price = (
-        F.col("l_extendedprice") / F.col("l_quantity")
-        if rough
-        else F.col("p_retailprice") * (F.lit(1.0) - F.col("l_discount"))
-    )
+    price = _price(rough)
     # Trades of a day are ordered by (order, line, cents of the price paid). The
     # three are packed into one long because a fixed-width ordering value keeps
     # the aggregate a hash aggregate; a struct would force a sort of all trades.

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from tidebook.operators.caches import prune
 from tidebook.operators.outcomes import apply_updates, refresh_pending
 from tidebook.operators.participants import aggregate_trades
-from tidebook.sources.sinks import _exists, upsert
+from tidebook.sources.sinks import held_table, upsert
 
 FLOW_KEYS = ("ticker", "trade_date", "participant")
 
@@ -94,9 +94,9 @@ def refresh_outcomes_on_bars(
     def advance(batch: DataFrame, _batch_id: int) -> None:
         spark = batch.sparkSession
         upsert(batch, price_path, ("ticker", "trade_date", "source"), "trade_date", [F.col("ingested_at")])
-        if not _exists(spark, outcome_path):
+        outcomes = held_table(spark, outcome_path)
+        if outcomes is None:
             return
-        outcomes = spark.read.parquet(outcome_path)
         names = universe.join(batch.select("ticker").distinct(), "ticker", "left_semi")
         prices = spark.read.parquet(price_path).join(names.select("ticker"), "ticker", "left_semi")
         updates = refresh_pending(outcomes, names, prices)
