@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 import sys
 import time
@@ -22,33 +21,42 @@ def oracle_connection(root: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _cell(value: object) -> object:
-    if value is None or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
-        return None
-    if isinstance(value, pd.Timestamp):
-        return value.isoformat()
-    if hasattr(value, "isoformat"):
-        return pd.Timestamp(value).isoformat()
-    if hasattr(value, "item"):
-        return value.item()
-    return value
+def _plain(column: pd.Series) -> pd.Series:
+    """Numbers as floats, everything else as text, missing values as one mark."""
+    if pd.api.types.is_bool_dtype(column) or column.dropna().map(type).eq(bool).all() and len(column.dropna()):
+        return column.map({True: "true", False: "false"}).fillna("-")
+    if pd.api.types.is_numeric_dtype(column):
+        return column.astype("Float64").astype("float64")
+    if pd.api.types.is_datetime64_any_dtype(column) or column.dropna().map(lambda v: hasattr(v, "isoformat")).all():
+        return pd.to_datetime(column).astype("datetime64[us]").astype(str)
+    return column.astype(str)
 
 
-def rows_of(frame: pd.DataFrame) -> list[tuple]:
-    frame = frame[sorted(frame.columns)].astype(object)
-    return sorted((tuple(_cell(v) for v in row) for row in frame.itertuples(index=False)), key=repr)
+def plain(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame[sorted(frame.columns)]
+    out = pd.DataFrame({c: _plain(frame[c]) for c in frame.columns})
+    return out.sort_values(list(out.columns)).reset_index(drop=True)
 
 
 def differences(spark_frame: pd.DataFrame, oracle_frame: pd.DataFrame) -> list[str]:
     if sorted(spark_frame.columns) != sorted(oracle_frame.columns):
         return [f"columns {sorted(spark_frame.columns)} / {sorted(oracle_frame.columns)}"]
-    left, right = rows_of(spark_frame), rows_of(oracle_frame)
-    if left == right:
-        return []
-    out = [f"rows {len(left)} / {len(right)}, columns {sorted(spark_frame.columns)}"]
-    only_left, only_right = sorted(set(left) - set(right), key=repr), sorted(set(right) - set(left), key=repr)
-    out += [f"- {r}" for r in only_left[:2]] + [f"+ {r}" for r in only_right[:2]]
-    out.append(f"differing {len(only_left)} / {len(only_right)}")
+    left, right = plain(spark_frame), plain(oracle_frame)
+    if len(left) != len(right):
+        both = left.merge(right, how="outer", indicator=True)
+        odd = both[both["_merge"] != "both"].head(4)
+        return [f"rows {len(left)} / {len(right)}", *map(str, odd.to_dict("records"))]
+    out = []
+    for c in left.columns:
+        if left[c].dtype != right[c].dtype:
+            if left[c].isna().all() and right[c].astype(str).isin(["None", "nan", "NaT", "-"]).all():
+                continue
+            out.append(f"{c}: {left[c].dtype} / {right[c].dtype}")
+            continue
+        same = (left[c] == right[c]) | (left[c].isna() & right[c].isna())
+        if not same.all():
+            at = same.idxmin()
+            out.append(f"{c}: {int((~same).sum())} differ, first {left[c][at]!r} / {right[c][at]!r}")
     return out
 
 

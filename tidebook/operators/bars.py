@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.frames import first_by_key
-from tidebook.functions.scalars import between, least_relative_split_error, nearest_split_factor, ratio, sum0
+from tidebook.functions.scalars import least_relative_split_error, ratio
+from tidebook.functions.text import agg_texts, clip, nearest_split_factor, with_texts
 
 
 def newest_first() -> Window:
@@ -45,20 +46,20 @@ def dedupe_days(prices: DataFrame) -> DataFrame:
     return first_by_key(prices, ["ticker", "trade_date"], [age, F.col("source")])
 
 
-def tail(n: int, value: Column) -> Column:
-    return F.when(F.col("rn") <= n, value)
+def tail(n: int, value: str) -> str:
+    return f"CASE WHEN rn <= {n} THEN {value} END"
 
 
-def span(first: int, last: int, value: Column) -> Column:
-    return F.when(F.col("rn").between(first, last), value)
+def span(first: int, last: int, value: str) -> str:
+    return f"CASE WHEN rn BETWEEN {first} AND {last} THEN {value} END"
 
 
-def at(n: int, column: str) -> Column:
+def at(n: int, column: str) -> str:
     """The value ``n`` bars from the end, 1 being the newest."""
-    return F.max(F.when(F.col("rn") == n, F.col(column)))
+    return f"max(CASE WHEN rn = {n} THEN {column} END)"
 
 
-def ema_gap(length: int, end: int) -> Column:
+def ema_gap(length: int, end: int) -> str:
     """Exponential mean of ``length`` at bar ``end`` from the newest, less the last close.
 
     The recursion started at the first close is a weighted sum, so it needs no
@@ -66,25 +67,19 @@ def ema_gap(length: int, end: int) -> Column:
     unchanged price at exactly zero.
     """
     alpha = 2.0 / (length + 1.0)
-    decay = F.pow(F.lit(1.0 - alpha), F.col("rn") - F.lit(end))
-    weight = F.when(F.col("is_first"), decay).otherwise(decay * alpha)
-    return F.sum(F.when(F.col("rn") >= end, weight * (F.col("close") - F.col("anchor"))))
+    weight = f"power({1.0 - alpha!r}D, rn - {end}) * CASE WHEN is_first THEN 1D ELSE {alpha!r}D END"
+    return f"sum(CASE WHEN rn >= {end} THEN {weight} * (close - anchor) END)"
 
 
-def split_like(lookback: int = 120) -> Column:
+def split_like(lookback: int = 120) -> str:
     """Is this bar an overnight jump near a split factor without a large move that day?
 
     The oldest bar of the look-back has no predecessor inside it.
     """
     # Gap 0.35, relative error 0.06, move of the day 0.25.
-    jump = ratio(F.col("open"), F.col("prev_close"))
-    factor = nearest_split_factor(jump)
-    move = F.abs(ratio(F.col("close"), F.col("open")) - 1.0)
     return (
-        (F.col("rn") < max(3, lookback))
-        & (F.abs(jump - 1.0) >= 0.35)
-        & (F.abs(jump - factor) / factor <= 0.06)
-        & (move.isNull() | (move <= 0.25))
+        f"coalesce(rn < {max(3, lookback)} AND abs(jump - 1) >= 0.35D AND abs(jump - jump_factor) / jump_factor <= 0.06D"
+        " AND coalesce(abs(try_divide(close, open) - 1) <= 0.25D, TRUE), FALSE)"
     )
 
 
@@ -104,90 +99,76 @@ def split_like_gap(prev_close: Column, open_: Column, close: Column) -> Column:
 
 def enrich_bars(bars: DataFrame, split_lookback: int = 120) -> DataFrame:
     """Positions plus the single-bar columns the measures are summed from."""
-    rows = with_positions(bars)
-    width = F.when(F.col("high") != F.col("low"), F.col("high") - F.col("low"))
-    rows = rows.withColumns(
+    rows = with_texts(
+        with_positions(bars),
         {
-            "ret": ratio(F.col("close"), F.col("prev_close")) - 1.0,
-            "shares": F.greatest(F.coalesce("volume", F.lit(0.0)), F.lit(0.0)),
-            "close_pos": between(F.coalesce(ratio(F.col("close") - F.col("low"), width), F.lit(0.5)), 0.0, 1.0),
-            "flow_multiplier": F.coalesce(
-                ratio((F.col("close") - F.col("low")) - (F.col("high") - F.col("close")), width), F.lit(0.0)
-            ),
-            "true_range": F.greatest(
-                F.abs(F.col("high") - F.col("low")),
-                F.abs(F.col("high") - F.col("prev_close")),
-                F.abs(F.col("low") - F.col("prev_close")),
-            ),
-            "bad_geometry": F.coalesce(F.col("high") < F.greatest("open", "close"), F.lit(False))
-            | F.coalesce(F.col("low") > F.least("open", "close"), F.lit(False))
-            | F.coalesce(F.col("high") < F.col("low"), F.lit(False))
-            | (F.col("close") <= 0),
-            "is_split_like": F.coalesce(split_like(split_lookback), F.lit(False)),
-            "gap_up": F.coalesce((F.col("low") > F.col("high_2_back")) & (F.col("rn") <= 15), F.lit(False)),
-        }
+            "ret": "try_divide(close, prev_close) - 1",
+            "shares": "greatest(coalesce(volume, 0D), 0D)",
+            "close_pos": clip("coalesce(try_divide(close - low, high - low), 0.5D)", 0.0, 1.0),
+            "flow_multiplier": "coalesce(try_divide((close - low) - (high - close), high - low), 0D)",
+            "true_range": "greatest(abs(high - low), abs(high - prev_close), abs(low - prev_close))",
+            "bad_geometry": "coalesce(high < greatest(open, close), FALSE) OR coalesce(low > least(open, close), FALSE)"
+            " OR coalesce(high < low, FALSE) OR close <= 0",
+            "jump": "try_divide(open, prev_close)",
+            "gap_up": "coalesce(low > high_2_back AND rn <= 15, FALSE)",
+        },
+    )
+    rows = with_texts(rows, {"jump_factor": nearest_split_factor("jump")})
+    return with_texts(
+        rows,
+        {
+            "is_split_like": split_like(split_lookback),
+            "mean_shares": f"avg({tail(20, 'shares')}) OVER (PARTITION BY ticker)",
+        },
     )
-    mean_shares = F.avg(tail(20, F.col("shares"))).over(Window.partitionBy("ticker"))
-    return rows.withColumn("mean_shares", mean_shares)
 
 
 def bar_profile(bars: DataFrame, split_lookback: int = 120) -> DataFrame:
     """One row per ticker with every measure D14-D19 are computed from."""
-    rows = enrich_bars(bars, split_lookback)
-    ret, shares, value = F.col("ret"), F.col("shares"), F.col("close") * F.col("shares")
-    absorbs = (
-        (F.abs(ret) <= 0.02)
-        & (shares >= F.lit(1.25) * F.greatest(F.col("mean_shares"), F.lit(1.0)))
-        & (F.col("close_pos") >= 0.55)
-    )
+    absorbs = "abs(ret) <= 0.02D AND shares >= 1.25D * greatest(mean_shares, 1D) AND close_pos >= 0.55D"
     # Slope of the cumulated signed volume over the last 20 bars: the sum of
     # each bar's signed volume times its fixed least-squares weight.
-    slope_weight = F.col("rn") * (F.lit(20) - F.col("rn")) / F.lit(2.0 * 665.0)
+    signed = "signum(coalesce(ret, 0D)) * shares * rn * (20 - rn) / 1330D"
+    split_no = "CASE WHEN is_split_like THEN rn END"
+    gap_no = "CASE WHEN gap_up THEN rn END"
     measures = {
-        "bars": F.count(F.lit(1)),
-        "last_date": F.max("date"),
-        "price_days": F.collect_list(tail(20, F.col("date"))),
+        "bars": "count(1)",
+        "last_date": "max(date)",
+        "price_days": f"collect_list({tail(20, 'date')})",
         "last_close": at(1, "close"),
         "last_low": at(1, "low"),
         "close_20": at(20, "close"),
         "close_21": at(21, "close"),
         "close_61": at(61, "close"),
-        "vol20_n": F.count(tail(20, ret)),
-        "vol20_raw": F.stddev_pop(tail(20, ret)),
-        "vol60_n": F.count(tail(60, ret)),
-        "vol60_raw": F.stddev_pop(tail(60, ret)),
-        "shares_20": sum0(tail(20, shares)),
-        "money_flow_20": sum0(tail(20, F.col("flow_multiplier") * shares)),
-        "obv_slope_20": sum0(tail(20, F.signum(F.coalesce(ret, F.lit(0.0))) * shares * slope_weight)),
-        "value_20": sum0(tail(20, value)),
-        "up_value_20": sum0(tail(20, F.when(ret > 0, value))),
-        "absorption_20": F.avg(tail(20, F.coalesce(absorbs, F.lit(False)).cast("double"))),
-        "acceptance_20": F.avg(tail(20, F.col("close_pos"))),
-        "atr14_n": F.count(tail(14, F.col("true_range"))),
-        "atr14_raw": F.avg(tail(14, F.col("true_range"))),
-        "prev20_high": F.max(span(2, 21, F.col("high"))),
-        "prev5_low": F.min(span(2, 6, F.col("low"))),
+        "vol20_n": f"count({tail(20, 'ret')})",
+        "vol20_raw": f"stddev_pop({tail(20, 'ret')})",
+        "vol60_n": f"count({tail(60, 'ret')})",
+        "vol60_raw": f"stddev_pop({tail(60, 'ret')})",
+        "shares_20": f"coalesce(sum({tail(20, 'shares')}), 0D)",
+        "money_flow_20": f"coalesce(sum({tail(20, 'flow_multiplier * shares')}), 0D)",
+        "obv_slope_20": f"coalesce(sum({tail(20, signed)}), 0D)",
+        "value_20": f"coalesce(sum({tail(20, 'close * shares')}), 0D)",
+        "up_value_20": f"coalesce(sum({tail(20, 'CASE WHEN ret > 0 THEN close * shares END')}), 0D)",
+        "absorption_20": f"avg({tail(20, f'CASE WHEN {absorbs} THEN 1D ELSE 0D END')})",
+        "acceptance_20": f"avg({tail(20, 'close_pos')})",
+        "atr14_n": f"count({tail(14, 'true_range')})",
+        "atr14_raw": f"avg({tail(14, 'true_range')})",
+        "prev20_high": f"max({span(2, 21, 'high')})",
+        "prev5_low": f"min({span(2, 6, 'low')})",
         "ema20_gap": ema_gap(20, 1),
         "ema50_gap": ema_gap(50, 1),
         "ema20_gap_6": ema_gap(20, 6),
         "ema50_gap_6": ema_gap(50, 6),
-        "fvg_low": F.min_by("high_2_back", F.when(F.col("gap_up"), F.col("rn"))),
-        "fvg_high": F.min_by("low", F.when(F.col("gap_up"), F.col("rn"))),
-        "zero_volume_20": F.avg(tail(20, (F.coalesce("volume", F.lit(0.0)) <= 0).cast("double"))),
-        "unchanged_20": F.avg(
-            tail(
-                20,
-                F.coalesce((F.col("close") == F.col("prev_close")) & (F.col("rn") < 20), F.lit(False)).cast("double"),
-            )
-        ),
-        "bad_geometry_60": F.avg(tail(60, F.col("bad_geometry").cast("double"))),
-        "split_rn": F.min(F.when(F.col("is_split_like"), F.col("rn"))),
-        "split_date": F.min_by("date", F.when(F.col("is_split_like"), F.col("rn"))),
-        "split_factor": F.min_by(
-            nearest_split_factor(ratio(F.col("open"), F.col("prev_close"))), F.when(F.col("is_split_like"), F.col("rn"))
-        ),
+        "fvg_low": f"min_by(high_2_back, {gap_no})",
+        "fvg_high": f"min_by(low, {gap_no})",
+        "zero_volume_20": f"avg({tail(20, 'CASE WHEN coalesce(volume, 0D) <= 0 THEN 1D ELSE 0D END')})",
+        "unchanged_20": f"avg({tail(20, 'CASE WHEN close = prev_close AND rn < 20 THEN 1D ELSE 0D END')})",
+        "bad_geometry_60": f"avg({tail(60, 'CASE WHEN bad_geometry THEN 1D ELSE 0D END')})",
+        "split_rn": f"min({split_no})",
+        "split_date": f"min_by(date, {split_no})",
+        "split_factor": f"min_by(jump_factor, {split_no})",
     }
-    return rows.groupBy("ticker").agg(*[expr.alias(name) for name, expr in measures.items()])
+    return enrich_bars(bars, split_lookback).groupBy("ticker").agg(*agg_texts(measures))
 
 
 def bars_nested(prices: DataFrame, n: int = 320, tickers: DataFrame | None = None) -> DataFrame:

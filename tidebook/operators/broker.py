@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.config import ScanConfig
-from tidebook.functions.scalars import between, clip_score, lenient_bool, ratio, sigmoid_score, sum0
+from tidebook.functions.scalars import between, lenient_bool, ratio, sum0
+from tidebook.functions.text import agg_texts, clip, score, sigmoid, with_texts
 
 WINDOWS = (5, 20, 60)
 
@@ -74,26 +75,23 @@ def broker_windows(broker: DataFrame) -> DataFrame:
             "day_starts": ~F.lag("trade_date").over(newest).eqNullSafe(F.col("trade_date")),
         }
     )
-    sums = []
+    sums: dict[str, str] = {}
     for w in WINDOWS:
-        inside = F.col("day_rank") <= w
-        sums += [
-            sum0(F.when(inside, F.col("net_value"))).alias(f"net_{w}"),
-            sum0(F.when(inside, (F.col("net_value") > 0).cast("double"))).alias(f"up_days_{w}"),
-            F.count(F.when(inside, True)).alias(f"days_{w}"),
-        ]
-    in20, in60 = F.col("day_rank") <= 20, F.col("day_rank") <= 60
-    return daily.groupBy("ticker", "broker_code").agg(
-        *sums,
-        sum0(F.when(in20, F.col("buy_value"))).alias("buy_20"),
-        sum0(F.when(in20, F.col("sell_value"))).alias("sell_20"),
-        sum0(F.when(in60, F.col("cost_value"))).alias("cost_value_60"),
-        sum0(F.when(in60, F.col("cost_volume"))).alias("cost_volume_60"),
-        F.sum("gross").alias("gross"),
-        F.sum("verified_gross").alias("verified_gross"),
-        F.max("day_rank").alias("oldest_day_rank"),
-        F.collect_list(F.when(F.col("day_starts"), F.col("trade_date"))).alias("started_days"),
-    )
+        sums[f"net_{w}"] = f"coalesce(sum(CASE WHEN day_rank <= {w} THEN net_value END), 0D)"
+        sums[f"up_days_{w}"] = f"count(CASE WHEN day_rank <= {w} AND net_value > 0 THEN 1 END)"
+        sums[f"days_{w}"] = f"count(CASE WHEN day_rank <= {w} THEN 1 END)"
+    for name, w in (("buy", 20), ("sell", 20), ("cost", 60)):
+        columns = ("cost_value", "cost_volume") if name == "cost" else (f"{name}_value",)
+        for c in columns:
+            out = f"{c}_{w}" if name == "cost" else f"{name}_{w}"
+            sums[out] = f"coalesce(sum(CASE WHEN day_rank <= {w} THEN {c} END), 0D)"
+    sums |= {
+        "gross": "sum(gross)",
+        "verified_gross": "sum(verified_gross)",
+        "oldest_day_rank": "max(day_rank)",
+        "started_days": "collect_list(CASE WHEN day_starts THEN trade_date END)",
+    }
+    return daily.groupBy("ticker", "broker_code").agg(*agg_texts(sums))
 
 
 def broker_cohort(windows: DataFrame, cohort_size: int = 5) -> DataFrame:
@@ -118,40 +116,38 @@ def broker_state(broker: DataFrame, config: ScanConfig | None = None) -> DataFra
     config = config or ScanConfig()
     rows = broker_cohort(broker_windows(broker), config.cohort_size)
 
-    def codes(rank: str) -> Column:
-        kept = F.when(F.col(rank) <= config.cohort_size, F.struct(F.col(rank).alias("rank"), "broker_code"))
-        return F.array_sort(F.collect_list(kept))["broker_code"]
-
-    def cohort_persistence(w: int) -> Column:
-        share = F.col(f"net_{w}") * F.col(f"up_days_{w}") / F.col(f"days_{w}")
-        return F.coalesce(
-            ratio(F.sum(F.when(F.col(f"in_{w}"), share)), F.sum(F.when(F.col(f"in_{w}"), F.col(f"net_{w}")))), F.lit(0.0)
-        )
-
-    member = F.col("in_20")
-    buyer_net = F.when(F.col("net_20") > 0, F.col("net_20"))
-    return rows.groupBy("ticker").agg(
-        F.max("oldest_day_rank").alias("broker_days"),
-        F.flatten(F.collect_list("started_days")).alias("broker_day_list"),
-        F.count(F.lit(1)).alias("distinct_brokers"),
-        F.sum("gross").alias("gross_all"),
-        F.sum("verified_gross").alias("verified_gross_all"),
-        sum0(buyer_net).alias("positive_20"),
-        sum0(buyer_net * buyer_net).alias("positive_sq_20"),
-        *[sum0(F.when(F.col(f"in_{w}"), F.col(f"net_{w}"))).alias(f"net_value_{w}d") for w in WINDOWS],
-        *[cohort_persistence(w).alias(f"persistence_{w}d") for w in WINDOWS],
-        F.sum("buy_20").alias("buy_20"),
-        F.sum("sell_20").alias("sell_20"),
-        F.count(F.when(member, True)).alias("members_20"),
-        F.count(F.when(F.col("in_60"), True)).alias("members_60"),
-        F.count(F.when(member & F.col("in_5"), True)).alias("shared_5_20"),
-        F.count(F.when(member & F.col("in_60"), True)).alias("shared_20_60"),
-        sum0(F.when(member, F.col("cost_value_60"))).alias("cost_value_60"),
-        sum0(F.when(member, F.col("cost_volume_60"))).alias("cost_volume_60"),
-        sum0(F.when(member & (F.col("net_5") < 0), F.least(-F.col("net_5"), F.col("net_20")))).alias("reversed_5"),
-        codes("buyer_rank_20").alias("top_accumulating_brokers"),
-        codes("seller_rank_20").alias("top_distributing_brokers"),
-    )
+    def codes(rank: str) -> str:
+        kept = f"CASE WHEN {rank} <= {config.cohort_size} THEN named_struct('rank', {rank}, 'code', broker_code) END"
+        return f"array_sort(collect_list({kept})).code"
+
+    def over(flag: str, value: str) -> str:
+        return f"coalesce(sum(CASE WHEN {flag} THEN {value} END), 0D)"
+
+    sums = {
+        "broker_days": "max(oldest_day_rank)",
+        "broker_day_list": "flatten(collect_list(started_days))",
+        "distinct_brokers": "count(1)",
+        "gross_all": "sum(gross)",
+        "verified_gross_all": "sum(verified_gross)",
+        "positive_20": over("net_20 > 0", "net_20"),
+        "positive_sq_20": over("net_20 > 0", "net_20 * net_20"),
+        "buy_20": "sum(buy_20)",
+        "sell_20": "sum(sell_20)",
+        "members_20": "count(CASE WHEN in_20 THEN 1 END)",
+        "members_60": "count(CASE WHEN in_60 THEN 1 END)",
+        "shared_5_20": "count(CASE WHEN in_20 AND in_5 THEN 1 END)",
+        "shared_20_60": "count(CASE WHEN in_20 AND in_60 THEN 1 END)",
+        "cost_value_60": over("in_20", "cost_value_60"),
+        "cost_volume_60": over("in_20", "cost_volume_60"),
+        "reversed_5": over("in_20 AND net_5 < 0", "least(-net_5, net_20)"),
+        "top_accumulating_brokers": codes("buyer_rank_20"),
+        "top_distributing_brokers": codes("seller_rank_20"),
+    }
+    for w in WINDOWS:
+        sums[f"net_value_{w}d"] = over(f"in_{w}", f"net_{w}")
+        weighted = over(f"in_{w}", f"net_{w} * up_days_{w} / days_{w}")
+        sums[f"persistence_{w}d"] = f"coalesce(try_divide({weighted}, {over(f'in_{w}', f'net_{w}')}), 0D)"
+    return rows.groupBy("ticker").agg(*agg_texts(sums))
 
 
 def add_broker_features(state: DataFrame, config: ScanConfig | None = None) -> DataFrame:
@@ -162,61 +158,55 @@ def add_broker_features(state: DataFrame, config: ScanConfig | None = None) -> D
     """
     # All weights, scales, cost bands and empty defaults below.
     config = config or ScanConfig()
-    one = F.lit(1.0)
-    some = F.col("broker_days").isNotNull()
-    price_days = F.size("price_days")
-    turnover = (F.col("buy_20") + F.col("sell_20")) / F.lit(2.0)
-    member_base = F.greatest(F.col("members_20"), F.lit(1))
-    s = state.withColumns(
+    turnover = "greatest((buy_20 + sell_20) / 2, 1D)"
+    s = with_texts(
+        state,
         {
-            "coverage_pct": F.when(
-                some & (price_days > 0),
-                F.lit(100.0) * F.size(F.array_intersect("price_days", "broker_day_list")) / price_days,
-            ).otherwise(F.lit(0.0)),
-            "_conc": F.when(F.col("positive_20") > 0, F.col("net_value_20d") / F.col("positive_20")).otherwise(F.lit(0.0)),
-            "net_conversion_ratio": F.coalesce(F.col("positive_20") / F.greatest(turnover, one), F.lit(0.0)),
-            "_intensity": sigmoid_score(F.col("net_value_20d") / F.greatest(turnover, one) - F.lit(0.08), 0.05),
-            "broker_hhi": F.when(
-                F.col("positive_20") > 0, F.col("positive_sq_20") / (F.col("positive_20") * F.col("positive_20"))
-            ).otherwise(F.lit(0.0)),
-            "_overlap_5": F.col("shared_5_20") / member_base,
-            "_overlap_60": F.when(F.col("members_60") > 0, F.col("shared_20_60") / member_base),
-            "estimated_smart_money_cost": ratio(F.col("cost_value_60"), F.col("cost_volume_60")),
-            "reversal_ratio_5d": F.coalesce(F.col("reversed_5") / F.greatest(F.col("net_value_20d"), one), F.lit(0.0)),
-            "broker_balance_error_pct": F.when(
-                some, F.lit(100.0) * F.abs(F.col("buy_20") - F.col("sell_20")) / F.greatest(turnover, one)
-            ).otherwise(F.lit(100.0)),
-            "broker_verified_source_pct": F.coalesce(
-                between(ratio(F.lit(100.0) * F.col("verified_gross_all"), F.col("gross_all")), 0.0, 100.0), F.lit(0.0)
-            ),
-        }
+            "has_broker": "broker_days IS NOT NULL",
+            "coverage_pct": "CASE WHEN broker_days IS NOT NULL AND size(price_days) > 0"
+            " THEN 100D * size(array_intersect(price_days, broker_day_list)) / size(price_days) ELSE 0D END",
+            "_conc": "CASE WHEN positive_20 > 0 THEN net_value_20d / positive_20 ELSE 0D END",
+            "net_conversion_ratio": f"coalesce(positive_20 / {turnover}, 0D)",
+            "_edge": f"net_value_20d / {turnover} - 0.08D",
+            "broker_hhi": "CASE WHEN positive_20 > 0 THEN positive_sq_20 / (positive_20 * positive_20) ELSE 0D END",
+            "_overlap_5": "shared_5_20 / greatest(members_20, 1)",
+            "_overlap_60": "CASE WHEN members_60 > 0 THEN shared_20_60 / greatest(members_20, 1) END",
+            "estimated_smart_money_cost": "try_divide(cost_value_60, cost_volume_60)",
+            "reversal_ratio_5d": "coalesce(reversed_5 / greatest(net_value_20d, 1D), 0D)",
+            "broker_balance_error_pct": "CASE WHEN broker_days IS NOT NULL"
+            f" THEN 100D * abs(buy_20 - sell_20) / {turnover} ELSE 100D END",
+            "_verified": "try_divide(100D * verified_gross_all, gross_all)",
+            **{f"persistence_{w}d": f"coalesce(persistence_{w}d, 0D)" for w in WINDOWS},
+            **{f"net_value_{w}d": f"coalesce(net_value_{w}d, 0D)" for w in WINDOWS},
+        },
     )
-    s = s.withColumns(
+    s = with_texts(
+        s,
         {
-            "broker_cohort_stability": F.coalesce(
-                between(
-                    F.lit(0.6) * F.col("_overlap_5") + F.lit(0.4) * F.coalesce("_overlap_60", "_overlap_5"), 0.0, 1.0
-                ),
-                F.lit(0.0),
-            ),
-            "premium_to_cost_pct": F.lit(100.0) * (ratio(F.col("last_close"), F.col("estimated_smart_money_cost")) - one),
-            "_conc_score": clip_score(F.lit(100.0) * F.col("_conc")),
-            "_hhi_score": clip_score(F.lit(100.0) * F.sqrt(F.greatest(F.col("broker_hhi"), F.lit(0.0)))),
-            **{f"persistence_{w}d": F.coalesce(f"persistence_{w}d", F.lit(0.0)) for w in WINDOWS},
-            **{f"net_value_{w}d": F.coalesce(f"net_value_{w}d", F.lit(0.0)) for w in WINDOWS},
-        }
+            "broker_verified_source_pct": f"CASE WHEN _verified IS NULL THEN 0D ELSE {clip('_verified')} END",
+            "_intensity": sigmoid("_edge", 0.05),
+            "_stability": "0.6D * _overlap_5 + 0.4D * coalesce(_overlap_60, _overlap_5)",
+            "premium_to_cost_pct": "100D * (try_divide(last_close, estimated_smart_money_cost) - 1)",
+            "_conc_score": clip("100D * _conc"),
+            "_hhi_score": clip("100D * sqrt(greatest(broker_hhi, 0D))"),
+        },
+    )
+    s = with_texts(
+        s,
+        {
+            "broker_cohort_stability": f"CASE WHEN _stability IS NULL THEN 0D ELSE {clip('_stability', 0.0, 1.0)} END",
+            "_extension": "CASE WHEN premium_to_cost_pct IS NULL THEN 0D"
+            f" ELSE {clip('(premium_to_cost_pct - 20) / 30D', 0.0, 1.0)} END",
+        },
     )
-    persistence, stability = F.col("persistence_20d") * 100.0, F.col("broker_cohort_stability") * 100.0
-    premium = F.col("premium_to_cost_pct")
-    s = s.withColumn(
-        "_quality",
-        clip_score(
-            F.lit(0.34) * persistence
-            + F.lit(0.24) * F.col("_intensity")
-            + F.lit(0.18) * stability
-            + F.lit(0.14) * F.col("_conc_score")
-            + F.lit(0.10) * clip_score(F.lit(100.0) * F.least(F.col("net_conversion_ratio") / F.lit(0.35), one))
-        ),
+    s = with_texts(
+        s,
+        {
+            "_quality": score(
+                "(34 * persistence_20d + 0.24D * _intensity + 18 * broker_cohort_stability + 0.14D * _conc_score"
+                f" + 0.10D * {clip('100D * least(net_conversion_ratio / 0.35D, 1D)')})"
+            )
+        },
     )
     bands = [
         (-5.0, 95.0, "UNDER_COST"),
@@ -225,49 +215,35 @@ def add_broker_features(state: DataFrame, config: ScanConfig | None = None) -> D
         (30.0, 62.0, "MARKUP"),
         (config.max_premium_pct, 45.0, "EXTENDED"),
     ]
-    score, label = F.when(premium.isNull(), F.lit(35.0)), F.when(premium.isNull(), F.lit("UNKNOWN"))
-    for limit, points, name in bands:
-        score, label = score.when(premium <= limit, F.lit(points)), label.when(premium <= limit, F.lit(name))
-    extension = F.coalesce(between((premium - F.lit(20.0)) / F.lit(30.0), 0.0, 1.0), F.lit(0.0))
+    points = " ".join(f"WHEN premium_to_cost_pct <= {limit}D THEN {value}D" for limit, value, _ in bands)
+    labels = " ".join(f"WHEN premium_to_cost_pct <= {limit}D THEN '{label}'" for limit, _, label in bands)
 
-    def given(value: Column, default: float) -> Column:
-        return F.when(some, value).otherwise(F.lit(default))
+    def given(text: str, default: str) -> str:
+        return f"CASE WHEN has_broker THEN {text} ELSE {default} END"
 
-    no_codes = F.array().cast("array<string>")
-    s = s.withColumns(
+    s = with_texts(
+        s,
         {
-            "accumulation_quality_score": given(F.col("_quality"), 0.0),
-            "accumulation_score": given(
-                clip_score(F.lit(0.58) * F.col("_quality") + F.lit(0.22) * persistence + F.lit(0.20) * F.col("_intensity")),
-                0.0,
-            ),
+            "accumulation_quality_score": given("_quality", "0D"),
+            "accumulation_score": given(score("(0.58D * _quality + 22 * persistence_20d + 0.20D * _intensity)"), "0D"),
             "operator_dominance_score": given(
-                clip_score(
-                    F.lit(0.45) * F.col("_conc_score") + F.lit(0.30) * F.col("_hhi_score") + F.lit(0.25) * stability
-                ),
-                0.0,
+                score("(0.45D * _conc_score + 0.30D * _hhi_score + 25 * broker_cohort_stability)"), "0D"
             ),
-            "supply_concentration_score": given(
-                clip_score(F.lit(0.60) * F.col("_conc_score") + F.lit(0.40) * F.col("_hhi_score")), 0.0
+            "supply_concentration_score": given(score("(0.60D * _conc_score + 0.40D * _hhi_score)"), "0D"),
+            "cost_basis_score": given(f"CASE WHEN premium_to_cost_pct IS NULL THEN 35D {points} ELSE 20D END", "0D"),
+            "cost_position": given(
+                f"CASE WHEN premium_to_cost_pct IS NULL THEN 'UNKNOWN' {labels} ELSE 'OVEREXTENDED' END", "'UNKNOWN'"
             ),
-            "cost_basis_score": given(score.otherwise(F.lit(20.0)), 0.0),
-            "cost_position": F.when(some, label.otherwise(F.lit("OVEREXTENDED"))).otherwise(F.lit("UNKNOWN")),
             "distribution_risk": given(
-                clip_score(
-                    F.lit(62.0) * F.col("reversal_ratio_5d")
-                    + F.lit(23.0) * extension
-                    + F.lit(15.0) * (one - F.col("broker_cohort_stability"))
-                ),
-                50.0,
+                score("(62 * reversal_ratio_5d + 23 * _extension + 15 * (1 - broker_cohort_stability))"), "50D"
             ),
-            "broker_days": F.coalesce("broker_days", F.lit(0)),
-            "distinct_brokers": F.coalesce("distinct_brokers", F.lit(0)),
-            "top_accumulating_brokers": F.coalesce("top_accumulating_brokers", no_codes),
-            "top_distributing_brokers": F.coalesce("top_distributing_brokers", no_codes),
-            "has_broker": some,
-        }
+            "broker_days": "coalesce(broker_days, 0)",
+            "distinct_brokers": "coalesce(distinct_brokers, 0)",
+            "top_accumulating_brokers": "coalesce(top_accumulating_brokers, array())",
+            "top_distributing_brokers": "coalesce(top_distributing_brokers, array())",
+        },
     )
-    return s.drop("_conc", "_intensity", "_overlap_5", "_overlap_60", "_conc_score", "_hhi_score", "_quality")
+    return s.drop(*[c for c in s.columns if c.startswith("_")])
 
 
 def compute_broker_features(broker: DataFrame, profile: DataFrame, config: ScanConfig | None = None) -> DataFrame:

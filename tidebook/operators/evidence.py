@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.config import (
@@ -51,11 +51,13 @@ def source_day_counts(choice: DataFrame) -> DataFrame:
 
 
 def price_days(bars: DataFrame, lookback: int = 20) -> DataFrame:
-    """The last ``lookback`` bar days of each ticker with their number."""
+    """The last ``lookback`` bar days of each ticker and how many they are."""
     from tidebook.operators.bars import newest_first
 
     days = bars.select("ticker", "date").withColumn("rn", F.row_number().over(newest_first()))
-    return days.where(F.col("rn") <= lookback).select("ticker", F.col("date").alias("trade_date"))
+    days = days.where(F.col("rn") <= lookback)
+    count = F.count(F.lit(1)).over(Window.partitionBy("ticker"))
+    return days.select("ticker", F.col("date").alias("trade_date"), count.alias("sessions"))
 
 
 def foreign_source_choice(
@@ -70,16 +72,12 @@ def foreign_source_choice(
     Ties go to the higher priority, then to the later source name.
     """
     priority = FOREIGN_SOURCE_PRIORITY if priority is None else priority
-    sessions = price_days(bars, lookback)
-    size = sessions.groupBy("ticker").agg(F.count(F.lit(1)).alias("sessions"))
     covered = (
         candidates.select("ticker", "trade_date", F.coalesce("source", F.lit("UNKNOWN")).alias("source"))
         .distinct()
-        .join(sessions, ["ticker", "trade_date"], "left_semi")
+        .join(price_days(bars, lookback), ["ticker", "trade_date"])
         .groupBy("ticker", "source")
-        .agg(F.count(F.lit(1)).alias("days"))
-        .join(size, "ticker")
-        .withColumn("coverage_pct", F.lit(100.0) * F.col("days") / F.col("sessions"))
+        .agg((F.lit(100.0) * F.count(F.lit(1)) / F.max("sessions")).alias("coverage_pct"))
     )
     best = covered.groupBy("ticker").agg(
         F.max(F.struct("coverage_pct", pick(F.col("source"), priority, 0).alias("priority"), "source")).alias("best")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.config import OFFICIAL_STOCK_SUMMARY
-from tidebook.functions.scalars import between, clip_score, sigmoid_score, sum0
+from tidebook.functions.scalars import sum0
+from tidebook.functions.text import clip, score, sigmoid, with_texts
 
 FOREIGN_COLUMNS = (
     "foreign_institutional_score",
@@ -49,41 +50,35 @@ def foreign_state(flow: DataFrame) -> DataFrame:
 def add_foreign_features(state: DataFrame) -> DataFrame:
     """Scores from ``foreign_state`` joined to ``bar_profile``; null state takes defaults."""
     # 0.58, 42, scale 0.035, full confidence at 80 % coverage.
-    some = F.col("flow_day_list").isNotNull() & (F.coalesce(F.size("price_days"), F.lit(0)) > 0)
-    s = state.withColumns(
+    s = with_texts(state, {"_some": "flow_day_list IS NOT NULL AND coalesce(size(price_days), 0) > 0"})
+
+    def given(text: str, default: str) -> str:
+        return f"CASE WHEN _some THEN {text} ELSE {default} END"
+
+    covered = "100D * size(array_intersect(price_days, flow_day_list)) / greatest(size(price_days), 1)"
+    s = with_texts(
+        s,
         {
-            "foreign_evidence_coverage_pct": F.when(
-                some,
-                F.lit(100.0)
-                * F.size(F.array_intersect("price_days", "flow_day_list"))
-                / F.greatest(F.size("price_days"), F.lit(1)),
-            ).otherwise(F.lit(0.0)),
-            "foreign_intensity_20d": F.when(
-                some, F.col("net_20") / F.greatest(F.col("volume_20"), F.lit(1.0))
-            ).otherwise(F.lit(0.0)),
-            "foreign_evidence_source": F.when(some, F.coalesce("flow_source", F.lit("UNKNOWN"))).otherwise(
-                F.lit("UNAVAILABLE")
-            ),
-            "foreign_net_5d": F.when(some, F.col("net_5")).otherwise(F.lit(0.0)),
-            "foreign_net_20d": F.when(some, F.col("net_20")).otherwise(F.lit(0.0)),
-            "foreign_persistence_20d": F.when(some, F.col("persistence_20")).otherwise(F.lit(0.0)),
-        }
+            "foreign_evidence_coverage_pct": given(covered, "0D"),
+            "foreign_intensity_20d": given("net_20 / greatest(volume_20, 1D)", "0D"),
+            "foreign_evidence_source": given("coalesce(flow_source, 'UNKNOWN')", "'UNAVAILABLE'"),
+            "foreign_net_5d": given("net_5", "0D"),
+            "foreign_net_20d": given("net_20", "0D"),
+            "foreign_persistence_20d": given("persistence_20", "0D"),
+        },
     )
-    raw = clip_score(
-        F.lit(0.58) * sigmoid_score(F.col("foreign_intensity_20d"), 0.035)
-        + F.lit(42.0) * F.col("foreign_persistence_20d")
+    s = with_texts(
+        s, {"_raw": score(f"(0.58D * {sigmoid('foreign_intensity_20d', 0.035)} + 42 * foreign_persistence_20d)")}
     )
-    confidence = between(F.col("foreign_evidence_coverage_pct") / F.lit(80.0), 0.0, 1.0)
-    return s.withColumns(
+    confidence = clip("foreign_evidence_coverage_pct / 80D", 0.0, 1.0)
+    return with_texts(
+        s,
         {
-            "foreign_institutional_score": F.when(some, F.lit(50.0) + confidence * (raw - F.lit(50.0))).otherwise(
-                F.lit(50.0)
-            ),
-            "official_foreign_coverage_pct": F.when(
-                F.col("foreign_evidence_source") == OFFICIAL_STOCK_SUMMARY, F.col("foreign_evidence_coverage_pct")
-            ).otherwise(F.lit(0.0)),
-        }
-    ).drop("flow_day_list", "net_5", "net_20", "volume_20", "persistence_20", "flow_source")
+            "foreign_institutional_score": given(f"50 + {confidence} * (_raw - 50)", "50D"),
+            "official_foreign_coverage_pct": f"CASE WHEN foreign_evidence_source = '{OFFICIAL_STOCK_SUMMARY}'"
+            " THEN foreign_evidence_coverage_pct ELSE 0D END",
+        },
+    ).drop("flow_day_list", "net_5", "net_20", "volume_20", "persistence_20", "flow_source", "_raw", "_some")
 
 
 def compute_foreign_features(flow: DataFrame, profile: DataFrame) -> DataFrame:

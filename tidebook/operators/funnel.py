@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.config import ScanConfig
+from tidebook.functions.frames import staged
 from tidebook.functions.scalars import pick, zero_default
 from tidebook.operators.scan import DIAGNOSTICS, MARKET_COLUMNS, publish, scan_inputs, score_rows
 
@@ -113,8 +114,8 @@ def verify_guarded_top5(
         F.col("as_of_date").alias("held_date"),
         F.col("diagnostics.price_staleness_days").alias("held_staleness"),
     )
-    reference = F.date_add("held_date", F.col("held_staleness")) if keep_reference else F.col("held_date")
-    rows = scan_inputs(only(bars), only(broker), only(flow), config).join(held, "ticker")
+    reference = "date_add(held_date, held_staleness)" if keep_reference else "held_date"
+    rows = staged(scan_inputs(only(bars), only(broker), only(flow), config), "verify-inputs").join(held, "ticker")
     rows = rows.where(F.col("bars") >= config.minimum_price_bars)
     scored = score_rows(rows, config, reference)
     status = (
@@ -128,9 +129,8 @@ def verify_guarded_top5(
         .when(F.col("real_money_state") == "ELIGIBLE", F.lit("BROKER_VERIFIED"))
         .otherwise(F.lit("BROKER_GUARDED"))
     )
-    out = publish(scored.withColumn("broker_verification_status", status))
-    extra = scored.select("ticker", "guarded_rank", "guarded_score", status.alias("broker_verification_status"))
-    out = out.join(extra, "ticker")
+    held_names = ("guarded_rank", "guarded_score", "broker_verification_status")
+    out = publish(scored.withColumn("broker_verification_status", status), *held_names)
     order = [
         pick(F.col("broker_verification_status"), STATUS_ORDER, 9),
         F.col("final_score").desc(),
@@ -156,18 +156,20 @@ def verify_guarded_top5(
 def merge_verified_finalists(base: DataFrame, verified: DataFrame) -> DataFrame:
     """Finalist rows replace theirs in the result set, common columns only, nulls included."""
     common = [c for c in base.columns if c in verified.columns and c not in ("ticker", "diagnostics")]
+    both_diagnose = "diagnostics" in base.columns and "diagnostics" in verified.columns
     replacement = verified.select(
-        F.col("ticker").alias("_ticker"), *[F.col(c).alias(f"_r_{c}") for c in common], F.lit(True).alias("_hit")
+        F.col("ticker").alias("_ticker"),
+        *[F.col(c).alias(f"_r_{c}") for c in common],
+        *([F.col("diagnostics").alias("_d")] if both_diagnose else []),
+        F.lit(True).alias("_hit"),
     )
-    if "diagnostics" in base.columns and "diagnostics" in verified.columns:
-        replacement = replacement.join(verified.select(F.col("ticker").alias("_ticker"), F.col("diagnostics").alias("_d")), "_ticker")
     joined = base.join(replacement, F.col("ticker") == F.col("_ticker"), "left")
     hit = F.coalesce("_hit", F.lit(False))
     out = []
     for c in base.columns:
         if c in common:
             out.append(F.when(hit, F.col(f"_r_{c}")).otherwise(F.col(c)).alias(c))
-        elif c == "diagnostics" and "_d" in joined.columns:
+        elif c == "diagnostics" and both_diagnose:
             # The wider struct of the verified rows; base rows leave its extra fields null.
             fields = verified.schema["diagnostics"].dataType.fields
             own = base.schema["diagnostics"].dataType.fieldNames()

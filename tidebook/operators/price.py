@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from tidebook.functions.scalars import between, clip_score, finite, ratio, sigmoid_score
+from tidebook.functions.text import agg_texts, clip, known, score, sigmoid, with_texts, zero_default
 
 PRICE_FLOW_COLUMNS = (
     "retail_exhaustion_score",
@@ -54,308 +53,246 @@ QUALITY_COLUMNS = (
 )
 
 
-def _unless_short(enough: Column, value: Column, default: object) -> Column:
-    return F.when(enough, value).otherwise(F.lit(default))
-
-
-def add_price_flow(
-    profile: DataFrame,
-    broker_accumulation: Column | None = None,
-    broker_persistence: Column | None = None,
-) -> DataFrame:
+def add_price_flow(profile: DataFrame, counts: str = "FALSE") -> DataFrame:
     """Money-flow and volatility features.
 
-    The two broker columns must already be null for tickers whose broker
-    evidence may not count; a null leaves the price proxy in place.
+    ``counts`` is the condition under which the broker columns
+    accumulation_score and persistence_20d may enter; elsewhere the price
+    proxy stands in for them.
     """
     # All weights, scales and thresholds below.
-    enough = F.col("bars") >= 20
-    accumulation = F.lit(None).cast("double") if broker_accumulation is None else broker_accumulation
-    persistence = F.lit(0.0) if broker_persistence is None else F.coalesce(broker_persistence, F.lit(0.0))
-    mean_shares = F.col("shares_20") / F.lit(20.0)
-    vol20 = F.when(F.col("vol20_n") >= 10, F.col("vol20_raw"))
-    staged = profile.withColumns(
+    direct = counts != "FALSE"
+    accumulation = f"CASE WHEN {counts} THEN accumulation_score ELSE _proxy_acc END" if direct else "_proxy_acc"
+    persistence = f"CASE WHEN {counts} THEN persistence_20d ELSE 0D END" if direct else "0D"
+    staged = with_texts(
+        profile,
         {
-            "_vol20": vol20,
-            "_p20": ratio(F.col("last_close"), F.col("close_20")) - 1.0,
-            "_cmf": F.coalesce(ratio(F.col("money_flow_20"), F.col("shares_20")), F.lit(0.0)),
-            "_obv": F.coalesce(ratio(F.col("obv_slope_20"), mean_shares), F.lit(0.0)),
-            "_up": F.when(F.col("value_20") > 0, F.coalesce(F.col("up_value_20") / F.col("value_20"), F.lit(0.0))).otherwise(
-                F.lit(0.5)
-            ),
-            "_adv": F.col("value_20") / F.lit(20.0),
-        }
+            "_vol20": "CASE WHEN vol20_n >= 10 THEN vol20_raw END",
+            "_vol60": "CASE WHEN vol60_n >= 20 THEN vol60_raw WHEN vol20_n >= 10 THEN vol20_raw END",
+            "_p20": "try_divide(last_close, close_20) - 1",
+            "_cmf": "coalesce(try_divide(money_flow_20, shares_20), 0D)",
+            "_obv": "coalesce(try_divide(obv_slope_20, shares_20 / 20), 0D)",
+            "_up": "CASE WHEN value_20 > 0 THEN up_value_20 / value_20 ELSE 0.5D END",
+            "_adv": "value_20 / 20",
+            "_enough": "bars >= 20",
+        },
     )
-    vol60 = F.when(F.col("vol60_n") >= 20, F.col("vol60_raw")).otherwise(F.col("_vol20"))
-    known = finite(F.col("_vol20")) & finite(vol60) & (vol60 > 0)
-    staged = staged.withColumn(
-        "_squeeze", F.when(known, between(F.lit(1.0) - F.col("_vol20") / vol60, -1.0, 1.0)).otherwise(F.lit(0.5))
+    staged = with_texts(
+        staged,
+        {
+            "_squeeze": f"CASE WHEN {known('_vol20')} AND {known('_vol60')} AND _vol60 > 0"
+            f" THEN {clip('1 - _vol20 / _vol60', -1.0, 1.0)} ELSE 0.5D END",
+            "_liquid": sigmoid("(log10(greatest(_adv, 1D)) - 8.3D)", 0.7),
+            "_calm": f"CASE WHEN {known('_vol20')} THEN {clip('100 - 1200 * greatest(_vol20 - 0.02D, 0D)')} ELSE 50D END",
+            "_cmf_score": sigmoid("_cmf", 0.08),
+            "_obv_score": sigmoid("_obv", 0.25),
+        },
     )
-    staged = staged.withColumn("_tight", F.greatest(F.col("_squeeze"), F.lit(0.0)))
-    staged = staged.withColumn(
-        "_absorption_score", clip_score(F.lit(35.0) + F.lit(180.0) * F.col("absorption_20") + F.lit(20.0) * F.col("_tight"))
+    staged = with_texts(
+        staged,
+        {
+            "_tight": "greatest(_squeeze, 0D)",
+            "_absorption": score("(35 + 180 * absorption_20 + 20 * greatest(_squeeze, 0D))"),
+        },
     )
-    staged = staged.withColumn(
-        "_proxy_acc",
-        clip_score(
-            F.lit(0.30) * sigmoid_score(F.col("_cmf"), 0.08)
-            + F.lit(0.24) * sigmoid_score(F.col("_obv"), 0.25)
-            + F.lit(0.20) * clip_score(F.col("_up") * 100.0)
-            + F.lit(0.14) * clip_score(F.col("acceptance_20") * 100.0)
-            + F.lit(0.12) * F.col("_absorption_score")
-        ),
+    staged = with_texts(
+        staged,
+        {
+            "_proxy_acc": score(
+                f"(0.30D * _cmf_score + 0.24D * _obv_score + 0.20D * {clip('_up * 100')}"
+                f" + 0.14D * {clip('acceptance_20 * 100')} + 0.12D * _absorption)"
+            ),
+        },
     )
-    flatness = between(F.lit(1.0) - F.abs("_p20") / F.lit(0.12), 0.0, 1.0)
-    liquid = sigmoid_score(F.log10(F.greatest(F.col("_adv"), F.lit(1.0))) - F.lit(8.3), 0.7)
-    calm = F.when(
-        finite(F.col("_vol20")),
-        clip_score(F.lit(100.0) - F.lit(1200.0) * F.greatest(F.col("_vol20") - F.lit(0.02), F.lit(0.0))),
-    ).otherwise(F.lit(50.0))
+
+    def given(text: str, default: str) -> str:
+        return f"CASE WHEN _enough THEN {text} ELSE {default} END"
+
     features = {
-        "retail_exhaustion_score": _unless_short(
-            enough,
-            clip_score(
-                F.lit(45.0) * flatness
-                + F.lit(25.0) * F.col("_tight")
-                + F.lit(20.0) * persistence
-                + F.lit(10.0) * F.col("_absorption_score") / F.lit(100.0)
+        "retail_exhaustion_score": given(
+            score(
+                f"(45 * {clip('1 - abs(_p20) / 0.12D', 0.0, 1.0)} + 25 * _tight + 20 * {persistence} + _absorption / 10)"
             ),
-            30.0,
+            "30D",
         ),
-        "price_flow_divergence_score": _unless_short(
-            enough,
-            clip_score(
-                F.lit(50.0)
-                + F.lit(0.45) * (F.coalesce(accumulation, F.col("_proxy_acc")) - F.lit(50.0))
-                - F.lit(150.0) * F.col("_p20")
-            ),
-            30.0,
-        ),
-        "risk_liquidity_score": _unless_short(enough, clip_score(F.lit(0.6) * liquid + F.lit(0.4) * calm), 30.0),
-        "price_return_20d": F.when(enough, F.col("_p20") * 100.0),
-        "realized_vol_20d": F.when(enough, F.col("_vol20")),
-        "avg_traded_value_20d": F.when(enough, F.col("_adv")),
-        "proxy_accumulation_score": _unless_short(enough, F.col("_proxy_acc"), 30.0),
-        "proxy_absorption_score": _unless_short(enough, F.col("_absorption_score"), 30.0),
-        "proxy_supply_tightness_score": _unless_short(
-            enough,
-            clip_score(
-                F.lit(40.0) * F.col("_tight") + F.lit(35.0) * F.col("acceptance_20") + F.lit(100.0) * F.col("absorption_20")
-            ),
-            30.0,
+        "price_flow_divergence_score": given(score(f"(50 + 0.45D * ({accumulation} - 50) - 150 * _p20)"), "30D"),
+        "risk_liquidity_score": given(score("(0.6D * _liquid + 0.4D * _calm)"), "30D"),
+        "price_return_20d": given("_p20 * 100", "NULL"),
+        "realized_vol_20d": given("_vol20", "NULL"),
+        "avg_traded_value_20d": given("_adv", "NULL"),
+        "proxy_accumulation_score": given("_proxy_acc", "30D"),
+        "proxy_absorption_score": given("_absorption", "30D"),
+        "proxy_supply_tightness_score": given(
+            score("(40 * _tight + 35 * acceptance_20 + 100 * absorption_20)"), "30D"
         ),
-        "proxy_distribution_risk": _unless_short(
-            enough,
-            clip_score(
-                F.lit(50.0)
-                + F.lit(40.0) * F.greatest(-F.col("_cmf"), F.lit(0.0))
-                + F.lit(22.0) * F.greatest(-F.col("_obv"), F.lit(0.0))
-                + F.lit(100.0) * F.greatest(-F.col("_p20") - F.lit(0.08), F.lit(0.0))
-                - F.lit(25.0) * F.col("absorption_20")
+        "proxy_distribution_risk": given(
+            score(
+                "(50 + 40 * greatest(-_cmf, 0D) + 22 * greatest(-_obv, 0D) + 100 * greatest(-_p20 - 0.08D, 0D)"
+                " - 25 * absorption_20)"
             ),
-            50.0,
+            "50D",
         ),
-        "proxy_cmf20": F.when(enough, F.col("_cmf")),
-        "proxy_obv_slope_norm20": F.when(enough, F.col("_obv")),
-        "proxy_up_value_ratio20": F.when(enough, F.col("_up")),
-        "proxy_close_acceptance20": F.when(enough, F.col("acceptance_20")),
-        "proxy_absorption_ratio20": F.when(enough, F.col("absorption_20")),
+        "proxy_cmf20": given("_cmf", "NULL"),
+        "proxy_obv_slope_norm20": given("_obv", "NULL"),
+        "proxy_up_value_ratio20": given("_up", "NULL"),
+        "proxy_close_acceptance20": given("acceptance_20", "NULL"),
+        "proxy_absorption_ratio20": given("absorption_20", "NULL"),
     }
-    return staged.withColumns(features).drop(
-        "_vol20", "_p20", "_cmf", "_obv", "_up", "_adv", "_squeeze", "_tight", "_absorption_score", "_proxy_acc"
-    )
+    return with_texts(staged, features).drop(*[c for c in staged.columns if c.startswith("_")])
 
 
 def add_structure(profile: DataFrame) -> DataFrame:
     """Break of structure, change of character, sweep, gap and trade levels."""
     # Score steps, the 1.08 / 0.75 gap bounds, ATR multiples, targets.
-    enough = F.col("bars") >= 30
-    false = F.lit(False)
-    atr = F.coalesce(F.when(F.col("atr14_n") >= 7, F.col("atr14_raw")), F.col("last_close") * 0.03)
-    close = F.col("last_close")
-    trend_now = F.col("ema20_gap") >= F.col("ema50_gap")
-    trend_before = F.col("ema20_gap_6") >= F.col("ema50_gap_6")
-    staged = profile.withColumns(
+    staged = with_texts(
+        profile,
         {
-            "_atr": atr,
-            "_trend": trend_now,
-            "bos": F.when(enough, F.coalesce(close > F.col("prev20_high"), false)).otherwise(false),
-            "choch": F.when(enough, F.coalesce(trend_now & ~trend_before, false)).otherwise(false),
-            "liquidity_sweep": F.when(
-                enough, F.coalesce((F.col("last_low") < F.col("prev5_low")) & (close > F.col("prev5_low")), false)
-            ).otherwise(false),
-            "ema20": F.when(enough, close + F.col("ema20_gap")),
-            "ema50": F.when(enough, close + F.col("ema50_gap")),
-            "fvg_low": F.when(enough, F.col("fvg_low")),
-            "fvg_high": F.when(enough, F.col("fvg_high")),
-        }
-    )
-    usable = (
-        F.col("fvg_low").isNotNull() & (F.col("fvg_high") <= close * 1.08) & (F.col("fvg_low") >= close * 0.75)
+            "_enough": "bars >= 30",
+            "_atr": "coalesce(CASE WHEN atr14_n >= 7 THEN atr14_raw END, last_close * 0.03D)",
+            "_trend": "ema20_gap >= ema50_gap",
+            "_before": "ema20_gap_6 >= ema50_gap_6",
+            "_usable": "coalesce(fvg_low IS NOT NULL AND fvg_high <= last_close * 1.08D AND fvg_low >= last_close * 0.75D, FALSE)",
+        },
     )
-    staged = staged.withColumns(
+    staged = with_texts(
+        staged,
         {
-            "_low": F.when(usable, F.col("fvg_low")).otherwise(close - F.lit(0.35) * F.col("_atr")),
-            "_high": F.when(usable, F.col("fvg_high")).otherwise(close + F.lit(0.15) * F.col("_atr")),
-            "_score": F.lit(35.0)
-            + F.lit(20.0) * F.col("_trend").cast("double")
-            + F.lit(20.0) * F.col("liquidity_sweep").cast("double")
-            + F.lit(15.0) * F.col("choch").cast("double")
-            + F.lit(10.0) * F.col("bos").cast("double")
-            + F.when(F.col("fvg_low").isNotNull(), F.lit(5.0)).otherwise(F.lit(0.0)),
-        }
+            "bos": "coalesce(_enough AND last_close > prev20_high, FALSE)",
+            "choch": "coalesce(_enough AND _trend AND NOT _before, FALSE)",
+            "liquidity_sweep": "coalesce(_enough AND last_low < prev5_low AND last_close > prev5_low, FALSE)",
+            "ema20": "CASE WHEN _enough THEN last_close + ema20_gap END",
+            "ema50": "CASE WHEN _enough THEN last_close + ema50_gap END",
+            "_low": "CASE WHEN _usable THEN fvg_low ELSE last_close - 0.35D * _atr END",
+            "_high": "CASE WHEN _usable THEN fvg_high ELSE last_close + 0.15D * _atr END",
+            "fvg_low": "CASE WHEN _enough THEN fvg_low END",
+            "fvg_high": "CASE WHEN _enough THEN fvg_high END",
+        },
     )
-    staged = staged.withColumns(
+    staged = with_texts(
+        staged,
         {
-            "_mid": (F.col("_low") + F.col("_high")) / F.lit(2.0),
-            "_stop": F.least(F.col("prev5_low"), F.col("_low") - F.lit(0.8) * F.col("_atr")),
-        }
-    )
-    staged = staged.withColumn("_risk", F.greatest(F.col("_mid") - F.col("_stop"), F.col("_atr") * 0.5))
-    staged = staged.withColumns(
-        {"_tp1": F.col("_mid") + F.lit(2.0) * F.col("_risk"), "_tp2": F.col("_mid") + F.lit(3.2) * F.col("_risk")}
+            "_mid": "(_low + _high) / 2",
+            "_stop": "least(prev5_low, _low - 0.8D * _atr)",
+            "_score": "35D + 20 * int(_trend) + 20 * int(liquidity_sweep) + 15 * int(choch) + 10 * int(bos)"
+            " + CASE WHEN fvg_low IS NOT NULL THEN 5 ELSE 0 END",
+        },
     )
-    valid = enough & F.coalesce(
-        (F.col("_risk") > 0)
-        & (F.col("_high") > F.col("_low"))
-        & (F.col("_stop") < F.col("_low"))
-        & (F.col("_tp1") > F.col("_high"))
-        & (F.col("_tp2") > F.col("_tp1")),
-        false,
+    staged = with_texts(staged, {"_risk": "greatest(_mid - _stop, _atr * 0.5D)"})
+    staged = with_texts(staged, {"_tp1": "_mid + 2.0D * _risk", "_tp2": "_mid + 3.2D * _risk"})
+    staged = with_texts(
+        staged,
+        {
+            "execution_geometry_valid": "coalesce(_enough AND _risk > 0 AND _high > _low AND _stop < _low AND _tp1 > _high"
+            " AND _tp2 > _tp1, FALSE)",
+        },
     )
-    staged = staged.withColumn("execution_geometry_valid", valid)
-    ok = F.col("execution_geometry_valid")
-    score = between(F.col("_score"), 0.0, 100.0)
-    return staged.withColumns(
+    levels = {"entry_low": "_low", "entry_high": "_high", "invalidation": "_stop", "tp1": "_tp1", "tp2": "_tp2"}
+    out = with_texts(
+        staged,
         {
-            "entry_low": F.when(ok, F.col("_low")),
-            "entry_high": F.when(ok, F.col("_high")),
-            "invalidation": F.when(ok, F.col("_stop")),
-            "tp1": F.when(ok, F.col("_tp1")),
-            "tp2": F.when(ok, F.col("_tp2")),
-            "smc_execution_score": F.when(ok, score).otherwise(
-                F.when(enough, F.least(score, F.lit(25.0))).otherwise(F.lit(25.0))
-            ),
-        }
-    ).drop("_atr", "_trend", "_low", "_high", "_score", "_mid", "_stop", "_risk", "_tp1", "_tp2")
+            **{name: f"CASE WHEN execution_geometry_valid THEN {text} END" for name, text in levels.items()},
+            "smc_execution_score": f"CASE WHEN execution_geometry_valid THEN {clip('_score')}"
+            f" WHEN _enough THEN least({clip('_score')}, 25D) ELSE 25D END",
+        },
+    )
+    return out.drop(*[c for c in staged.columns if c.startswith("_")])
 
 
-def add_quality(profile: DataFrame, reference_date: Column | None = None) -> DataFrame:
+def add_quality(profile: DataFrame, reference: str = "last_date") -> DataFrame:
     """Staleness in calendar days, bar defects, recent split-like event, 0..100 score.
 
-    A row without bars (``bars`` null, from a universe join) takes the worst values.
+    ``reference`` is the SQL text of the day staleness is measured to. A row
+    without bars (``bars`` null, from a universe join) takes the worst values.
     """
     # Penalties and tolerances of the score, the 60-bar recovery.
-    some = F.coalesce(F.col("bars"), F.lit(0)) > 0
-    reference = F.col("last_date") if reference_date is None else F.coalesce(reference_date, F.col("last_date"))
-    found = F.col("split_rn").isNotNull() & (F.col("bars") >= 3)
-    staged = profile.withColumns(
+    found = "split_rn IS NOT NULL AND bars >= 3"
+    staged = with_texts(
+        profile,
         {
-            "price_staleness_days": F.when(
-                some, F.greatest(F.datediff(reference, F.col("last_date")), F.lit(0))
-            ).otherwise(F.lit(999)),
-            "zero_volume_ratio_20d": F.coalesce(F.col("zero_volume_20"), F.lit(1.0)),
-            "unchanged_close_ratio_20d": F.when(F.col("bars") >= 2, F.col("unchanged_20")).otherwise(F.lit(1.0)),
-            "ohlc_geometry_error_ratio": F.coalesce(F.col("bad_geometry_60"), F.lit(1.0)),
-            "split_like_event_detected": F.coalesce(found, F.lit(False)),
-            "split_like_event_date": F.when(found, F.col("split_date")),
-            "split_like_factor": F.when(found, F.col("split_factor")),
-            "split_like_bars_ago": F.when(found, F.col("split_rn") - 1),
-        }
+            "_some": "coalesce(bars, 0) > 0",
+            "price_staleness_days": "CASE WHEN coalesce(bars, 0) > 0"
+            f" THEN greatest(datediff(coalesce({reference}, last_date), last_date), 0) ELSE 999 END",
+            "zero_volume_ratio_20d": "coalesce(zero_volume_20, 1D)",
+            "unchanged_close_ratio_20d": "CASE WHEN bars >= 2 THEN unchanged_20 ELSE 1D END",
+            "ohlc_geometry_error_ratio": "coalesce(bad_geometry_60, 1D)",
+            "split_like_event_detected": f"coalesce({found}, FALSE)",
+            "split_like_event_date": f"CASE WHEN {found} THEN split_date END",
+            "split_like_factor": f"CASE WHEN {found} THEN split_factor END",
+            "split_like_bars_ago": f"CASE WHEN {found} THEN split_rn - 1 END",
+            "split_like_event_recent": f"coalesce({found} AND split_rn - 1 < 60, FALSE)",
+        },
     )
-    staged = staged.withColumn(
-        "split_like_event_recent", F.coalesce(F.col("split_like_bars_ago") < 60, F.lit(False))
+    total = (
+        "100 - least(55D, 10D * price_staleness_days) - greatest(0D, zero_volume_ratio_20d - 0.20D) * 45"
+        " - greatest(0D, unchanged_close_ratio_20d - 0.45D) * 35 - least(35D, ohlc_geometry_error_ratio * 100)"
+        f" - CASE WHEN split_like_event_recent THEN 30 * (1 - {clip('split_like_bars_ago / 60D', 0.0, 1.0)}) ELSE 0D END"
     )
-    zero = F.lit(0.0)
-    score = (
-        F.lit(100.0)
-        - F.least(F.lit(55.0), F.lit(10.0) * F.col("price_staleness_days"))
-        - F.greatest(zero, F.col("zero_volume_ratio_20d") - 0.20) * 45.0
-        - F.greatest(zero, F.col("unchanged_close_ratio_20d") - 0.45) * 35.0
-        - F.least(F.lit(35.0), F.col("ohlc_geometry_error_ratio") * 100.0)
-        - F.when(
-            F.col("split_like_event_recent"),
-            F.lit(30.0) * (F.lit(1.0) - between(F.col("split_like_bars_ago") / F.lit(60.0), 0.0, 1.0)),
-        ).otherwise(zero)
-    )
-    return staged.withColumn("price_data_quality_score", F.when(some, between(score, 0.0, 100.0)).otherwise(zero))
-
-
-def ticker_returns(profile: DataFrame) -> DataFrame:
-    """20- and 60-session returns; null without enough bars or a positive base."""
+    return with_texts(staged, {"price_data_quality_score": f"CASE WHEN _some THEN {clip(total)} ELSE 0D END"}).drop("_some")
 
-    def ret(sessions: int, base: str) -> Column:
-        usable = (F.col("bars") > sessions) & (F.col(base) > 0)
-        return F.when(usable, F.col("last_close") / F.col(base) - 1.0)
 
-    return profile.withColumns({"r20": ret(20, "close_21"), "r60": ret(60, "close_61")})
+# 20- and 60-session returns; null without enough bars or a positive base.
+RETURNS = {
+    "r20": "CASE WHEN bars > 20 AND close_21 > 0 THEN last_close / close_21 - 1 END",
+    "r60": "CASE WHEN bars > 60 AND close_61 > 0 THEN last_close / close_61 - 1 END",
+}
 
 
 def market_context(profile: DataFrame) -> DataFrame:
     """One row: breadth, median returns, regime score and label, reference date."""
     # Weights 0.35/0.20/0.27/0.18, scales 0.055/0.11, labels at 65/55/45/35.
-    stats = ticker_returns(profile).agg(
-        F.coalesce(F.avg((F.col("r20") > 0).cast("double")), F.lit(0.5)).alias("breadth_20d"),
-        F.coalesce(F.avg((F.col("r60") > 0).cast("double")), F.lit(0.5)).alias("breadth_60d"),
-        F.coalesce(F.median("r20"), F.lit(0.0)).alias("median_return_20d"),
-        F.coalesce(F.median("r60"), F.lit(0.0)).alias("median_return_60d"),
-        F.max("last_date").alias("reference_date"),
-        F.greatest(F.count("r20"), F.count("r60")).alias("coverage_count"),
+    stats = with_texts(profile, RETURNS).agg(
+        *agg_texts(
+            {
+                "breadth_20d": "coalesce(avg(double(r20 > 0)), 0.5D)",
+                "breadth_60d": "coalesce(avg(double(r60 > 0)), 0.5D)",
+                "median_return_20d": "coalesce(median(r20), 0D)",
+                "median_return_60d": "coalesce(median(r60), 0D)",
+                "reference_date": "max(last_date)",
+                "coverage_count": "greatest(count(r20), count(r60))",
+            }
+        )
     )
-    score = between(
-        F.lit(35.0) * F.col("breadth_20d")
-        + F.lit(20.0) * F.col("breadth_60d")
-        + F.lit(0.27) * sigmoid_score(F.col("median_return_20d"), 0.055)
-        + F.lit(0.18) * sigmoid_score(F.col("median_return_60d"), 0.11),
-        0.0,
-        100.0,
+    total = (
+        f"35 * breadth_20d + 20 * breadth_60d + 0.27D * {sigmoid('median_return_20d', 0.055)}"
+        f" + 0.18D * {sigmoid('median_return_60d', 0.11)}"
     )
-    known = F.col("coverage_count") > 0
-    scored = stats.withColumn("market_regime_score", F.when(known, score).otherwise(F.lit(50.0)))
-    regime = F.col("market_regime_score")
-    label = (
-        F.when(~known, F.lit("UNKNOWN"))
-        .when(regime >= 65, F.lit("RISK_ON"))
-        .when(regime >= 55, F.lit("CONSTRUCTIVE"))
-        .when(regime >= 45, F.lit("NEUTRAL"))
-        .when(regime >= 35, F.lit("DEFENSIVE"))
-        .otherwise(F.lit("RISK_OFF"))
+    scored = with_texts(stats, {"market_regime_score": f"CASE WHEN coverage_count > 0 THEN {clip(total)} ELSE 50D END"})
+    return with_texts(
+        scored,
+        {
+            "market_regime_label": "CASE WHEN coverage_count = 0 THEN 'UNKNOWN' WHEN market_regime_score >= 65 THEN 'RISK_ON'"
+            " WHEN market_regime_score >= 55 THEN 'CONSTRUCTIVE' WHEN market_regime_score >= 45 THEN 'NEUTRAL'"
+            " WHEN market_regime_score >= 35 THEN 'DEFENSIVE' ELSE 'RISK_OFF' END"
+        },
     )
-    return scored.withColumn("market_regime_label", label)
 
 
 def add_market(profile: DataFrame, context: Column) -> DataFrame:
     """Relative strength of each ticker against the one-row ``context`` struct."""
     # Weights 0.55/0.30/0.15, scales 0.06/0.12.
-    rows = ticker_returns(profile).withColumn("_ctx", context)
-    ctx = F.col("_ctx")
-    rows = rows.withColumns(
+    rows = with_texts(profile, RETURNS).withColumn("_ctx", context)
+    rows = with_texts(
+        rows,
         {
-            "_rel20": F.coalesce(F.col("r20") - ctx["median_return_20d"], F.lit(0.0)),
-            "_rel60": F.coalesce(F.col("r60") - ctx["median_return_60d"], F.lit(0.0)),
-            "market_regime_score": F.when(ctx["market_regime_score"] == 0, F.lit(50.0)).otherwise(
-                F.coalesce(ctx["market_regime_score"], F.lit(50.0))
-            ),
-        }
+            "_rel20": "coalesce(r20 - _ctx.median_return_20d, 0D)",
+            "_rel60": "coalesce(r60 - _ctx.median_return_60d, 0D)",
+            "market_regime_score": zero_default("_ctx.market_regime_score", 50.0),
+        },
     )
-    return rows.withColumns(
+    total = f"0.55D * market_regime_score + 0.30D * {sigmoid('_rel20', 0.06)} + 0.15D * {sigmoid('_rel60', 0.12)}"
+    return with_texts(
+        rows,
         {
-            "market_sector_score": between(
-                F.lit(0.55) * F.col("market_regime_score")
-                + F.lit(0.30) * sigmoid_score(F.col("_rel20"), 0.06)
-                + F.lit(0.15) * sigmoid_score(F.col("_rel60"), 0.12),
-                0.0,
-                100.0,
-            ),
-            "market_regime_label": F.coalesce(ctx["market_regime_label"], F.lit("UNKNOWN")),
-            "market_breadth_20d": F.when(ctx["breadth_20d"] == 0, F.lit(0.5)).otherwise(ctx["breadth_20d"]),
-            "market_breadth_60d": F.when(ctx["breadth_60d"] == 0, F.lit(0.5)).otherwise(ctx["breadth_60d"]),
-            "universe_median_return_20d": ctx["median_return_20d"] * 100.0,
-            "universe_median_return_60d": ctx["median_return_60d"] * 100.0,
-            "relative_strength_20d_pct": F.col("_rel20") * 100.0,
-            "relative_strength_60d_pct": F.col("_rel60") * 100.0,
-            "market_context_basis": F.lit("UNIVERSE_BREADTH_RELATIVE_STRENGTH"),
-            "market_context_coverage": F.coalesce(ctx["coverage_count"], F.lit(0)),
-            "market_reference_date": ctx["reference_date"],
-        }
+            "market_sector_score": clip(total),
+            "market_regime_label": "coalesce(_ctx.market_regime_label, 'UNKNOWN')",
+            "market_breadth_20d": zero_default("_ctx.breadth_20d", 0.5),
+            "market_breadth_60d": zero_default("_ctx.breadth_60d", 0.5),
+            "universe_median_return_20d": "_ctx.median_return_20d * 100",
+            "universe_median_return_60d": "_ctx.median_return_60d * 100",
+            "relative_strength_20d_pct": "_rel20 * 100",
+            "relative_strength_60d_pct": "_rel60 * 100",
+            "market_context_basis": "'UNIVERSE_BREADTH_RELATIVE_STRENGTH'",
+            "market_context_coverage": "coalesce(_ctx.coverage_count, 0)",
+            "market_reference_date": "_ctx.reference_date",
+        },
     ).drop("_ctx", "_rel20", "_rel60", "r20", "r60")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.config import ScanConfig
-from tidebook.functions.frames import one_row
-from tidebook.functions.scalars import rint_to, zero_default
+from tidebook.functions.frames import one_row, staged
+from tidebook.functions.text import rounded, with_texts, zero_default
 from tidebook.operators.bars import bar_profile
 from tidebook.operators.broker import add_broker_features, broker_state
 from tidebook.operators.foreign import add_foreign_features, foreign_state
@@ -17,9 +17,8 @@ from tidebook.operators.price import (
     add_quality,
     add_structure,
     market_context,
-    ticker_returns,
 )
-from tidebook.operators.scoring import action, add_effective, add_guard, direct_gate, final_score, phase
+from tidebook.operators.scoring import add_action, add_effective, add_guard, add_phase, add_score, direct_gate
 
 MARKET_COLUMNS = (
     "market_sector_score",
@@ -109,56 +108,50 @@ def scan_inputs(bars: DataFrame, broker: DataFrame | None, flow: DataFrame | Non
     )
 
 
-def score_rows(rows: DataFrame, config: ScanConfig, reference_date: Column | None) -> DataFrame:
+def score_rows(rows: DataFrame, config: ScanConfig, reference: str) -> DataFrame:
     """Features to result columns. ``rows`` also carries the market columns."""
     rows = add_foreign_features(add_broker_features(rows, config))
-    rows = add_quality(add_structure(rows), reference_date)
-    rows = rows.withColumn("direct_broker", direct_gate(config))
-    counts = F.col("direct_broker")
-    rows = add_price_flow(
-        rows,
-        broker_accumulation=F.when(counts, F.col("accumulation_score")),
-        broker_persistence=F.when(counts, F.col("persistence_20d")),
-    )
-    rows = add_effective(rows).withColumn("score", final_score(config))
-    rows = rows.withColumn("phase", phase())
-    return add_guard(rows.withColumn("action", action()), config)
-
-
-def publish(rows: DataFrame) -> DataFrame:
-    """The 29-field result row with rounded scores; ``score`` keeps the exact one."""
-
-    def two(name: str) -> Column:
-        return rint_to(F.col(name), 2)
-
-    direct = F.col("direct_broker")
-    return rows.select(
+    rows = add_quality(add_structure(rows), reference)
+    rows = with_texts(rows, {"direct_broker": direct_gate(config)})
+    rows = add_effective(add_price_flow(rows, counts="direct_broker"))
+    return add_guard(add_action(add_phase(add_score(rows, config))), config)
+
+
+def publish(rows: DataFrame, *also: str) -> DataFrame:
+    """The 29-field result row with rounded scores, ``score`` with the exact one, and the columns in ``also``."""
+    two = {
+        "final_score": "score",
+        "evidence_coverage_pct": "coverage_pct",
+        "accumulation_score": "effective_accumulation",
+        "operator_dominance_score": "effective_dominance",
+        "cost_basis_score": "effective_cost_basis",
+        "retail_exhaustion_score": "retail_exhaustion_score",
+        "foreign_institutional_score": zero_default("foreign_institutional_score", 50.0),
+        "supply_concentration_score": "effective_supply",
+        "price_flow_divergence_score": "price_flow_divergence_score",
+        "market_context_score": zero_default("market_sector_score", 50.0),
+        "smc_execution_score": "smc_execution_score",
+        "risk_liquidity_score": "risk_liquidity_score",
+        "price_data_quality_score": "price_data_quality_score",
+        "distribution_risk": "effective_distribution",
+        "premium_to_cost_pct": "CASE WHEN direct_broker THEN premium_to_cost_pct END",
+        **{c: c for c in ("entry_low", "entry_high", "invalidation", "tp1", "tp2")},
+    }
+    cost = f"CASE WHEN direct_broker THEN {rounded('estimated_smart_money_cost', 4)} END"
+    diagnostics = ", ".join(f"'{c}', {c}" for c in DIAGNOSTICS)
+    return rows.selectExpr(
         "ticker",
-        F.col("last_date").alias("as_of_date"),
-        two("score").alias("final_score"),
+        "last_date AS as_of_date",
         "phase",
         "action",
         "evidence_tier",
-        two("coverage_pct").alias("evidence_coverage_pct"),
-        two("effective_accumulation").alias("accumulation_score"),
-        two("effective_dominance").alias("operator_dominance_score"),
-        two("effective_cost_basis").alias("cost_basis_score"),
-        two("retail_exhaustion_score").alias("retail_exhaustion_score"),
-        rint_to(zero_default(F.col("foreign_institutional_score"), 50.0), 2).alias("foreign_institutional_score"),
-        two("effective_supply").alias("supply_concentration_score"),
-        two("price_flow_divergence_score").alias("price_flow_divergence_score"),
-        rint_to(zero_default(F.col("market_sector_score"), 50.0), 2).alias("market_context_score"),
-        two("smc_execution_score").alias("smc_execution_score"),
-        two("risk_liquidity_score").alias("risk_liquidity_score"),
-        two("price_data_quality_score").alias("price_data_quality_score"),
-        two("effective_distribution").alias("distribution_risk"),
-        F.when(direct, rint_to(F.col("estimated_smart_money_cost"), 4)).alias("estimated_smart_money_cost"),
-        F.when(direct, two("premium_to_cost_pct")).alias("premium_to_cost_pct"),
-        *[two(c).alias(c) for c in ("entry_low", "entry_high", "invalidation", "tp1", "tp2")],
+        *[f"{rounded(text, 2)} AS {name}" for name, text in two.items()],
+        f"{cost} AS estimated_smart_money_cost",
         "real_money_state",
         "guardrail_reason",
-        F.struct(F.col("direct_broker").alias("broker_alpha_applied"), *DIAGNOSTICS).alias("diagnostics"),
+        f"named_struct('broker_alpha_applied', direct_broker, {diagnostics}) AS diagnostics",
         "score",
+        *also,
     )
 
 
@@ -169,19 +162,25 @@ def scan_universe(
     flow: DataFrame | None = None,
     config: ScanConfig | None = None,
     context: DataFrame | None = None,
+    stage: bool = True,
 ) -> DataFrame:
     """Scored rows of every universe ticker with enough bars.
 
     ``context`` is the one-row market context; by default it is taken from the
-    bars of the whole universe. Nothing here runs a job.
+    bars of the whole universe. With ``stage`` the per-ticker sums (one row per
+    ticker) are written once to the checkpoint folder: the context then reads
+    them instead of the bars again, and the long score projection is not
+    planned anew after every shuffle. Without it nothing here runs a job.
     """
     config = config or ScanConfig()
-    names = universe.select("ticker").distinct()
-    bars = bars.join(names, "ticker", "left_semi")
-    context = market_context(bar_profile(bars)) if context is None else context
+    bars = bars.join(universe.select("ticker").distinct(), "ticker", "left_semi")
     rows = scan_inputs(bars, broker, flow, config)
+    if stage:
+        rows = staged(rows, "scan-inputs")
+    if context is None:
+        context = market_context(rows if stage else bar_profile(bars))
     rows = add_market(rows, one_row(context)).where(F.col("bars") >= config.minimum_price_bars)
-    return publish(score_rows(rows, config, F.col("market_reference_date")))
+    return publish(score_rows(rows, config, "market_reference_date"))
 
 
 def scan_errors(universe: DataFrame, bars: DataFrame, config: ScanConfig | None = None) -> DataFrame:
@@ -204,5 +203,3 @@ def scan_errors(universe: DataFrame, bars: DataFrame, config: ScanConfig | None
 def in_result_order(results: DataFrame) -> DataFrame:
     return results.orderBy("real_money_state", F.col("final_score").desc(), "ticker")
 
-
-__all__ = ["in_result_order", "publish", "scan_errors", "scan_inputs", "scan_universe", "score_rows", "ticker_returns"]

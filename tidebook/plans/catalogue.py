@@ -418,7 +418,7 @@ QUALITY_SPEC = (
 def _quality(spark: SparkSession, root: str, rough: bool) -> DataFrame:
     bars = T.bars(spark, root, rough)
     newest = bars.agg(F.max("date").alias("d"))
-    return price.add_quality(B.bar_profile(bars).withColumn("_ref", newest.scalar()), F.col("_ref"))
+    return price.add_quality(B.bar_profile(bars).withColumn("_ref", newest.scalar()), "_ref")
 
 
 @query(QUALITY_SPEC, "SELECT * FROM quality")
@@ -468,8 +468,11 @@ def _result_sql(scan: str) -> str:
 
 
 def _scan(spark: SparkSession, root: str, broker: str | None) -> DataFrame:
+    """The bars, read by the evidence choice and by the scan, are stored once, as a job would."""
     rows = None if broker is None else T.broker_flows(spark, root, all_verified=broker == "verified")
-    return S.scan_universe(T.universe(spark, root), T.bars(spark, root), rows, _evidence(spark, root))
+    bars, names = staged(T.bars(spark, root), "bars"), T.universe(spark, root)
+    flow = evidence.prepare_foreign_evidence(names, staged(T.foreign_flows(spark, root), "foreign"), bars)
+    return S.scan_universe(names, bars, rows, flow)
 
 
 @query(RESULT_SPEC, _result_sql("scan_full"))
@@ -506,9 +509,9 @@ def _funnel(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataF
     """First pass, finalists and verified finalists; shared inputs are stored once, as a job would."""
     bars, flow = staged(T.bars(spark, root), "bars"), staged(T.foreign_flows(spark, root), "foreign")
     names = T.universe(spark, root)
-    flow = evidence.prepare_foreign_evidence(names, flow, bars)
+    flow = staged(evidence.prepare_foreign_evidence(names, flow, bars), "evidence")
     first = staged(S.scan_universe(names, bars, None, flow), "first-pass")
-    finalists = funnel.select_guarded_top5(first)
+    finalists = staged(funnel.select_guarded_top5(first), "finalists")
     second = funnel.verify_guarded_top5(finalists, bars, T.broker_flows(spark, root, all_verified=True), flow)
     return first, finalists, second
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tidebook.plans.oracle_views import CTES, even
 
@@ -18,15 +17,14 @@ def parse(spec: str) -> list[tuple[str, str]]:
 def shaped(df: DataFrame, spec: str) -> DataFrame:
     """Selects the contract's columns. Adding zero turns a negative zero into zero."""
 
-    def column(name: str, kind: str) -> Column:
+    def column(name: str, kind: str) -> str:
         if kind == "i":
-            return F.col(name).cast("bigint").alias(name)
+            return f"bigint(`{name}`) AS `{name}`"
         if kind:
-            scale = float(10 ** int(kind))
-            return (F.rint(F.col(name).cast("double") * F.lit(scale)) / F.lit(scale) + F.lit(0.0)).alias(name)
-        return F.col(name)
+            return f"rint(double(`{name}`) * 1e{kind}D) / 1e{kind}D + 0D AS `{name}`"
+        return f"`{name}`"
 
-    return df.select(*[column(n, k) for n, k in parse(spec)])
+    return df.selectExpr(*[column(n, k) for n, k in parse(spec)])
 
 
 def oracle_query(body: str, spec: str) -> str:
