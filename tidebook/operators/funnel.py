@@ -138,7 +138,7 @@ def verify_guarded_top5(
         F.col("guarded_rank"),
         F.col("ticker"),
     ]
-    return out.withColumns(
+    ranked = out.withColumns(
         {
             "diagnostics": F.struct(
                 "diagnostics.broker_alpha_applied",
@@ -151,6 +151,7 @@ def verify_guarded_top5(
             "broker_rank": F.row_number().over(Window.orderBy(*order)),
         }
     )
+    return staged(ranked, "verified")
 
 
 def merge_verified_finalists(base: DataFrame, verified: DataFrame) -> DataFrame:

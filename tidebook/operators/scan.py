@@ -162,25 +162,22 @@ def scan_universe(
     flow: DataFrame | None = None,
     config: ScanConfig | None = None,
     context: DataFrame | None = None,
-    stage: bool = True,
 ) -> DataFrame:
     """Scored rows of every universe ticker with enough bars.
 
     ``context`` is the one-row market context; by default it is taken from the
-    bars of the whole universe. With ``stage`` the per-ticker sums (one row per
-    ticker) are written once to the checkpoint folder: the context then reads
-    them instead of the bars again, and the long score projection is not
-    planned anew after every shuffle. Without it nothing here runs a job.
+    bars of the whole universe. Two small tables, one row per ticker each, are
+    written to the checkpoint folder on the way: the per-ticker sums, so that
+    bars are read once for both context and scores and the long score
+    projection is not planned anew after every shuffle; and the results, so
+    that a filter on a score is not unfolded through that projection.
     """
     config = config or ScanConfig()
     bars = bars.join(universe.select("ticker").distinct(), "ticker", "left_semi")
-    rows = scan_inputs(bars, broker, flow, config)
-    if stage:
-        rows = staged(rows, "scan-inputs")
-    if context is None:
-        context = market_context(rows if stage else bar_profile(bars))
+    rows = staged(scan_inputs(bars, broker, flow, config), "scan-inputs")
+    context = market_context(rows) if context is None else context
     rows = add_market(rows, one_row(context)).where(F.col("bars") >= config.minimum_price_bars)
-    return publish(score_rows(rows, config, "market_reference_date"))
+    return staged(publish(score_rows(rows, config, "market_reference_date")), "scan-results")
 
 
 def scan_errors(universe: DataFrame, bars: DataFrame, config: ScanConfig | None = None) -> DataFrame:

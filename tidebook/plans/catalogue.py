@@ -510,7 +510,7 @@ def _funnel(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataF
     bars, flow = staged(T.bars(spark, root), "bars"), staged(T.foreign_flows(spark, root), "foreign")
     names = T.universe(spark, root)
     flow = staged(evidence.prepare_foreign_evidence(names, flow, bars), "evidence")
-    first = staged(S.scan_universe(names, bars, None, flow), "first-pass")
+    first = S.scan_universe(names, bars, None, flow)
     finalists = staged(funnel.select_guarded_top5(first), "finalists")
     second = funnel.verify_guarded_top5(finalists, bars, T.broker_flows(spark, root, all_verified=True), flow)
     return first, finalists, second
