@@ -53,7 +53,8 @@ def upsert(df: DataFrame, path: str, keys: Sequence[str], partition: str, order:
         held = held.join(touched, partition, "left_semi")
         both = held.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)), allowMissingColumns=True)
         fresh = staged(latest_by_key(both, list(keys), [F.col("_new")]).drop("_new"), "upsert-out")
-    # Rows of one partition value may be many; only the session's own file splits bound a file.
+    # Few files per partition value, while a value with very many rows is split over tasks.
+    fresh = fresh.hint("rebalance", partition)
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -62,12 +62,14 @@ def ingest_trade_days(
     """Whole trade days as they arrive: flow per micro-batch, upserted by key.
 
     A day delivered again replaces its rows, so a repeated batch leaves the
-    table unchanged.
+    table unchanged. The table is partitioned by month, which keeps files large
+    over long histories.
     """
 
     def store(batch: DataFrame, _batch_id: int) -> None:
         rows = batch if prepare is None else prepare(batch)
-        upsert(aggregate_trades(rows), table_path, keys, "trade_date")
+        flow = aggregate_trades(rows).withColumn("trade_month", month_number("trade_date"))
+        upsert(flow, table_path, (*keys, "trade_month"), "trade_month")
 
     return (
         trades.writeStream.foreachBatch(store)
@@ -82,8 +84,15 @@ def drop_repeats(trades: DataFrame, keys: Sequence[str], delay: str = "3 days")
     return trades.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
+def month_number(day: str) -> Column:
+    return F.year(day) * 100 + F.month(day)
+
+
 def retained(spark: SparkSession, table_path: str, as_of: str, keep_days: int = 45) -> DataFrame:
-    return prune(spark.read.parquet(table_path), as_of, keep_days)
+    """Rows young enough to keep; whole months are pruned before files are read."""
+    first = F.date_sub(F.lit(as_of).cast("date"), keep_days)
+    rows = spark.read.parquet(table_path).where(F.col("trade_month") >= F.year(first) * 100 + F.month(first))
+    return prune(rows, as_of, keep_days)
 
 
 def refresh_outcomes_on_bars(
