@@ -67,6 +67,21 @@ def test_event_time_daily_totals(spark, tmp_path):
     assert {(r.participant, r.buy_value, r.sell_value) for r in closed} == {("P", 10.0, 0.0), ("Q", 0.0, 10.0)}
 
 
+def test_outcomes_advance_with_arriving_bars(spark, tmp_path):
+    price_in, prices, table = (str(tmp_path / n) for n in ("in", "prices", "outcomes"))
+    dates = [dt.date(2026, 1, 1) + dt.timedelta(days=i) for i in range(8)]
+    bars = [("A", d, 10.0 + i, 11.0 + i, 9.0 + i, 10.0 + i, "S", dt.datetime(2026, 2, 1)) for i, d in enumerate(dates)]
+    schema = "ticker string, trade_date date, open double, high double, low double, close double, source string, ingested_at timestamp"
+    spark.createDataFrame(bars, schema).coalesce(1).write.parquet(price_in)
+    held = "run_id string, ticker string, as_of_date date, evaluation_status string, evaluated_through date, return_5d double"
+    spark.createDataFrame([("r", "A", dates[0], "PENDING", None, None)], held).write.partitionBy("as_of_date").parquet(table)
+    live = spark.readStream.schema(spark.read.parquet(price_in).schema).parquet(price_in)
+    universe = spark.createDataFrame([("A",)], "ticker string")
+    stream.refresh_outcomes_on_bars(live, prices, table, universe, str(tmp_path / "c")).awaitTermination()
+    row = spark.read.parquet(table).collect()[0]
+    assert row.evaluation_status == "PARTIAL" and row.return_5d == 50.0 and row.evaluated_through == dates[-1]
+
+
 @pytest.mark.parametrize(
     "name",
     ["participant_top10", "bars_last_n", "price_flow_features", "smc_levels", "broker_features", "outcomes_excluded", "duplicate_runs"],

@@ -85,11 +85,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
     For a frame that several branches of a plan read. The copy lives in the
     folder the cluster names in ``spark.checkpoint.dir`` and so survives the
-    loss of executors; only where that is unset a local folder is taken.
+    loss of executors. Where that is unset, a session in one process takes a local
+    folder and a cluster session is refused.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root}/tidebook/{name}-{uuid.uuid4().hex}"

@@ -25,15 +25,6 @@ def between(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-def clip_score(x: Column) -> Column:
-    """0..100, 50 for a value that is no finite number."""
-    return F.when(finite(x), between(x, 0.0, 100.0)).otherwise(F.lit(50.0))
-
-
-def sigmoid_score(x: Column, scale: float) -> Column:
-    """Logistic score 0..100 with the argument held within +-12."""
-    z = between(x / F.lit(max(scale, 1e-9)), -12.0, 12.0)
-    return F.when(finite(x), F.lit(100.0) / (F.lit(1.0) + F.exp(-z))).otherwise(F.lit(50.0))
 
 
 def zero_default(x: Column, default: float) -> Column:
@@ -57,9 +48,6 @@ def rint_to(x: Column, digits: int) -> Column:
     return F.rint(x * F.lit(scale)) / F.lit(scale)
 
 
-def fixed_text(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", rint_to(x.cast("double"), digits))
-
 
 def canonical_ticker(x: Column) -> Column:
     """Trimmed, upper case, one trailing exchange suffix removed."""

@@ -169,7 +169,7 @@ def broker_source_choice(spark, root):
     f"SELECT b.* FROM broker b JOIN ({CHOICE_SQL}) c ON c.ticker = b.ticker AND c.trade_date = b.trade_date AND c.source = b.source",
 )
 def broker_source_select(spark, root):
-    return evidence.select_broker_evidence(T.broker_flows(spark, root), VIEW_PRIORITY)
+    return evidence.select_broker_evidence(staged(T.broker_flows(spark, root), "broker"), VIEW_PRIORITY)
 
 
 @query("source ticker_days:i", f"SELECT source, count(*) AS ticker_days FROM ({CHOICE_SQL}) GROUP BY source")
@@ -690,7 +690,7 @@ def broker_cache_sync(spark, root):
     book = _truncated_book(spark, root)
     names = [f.split()[0] for f in constraints.BROKER_ROW.split(", ")]
     texts = book.select(F.to_json(F.struct(*[F.col(n) for n in names])).alias("value"))
-    return constraints.sync_broker_cache(texts, AS_OF)
+    return constraints.sync_broker_cache(staged(texts, "broker-cache"), AS_OF)
 
 
 # ---- caches and planning -------------------------------------------------------------
