@@ -124,7 +124,7 @@ def enrich_bars(bars: DataFrame, split_lookback: int = 120) -> DataFrame:
 
 
 def bar_profile(bars: DataFrame, split_lookback: int = 120) -> DataFrame:
-    """One row per ticker with every measure D14-D19 are computed from."""
+    """One row per ticker with every measure the price features are computed from."""
     absorbs = "abs(ret) <= 0.02D AND shares >= 1.25D * greatest(mean_shares, 1D) AND close_pos >= 0.55D"
     # Slope of the cumulated signed volume over the last 20 bars: the sum of
     # each bar's signed volume times its fixed least-squares weight.
