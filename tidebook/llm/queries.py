@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import ann, html_extract, mixing, packing, topk
+from tidebook.llm import ann, html_extract, langid, mixing, packing, topk
 from tidebook.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -38,12 +38,23 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
 
 
+def _digit(modulus: int):
+    """crc32 of doc_id as text, modulo; a null id counts as 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(0))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents"), _digit(4) != 2)
+    return found.select("doc_id", (_digit(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op5_packing": op5_packing,
     "op6_html": op6_html,
     "op7_exact_topk": op7_exact_topk,
     "op8_ann": op8_ann,
+    "op10_langid": op10_langid,
 }
 
 ORACLE: dict[str, str] = {
