@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import ann, html_extract, langid, mixing, packing, topk
+from tidebook.llm import ann, html_extract, langid, mixing, packing, pylm, topk
 from tidebook.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -43,6 +43,10 @@ def _digit(modulus: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(0))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pylm.score(table(spark, sf_dir, "documents"), _digit(10) == 0)
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(table(spark, sf_dir, "documents"), _digit(4) != 2)
     return found.select("doc_id", (_digit(4) == 2).alias("held_out"), "lang_pred", "score")
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html": op6_html,
     "op7_exact_topk": op7_exact_topk,
     "op8_ann": op8_ann,
+    "op9_lm": op9_lm,
     "op10_langid": op10_langid,
 }
 
