@@ -69,7 +69,7 @@ def _word(gap: Column, last: bool) -> Column:
     """The last or first word of the text between two matches, as patterns name it."""
     plain = F.translate(gap, "\t\n\r\x0b\x0c", "     ")
     word = F.substring_index(F.rtrim(plain), " ", -1) if last else F.substring_index(F.ltrim(plain), " ", 1)
-    return F.regexp_replace(F.lower(F.trim(F.lit(EDGE), word)), "[0-9]", "0")
+    return F.regexp_replace(F.lower(F.trim(word, F.lit(EDGE))), "[0-9]", "0")
 
 
 def _matches(df: DataFrame, out: str, look: str, sign: str, kind: int) -> DataFrame:
@@ -106,8 +106,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     docs = _matches(docs, "tokens", TOKEN, "[0-9@]", -1)
 
     def trimmed(s: Column) -> Column:
-        front = F.ltrim(F.lit(EDGE), s["value"])
-        value = F.rtrim(F.lit(EDGE), front)
+        front = F.ltrim(s["value"], F.lit(EDGE))
+        value = F.rtrim(front, F.lit(EDGE))
         start = s["end"] - F.length(front)
         return F.struct(F.lit(-1).alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), s["left"].alias("left"), s["right"].alias("right"))
 
