@@ -31,6 +31,16 @@ def test_result_count_is_checked(spark, tmp_path):
     assert sinks.write_results(spark.range(7), path, "run-1") == 7
 
 
+def test_partition_must_follow_from_the_key(spark, tmp_path):
+    with pytest.raises(ValueError, match="must be one of the keys"):
+        sinks.upsert(spark.createDataFrame([("a", "d1")], "k string, day string"), str(tmp_path / "t"), ["k"], "day")
+
+
+def test_strict_json_reaches_nested_values(spark):
+    df = spark.sql("SELECT named_struct('a', double('nan'), 'b', array(1D, double('inf'))) AS c, map('k', float('nan')) AS m")
+    assert sinks.strict_json(df).collect()[0].value == '{"c":{"a":null,"b":[1.0,null]},"m":{"k":null}}'
+
+
 def test_strict_json_has_no_nan(spark):
     df = spark.createDataFrame([(float("nan"), float("inf"), 1.5)], "a double, b double, c double")
     assert sinks.strict_json(df).collect()[0].value == '{"a":null,"b":null,"c":1.5}'
@@ -38,15 +48,20 @@ def test_strict_json_has_no_nan(spark):
 
 def test_stream_equals_batch_with_a_repeated_day(spark, tmp_path):
     source, table = str(tmp_path / "in"), str(tmp_path / "table")
-    for day, factor in ((12, 1.0), (13, 1.0), (12, 3.0)):
-        spark.createDataFrame(rows(day, factor), TRADES).coalesce(1).write.mode("append").parquet(source)
+    # a day in two files, and a correction of the second of them that lacks a trade
+    for name, data in (("day12a.v1", rows(12)), ("day13.v1", rows(13)), ("day12b.v1", rows(12, 3.0)), ("day12b.v2", rows(12, 2.0)[:1])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(data, TRADES).coalesce(1).write.parquet(folder)
+        (tmp_path / "in").mkdir(exist_ok=True)
+        next((tmp_path / name).glob("*.parquet")).rename(tmp_path / "in" / f"{name}.parquet")
         schema = spark.read.parquet(source).schema
         stream.ingest_trade_days(
-            stream.trade_stream(spark, source, schema), table, str(tmp_path / "checkpoint")
-        ).awaitTermination()
-    want = aggregate_trades(spark.createDataFrame(rows(13) + rows(12, 3.0), TRADES))
+            stream.trade_stream(spark, source, schema), table, str(tmp_path / "checkpoint"),
+            delivery=lambda file: F.substring_index(file, ".", 1),
+        ).awaitTermination()
+    want = aggregate_trades(spark.createDataFrame(rows(12) + rows(13) + rows(12, 2.0)[:1], TRADES))
     columns = ["ticker", "trade_date", "participant", "buy_value", "sell_value", "net_value"]
-    got = spark.read.parquet(table).select(*columns)
+    got = stream.flow_table(spark, table).select(*columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*columns).collect()))
     kept = stream.retained(spark, table, "2026-09-27", 45).select("trade_date").distinct().collect()
     assert [r[0] for r in kept] == [dt.date(2026, 8, 13)]
@@ -74,7 +89,7 @@ def test_outcomes_advance_with_arriving_bars(spark, tmp_path):
     schema = "ticker string, trade_date date, open double, high double, low double, close double, source string, ingested_at timestamp"
     spark.createDataFrame(bars, schema).coalesce(1).write.parquet(price_in)
     held = "run_id string, ticker string, as_of_date date, evaluation_status string, evaluated_through date, return_5d double"
-    spark.createDataFrame([("r", "A", dates[0], "PENDING", None, None)], held).write.partitionBy("as_of_date").parquet(table)
+    spark.createDataFrame([("r", "A", dates[0], "PENDING", None, None)], held).write.partitionBy("run_id").parquet(table)
     live = spark.readStream.schema(spark.read.parquet(price_in).schema).parquet(price_in)
     universe = spark.createDataFrame([("A",)], "ticker string")
     stream.refresh_outcomes_on_bars(live, prices, table, universe, str(tmp_path / "c")).awaitTermination()

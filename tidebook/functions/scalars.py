@@ -22,8 +22,8 @@ def finite_or_null(x: Column) -> Column:
 
 
 def between(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
-
+    """x held within bounds; null stays null, though least and greatest skip nulls."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 
@@ -76,14 +76,5 @@ def pick(x: Column, table: Mapping[str, float], default: float) -> Column:
     return F.lit(default) if out is None else out.otherwise(F.lit(default))
 
 
-def nearest_split_factor(r: Column) -> Column:
-    """The factor closest to ``r`` by plain distance; the smaller one on a tie."""
-    out = None
-    for low, high in zip(SPLIT_FACTORS, SPLIT_FACTORS[1:]):
-        test, value = r <= F.lit((low + high) / 2.0), F.lit(low)
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out.otherwise(F.lit(SPLIT_FACTORS[-1]))
-
-
 def least_relative_split_error(r: Column) -> Column:
     return F.least(*[F.abs(r - F.lit(f)) / F.lit(f) for f in SPLIT_FACTORS])

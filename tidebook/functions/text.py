@@ -15,6 +15,12 @@ from tidebook.functions.scalars import SPLIT_FACTORS
 
 
 def clip(x: str, low: float = 0.0, high: float = 100.0) -> str:
+    """x held within bounds; null stays null, though least and greatest skip nulls."""
+    return f"(CASE WHEN ({x}) IS NOT NULL THEN greatest({low}D, least({high}D, {x})) END)"
+
+
+def held(x: str, low: float = 0.0, high: float = 100.0) -> str:
+    """``clip`` for a value that is known not to be null: half as long a text."""
     return f"greatest({low}D, least({high}D, {x}))"
 
 
@@ -24,12 +30,12 @@ def known(x: str) -> str:
 
 def score(x: str) -> str:
     """0..100, 50 for a value that is no finite number."""
-    return f"CASE WHEN {known(x)} THEN {clip(x)} ELSE 50D END"
+    return f"CASE WHEN {known(x)} THEN {held(x)} ELSE 50D END"
 
 
 def sigmoid(x: str, scale: float) -> str:
     """Logistic score 0..100 with the argument held within +-12."""
-    return f"CASE WHEN {known(x)} THEN 100D / (1D + exp(-{clip(f'({x}) / {scale}D', -12.0, 12.0)})) ELSE 50D END"
+    return f"CASE WHEN {known(x)} THEN 100D / (1D + exp(-{held(f'({x}) / {scale}D', -12.0, 12.0)})) ELSE 50D END"
 
 
 def zero_default(x: str, default: float) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions.frames import first_by_key
 from tidebook.functions.scalars import least_relative_split_error, ratio
-from tidebook.functions.text import agg_texts, clip, nearest_split_factor, with_texts
+from tidebook.functions.text import agg_texts, held, nearest_split_factor, with_texts
 
 
 def newest_first() -> Window:
@@ -36,7 +36,8 @@ def with_positions(bars: DataFrame) -> DataFrame:
 
 def last_n_bars(bars: DataFrame, n: int) -> DataFrame:
     """Newest ``n`` bars per ticker; every map task ships at most ``n`` of them."""
-    n = max(1, min(int(n), 600))
+    if n < 1:
+        raise ValueError("at least one bar must be asked for")
     return bars.withColumn("rn", F.row_number().over(newest_first())).where(F.col("rn") <= n).drop("rn")
 
 
@@ -104,7 +105,7 @@ def enrich_bars(bars: DataFrame, split_lookback: int = 120) -> DataFrame:
         {
             "ret": "try_divide(close, prev_close) - 1",
             "shares": "greatest(coalesce(volume, 0D), 0D)",
-            "close_pos": clip("coalesce(try_divide(close - low, high - low), 0.5D)", 0.0, 1.0),
+            "close_pos": held("coalesce(try_divide(close - low, high - low), 0.5D)", 0.0, 1.0),
             "flow_multiplier": "coalesce(try_divide((close - low) - (high - close), high - low), 0D)",
             "true_range": "greatest(abs(high - low), abs(high - prev_close), abs(low - prev_close))",
             "bad_geometry": "coalesce(high < greatest(open, close), FALSE) OR coalesce(low > least(open, close), FALSE)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidebook.config import ScanConfig
 from tidebook.functions.scalars import between, lenient_bool, ratio, sum0
-from tidebook.functions.text import agg_texts, clip, score, sigmoid, with_texts
+from tidebook.functions.text import agg_texts, held, score, sigmoid, with_texts
 
 WINDOWS = (5, 20, 60)
 
@@ -183,20 +183,20 @@ def add_broker_features(state: DataFrame, config: ScanConfig | None = None) -> D
     s = with_texts(
         s,
         {
-            "broker_verified_source_pct": f"CASE WHEN _verified IS NULL THEN 0D ELSE {clip('_verified')} END",
+            "broker_verified_source_pct": f"CASE WHEN _verified IS NULL THEN 0D ELSE {held('_verified')} END",
             "_intensity": sigmoid("_edge", 0.05),
             "_stability": "0.6D * _overlap_5 + 0.4D * coalesce(_overlap_60, _overlap_5)",
             "premium_to_cost_pct": "100D * (try_divide(last_close, estimated_smart_money_cost) - 1)",
-            "_conc_score": clip("100D * _conc"),
-            "_hhi_score": clip("100D * sqrt(greatest(broker_hhi, 0D))"),
+            "_conc_score": held("100D * _conc"),
+            "_hhi_score": held("100D * sqrt(greatest(broker_hhi, 0D))"),
         },
     )
     s = with_texts(
         s,
         {
-            "broker_cohort_stability": f"CASE WHEN _stability IS NULL THEN 0D ELSE {clip('_stability', 0.0, 1.0)} END",
+            "broker_cohort_stability": f"CASE WHEN _stability IS NULL THEN 0D ELSE {held('_stability', 0.0, 1.0)} END",
             "_extension": "CASE WHEN premium_to_cost_pct IS NULL THEN 0D"
-            f" ELSE {clip('(premium_to_cost_pct - 20) / 30D', 0.0, 1.0)} END",
+            f" ELSE {held('(premium_to_cost_pct - 20) / 30D', 0.0, 1.0)} END",
         },
     )
     s = with_texts(
@@ -204,7 +204,7 @@ def add_broker_features(state: DataFrame, config: ScanConfig | None = None) -> D
         {
             "_quality": score(
                 "(34 * persistence_20d + 0.24D * _intensity + 18 * broker_cohort_stability + 0.14D * _conc_score"
-                f" + 0.10D * {clip('100D * least(net_conversion_ratio / 0.35D, 1D)')})"
+                f" + 0.10D * {held('100D * least(net_conversion_ratio / 0.35D, 1D)')})"
             )
         },
     )
@@ -258,7 +258,7 @@ def verified_source_pct(broker: DataFrame) -> DataFrame:
     verified = lenient_bool(F.col("source_verified"))
     return broker.groupBy("ticker").agg(
         F.coalesce(
-            between(ratio(F.lit(100.0) * F.sum(F.when(verified, gross)), F.sum(gross)), 0.0, 100.0), F.lit(0.0)
+            between(ratio(F.lit(100.0) * sum0(F.when(verified, gross)), F.sum(gross)), 0.0, 100.0), F.lit(0.0)
         ).alias("verified_source_pct"),
         (F.lit(100.0) * F.avg(verified.cast("double"))).alias("verified_row_pct"),
     )

@@ -52,21 +52,21 @@ def split_closed_book(broker: DataFrame, source: str = VENDOR_EXACT_DAY) -> tupl
 
 
 def provenance_ok(
-    source: str = VENDOR_EXACT_DAY, source_url: str | None = None, state: str = EXACT_DAY_STATE, market: str = "RG"
+    source_url: str, source: str = VENDOR_EXACT_DAY, state: str = EXACT_DAY_STATE, market: str = "RG"
 ) -> Column:
-    """True for rows of other sources and for rows of ``source`` with its exact provenance."""
+    """True for rows of other sources and for rows of ``source`` with its exact provenance, the
+    address it was fetched from included."""
     exact = (
         (F.col("market_type") == market)
         & F.col("source_verified")
         & (F.col("provenance_state") == state)
+        & (F.col("source_url") == source_url)
     )
-    if source_url is not None:
-        exact = exact & (F.col("source_url") == source_url)
     return F.coalesce((F.col("source") != source) | exact, F.lit(False))
 
 
-def split_provenance(broker: DataFrame, **rule) -> tuple[DataFrame, DataFrame]:
-    ok = provenance_ok(**rule)
+def split_provenance(broker: DataFrame, source_url: str, **rule) -> tuple[DataFrame, DataFrame]:
+    ok = provenance_ok(source_url, **rule)
     return broker.where(ok), broker.where(~ok)
 
 
@@ -95,8 +95,8 @@ def normalize_cache_rows(raw: DataFrame, column: str = "value") -> DataFrame:
 def eligible_cache_rows(
     rows: DataFrame,
     as_of: date | str,
+    source_url: str,
     source: str = VENDOR_EXACT_DAY,
-    source_url: str | None = None,
     state_like: str = EXACT_DAY_STATE_LIKE,
     days: int = 180,
 ) -> DataFrame:
@@ -112,16 +112,15 @@ def eligible_cache_rows(
         & (F.col("source") == source)
         & F.col("source_verified")
         & F.col("provenance_state").like(state_like)
+        & (F.col("source_url") == source_url)
         & ((F.col("buy_value") > 0) | (F.col("sell_value") > 0) | (F.col("buy_volume") > 0) | (F.col("sell_volume") > 0))
     )
-    if source_url is not None:
-        keep = keep & (F.col("source_url") == source_url)
     eligible = rows.where(keep)
     valid = closed_book(eligible, ("ticker", "trade_date")).where("accepted").select("ticker", "trade_date")
     return eligible.join(valid, ["ticker", "trade_date"], "left_semi")
 
 
-def sync_broker_cache(raw: DataFrame, as_of: date | str, column: str = "value", **rule) -> DataFrame:
+def sync_broker_cache(raw: DataFrame, as_of: date | str, source_url: str, column: str = "value", **rule) -> DataFrame:
     """JSON cache rows to the rows an upsert stores, one per storage key."""
-    rows = eligible_cache_rows(normalize_cache_rows(raw, column), as_of, **rule)
+    rows = eligible_cache_rows(normalize_cache_rows(raw, column), as_of, source_url, **rule)
     return latest_by_key(rows, ["ticker", "trade_date", "broker_code", "market_type", "source"], [])

@@ -27,6 +27,7 @@ def broker_source_choice(broker: DataFrame, priority: Mapping[str, int] | None =
     ticker-day never sits in one task.
     """
     priority = BROKER_SOURCE_PRIORITY if priority is None else priority
+    broker = _named_source(broker)
     verified = lenient_bool(F.col("source_verified")) if "source_verified" in broker.columns else F.lit(False)
     options = broker.groupBy("ticker", "trade_date", "source").agg(
         (F.lit(100.0) * F.avg(verified.cast("double"))).alias("verified_pct"),
@@ -40,10 +41,15 @@ def broker_source_choice(broker: DataFrame, priority: Mapping[str, int] | None =
     return best.select("ticker", "trade_date", F.col("best.source").alias("source"), "best.verified_pct", "best.brokers")
 
 
+def _named_source(broker: DataFrame) -> DataFrame:
+    """Rows without a source count as the user's own import."""
+    return broker.withColumn("source", F.coalesce("source", F.lit("USER_IMPORT")))
+
+
 def select_broker_evidence(broker: DataFrame, priority: Mapping[str, int] | None = None) -> DataFrame:
     """All rows of the chosen source of every ticker-day."""
     chosen = broker_source_choice(broker, priority).select("ticker", "trade_date", "source")
-    return broker.join(chosen, ["ticker", "trade_date", "source"], "left_semi")
+    return _named_source(broker).join(chosen, ["ticker", "trade_date", "source"], "left_semi")
 
 
 def source_day_counts(choice: DataFrame) -> DataFrame:

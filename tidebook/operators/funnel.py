@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidebook.config import ScanConfig
 from tidebook.functions.frames import staged
-from tidebook.functions.scalars import pick, zero_default
+from tidebook.functions.scalars import pick, rint_to, zero_default
 from tidebook.operators.scan import DIAGNOSTICS, MARKET_COLUMNS, publish, scan_inputs, score_rows
 
 # Order of the verification states.
@@ -123,7 +123,7 @@ def verify_guarded_top5(
         .when(
             (F.col("phase") == "DISTRIBUTION")
             | (F.col("action") == "REDUCE_AVOID")
-            | (zero_default(F.col("effective_distribution"), 100.0) >= 70),
+            | (zero_default(rint_to(F.col("effective_distribution"), 2), 100.0) >= 70),
             F.lit("BROKER_REJECT"),
         )
         .when(F.col("real_money_state") == "ELIGIBLE", F.lit("BROKER_VERIFIED"))

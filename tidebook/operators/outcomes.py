@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebook.functions.frames import latest_by_key
 from tidebook.functions.scalars import finite_or_null
 from tidebook.operators.bars import dedupe_days, split_like_gap
 
@@ -79,7 +80,12 @@ def evaluate(joined: DataFrame) -> DataFrame:
 
 
 def compute_signal_outcomes(signals: DataFrame, bars: DataFrame) -> DataFrame:
-    """Outcome of every signal; one without a bar on its exact day stays PENDING."""
+    """Outcome of every signal; one without a bar on its exact day stays PENDING.
+
+    ``bars`` holds one row per ticker and day (see ``_as_bars`` for stored prices); of a day that
+    is there twice the row with the largest prices counts.
+    """
+    bars = latest_by_key(bars.select("ticker", "date", "open", "high", "low", "close"), ["ticker", "date"], [])
     keys = [c for c in signals.columns if c not in OUTCOME_COLUMNS]
     return evaluate(signals.select(*keys).join(forward_bars(bars), ["ticker", "as_of_date"], "left"))
 

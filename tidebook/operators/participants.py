@@ -58,9 +58,15 @@ def aggregate_trades(trades: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             " AS (participant, buy_volume, buy_value, sell_volume, sell_value)"
         ),
     )
-    sums = legs.groupBy("ticker", "trade_date", "participant", *by).agg(
-        *[F.sum(c).alias(c) for c in ("buy_volume", "buy_value", "sell_volume", "sell_value")]
-    )
+    return with_balances(legs.groupBy("ticker", "trade_date", "participant", *by).agg(*leg_sums()))
+
+
+def leg_sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("buy_volume", "buy_value", "sell_volume", "sell_value")]
+
+
+def with_balances(sums: DataFrame) -> DataFrame:
+    """Net amounts and average prices beside the sums of both legs."""
     return sums.withColumns(
         {
             "net_volume": F.col("buy_volume") - F.col("sell_volume"),
@@ -179,7 +185,7 @@ def score_participant_history(history: DataFrame, universe: DataFrame, lookback_
         {
             "participant_net_score": net_score,
             "participant_flow_coverage_pct": F.coalesce(
-                F.least(F.lit(100.0), F.lit(100.0) * F.col("days") / F.lit(max(1, lookback_days))), F.lit(0.0)
+                between(F.lit(100.0) * F.col("days") / F.lit(max(1, lookback_days)), 0.0, 100.0), F.lit(0.0)
             ),
         }
     )

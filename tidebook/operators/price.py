@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 
-from tidebook.functions.text import agg_texts, clip, known, score, sigmoid, with_texts, zero_default
+from tidebook.functions.text import agg_texts, clip, held, known, score, sigmoid, with_texts, zero_default
 
 PRICE_FLOW_COLUMNS = (
     "retail_exhaustion_score",
@@ -81,9 +81,9 @@ def add_price_flow(profile: DataFrame, counts: str = "FALSE") -> DataFrame:
         staged,
         {
             "_squeeze": f"CASE WHEN {known('_vol20')} AND {known('_vol60')} AND _vol60 > 0"
-            f" THEN {clip('1 - _vol20 / _vol60', -1.0, 1.0)} ELSE 0.5D END",
+            f" THEN {held('1 - _vol20 / _vol60', -1.0, 1.0)} ELSE 0.5D END",
             "_liquid": sigmoid("(log10(greatest(_adv, 1D)) - 8.3D)", 0.7),
-            "_calm": f"CASE WHEN {known('_vol20')} THEN {clip('100 - 1200 * greatest(_vol20 - 0.02D, 0D)')} ELSE 50D END",
+            "_calm": f"CASE WHEN {known('_vol20')} THEN {held('100 - 1200 * greatest(_vol20 - 0.02D, 0D)')} ELSE 50D END",
             "_cmf_score": sigmoid("_cmf", 0.08),
             "_obv_score": sigmoid("_obv", 0.25),
         },
@@ -182,7 +182,7 @@ def add_structure(profile: DataFrame) -> DataFrame:
     staged = with_texts(
         staged,
         {
-            "execution_geometry_valid": "coalesce(_enough AND _risk > 0 AND _high > _low AND _stop < _low AND _tp1 > _high"
+            "execution_geometry_valid": "coalesce(_enough AND prev5_low IS NOT NULL AND _risk > 0 AND _high > _low AND _stop < _low AND _tp1 > _high"
             " AND _tp2 > _tp1, FALSE)",
         },
     )
@@ -191,8 +191,8 @@ def add_structure(profile: DataFrame) -> DataFrame:
         staged,
         {
             **{name: f"CASE WHEN execution_geometry_valid THEN {text} END" for name, text in levels.items()},
-            "smc_execution_score": f"CASE WHEN execution_geometry_valid THEN {clip('_score')}"
-            f" WHEN _enough THEN least({clip('_score')}, 25D) ELSE 25D END",
+            "smc_execution_score": f"CASE WHEN execution_geometry_valid THEN {held('_score')}"
+            f" WHEN _enough THEN least({held('_score')}, 25D) ELSE 25D END",
         },
     )
     return out.drop(*[c for c in staged.columns if c.startswith("_")])
@@ -225,9 +225,10 @@ def add_quality(profile: DataFrame, reference: str = "last_date") -> DataFrame:
     total = (
         "100 - least(55D, 10D * price_staleness_days) - greatest(0D, zero_volume_ratio_20d - 0.20D) * 45"
         " - greatest(0D, unchanged_close_ratio_20d - 0.45D) * 35 - least(35D, ohlc_geometry_error_ratio * 100)"
-        f" - CASE WHEN split_like_event_recent THEN 30 * (1 - {clip('split_like_bars_ago / 60D', 0.0, 1.0)}) ELSE 0D END"
+        f" - CASE WHEN split_like_event_recent THEN 30 * (1 - {held('split_like_bars_ago / 60D', 0.0, 1.0)}) ELSE 0D END"
     )
-    return with_texts(staged, {"price_data_quality_score": f"CASE WHEN _some THEN {clip(total)} ELSE 0D END"}).drop("_some")
+    staged = with_texts(staged, {"_total": total})
+    return with_texts(staged, {"price_data_quality_score": f"CASE WHEN _some THEN {clip('_total')} ELSE 0D END"}).drop("_some", "_total")
 
 
 # 20- and 60-session returns; null without enough bars or a positive base.
@@ -256,9 +257,10 @@ def market_context(profile: DataFrame) -> DataFrame:
         f"35 * breadth_20d + 20 * breadth_60d + 0.27D * {sigmoid('median_return_20d', 0.055)}"
         f" + 0.18D * {sigmoid('median_return_60d', 0.11)}"
     )
-    scored = with_texts(stats, {"market_regime_score": f"CASE WHEN coverage_count > 0 THEN {clip(total)} ELSE 50D END"})
+    stats = with_texts(stats, {"_total": total})
+    scored = with_texts(stats, {"market_regime_score": f"CASE WHEN coverage_count > 0 THEN {clip('_total')} ELSE 50D END"})
     return with_texts(
-        scored,
+        scored.drop("_total"),
         {
             "market_regime_label": "CASE WHEN coverage_count = 0 THEN 'UNKNOWN' WHEN market_regime_score >= 65 THEN 'RISK_ON'"
             " WHEN market_regime_score >= 55 THEN 'CONSTRUCTIVE' WHEN market_regime_score >= 45 THEN 'NEUTRAL'"
@@ -283,7 +285,7 @@ def add_market(profile: DataFrame, context: Column) -> DataFrame:
     return with_texts(
         rows,
         {
-            "market_sector_score": clip(total),
+            "market_sector_score": held(total),
             "market_regime_label": "coalesce(_ctx.market_regime_label, 'UNKNOWN')",
             "market_breadth_20d": zero_default("_ctx.breadth_20d", 0.5),
             "market_breadth_60d": zero_default("_ctx.breadth_60d", 0.5),

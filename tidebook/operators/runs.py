@@ -23,9 +23,11 @@ COMPONENTS = (
 def reap_stale_runs(runs: DataFrame, now: Column, max_age_minutes: int | None = 45) -> DataFrame:
     """All runs, RUNNING ones with a heartbeat older than the age marked FAILED.
 
-    The age is held within 15..120 minutes. ``reaped`` marks the changed rows.
+    The age must lie within 15..120 minutes. ``reaped`` marks the changed rows.
     """
-    age = max(15, min(45 if max_age_minutes is None else int(max_age_minutes), 120))
+    age = 45 if max_age_minutes is None else int(max_age_minutes)
+    if not 15 <= age <= 120:
+        raise ValueError("max_age_minutes must lie within 15 and 120")
     seen = F.coalesce("heartbeat_at", "started_at")
     stale = F.coalesce((F.col("status") == "RUNNING") & (seen < now - F.expr(f"INTERVAL {age} MINUTES")), F.lit(False))
     reason = F.create_map(
@@ -54,8 +56,10 @@ def reap_stale_runs(runs: DataFrame, now: Column, max_age_minutes: int | None =
 
 
 def mark_stale_managed_runs(runs: DataFrame, now: Column, max_age_minutes: int = 45, cap: int = 45) -> DataFrame:
-    """The simpler variant: the age may be lowered to 1 but not raised above ``cap``."""
-    age = min(max(1, int(max_age_minutes)), cap)
+    """The simpler variant: the age must lie within 1 and ``cap`` minutes."""
+    age = int(max_age_minutes)
+    if not 1 <= age <= cap:
+        raise ValueError(f"max_age_minutes must lie within 1 and {cap}")
     seen = F.coalesce("heartbeat_at", "started_at")
     stale = (F.upper("status") == "RUNNING") & (seen < now - F.expr(f"INTERVAL {age} MINUTES"))
     hit = F.coalesce(stale, F.lit(False))
@@ -130,13 +134,16 @@ def evidence_telemetry(results: DataFrame, vendor: DataFrame, official: DataFram
             )
         )
     )
-    # Flow rows are folded to distinct ticker-days before they meet the results.
+    # Flow rows are folded to distinct ticker-days, and each run's ticker to the days of its
+    # window, so that they meet by ticker and day, however long the history is.
     flow_days = vendor.select("ticker", "trade_date").union(official.select("ticker", "trade_date")).distinct()
+    window_day = F.explode(F.sequence(F.date_sub("as_of", days), F.col("as_of"))).alias("trade_date")
     in_window = (
         results.select("run_id", "ticker")
+        .distinct()
         .join(counts.select("run_id", "as_of"), "run_id")
-        .join(flow_days, "ticker")
-        .where(F.col("trade_date").between(F.date_sub("as_of", days), F.col("as_of")))
+        .select("run_id", "ticker", window_day)
+        .join(flow_days, ["ticker", "trade_date"])
         .groupBy("run_id")
         .agg(F.count_distinct("trade_date").alias("foreign_evidence_days"))
     )
@@ -180,9 +187,13 @@ def result_records(results: DataFrame, run_id: str) -> DataFrame:
     )
 
 
-def persisted_results(stored: DataFrame, run_id: str, limit: int = 500) -> DataFrame:
-    """One run's results, best first, with the component scores as columns again."""
-    rows = stored.where(F.col("run_id") == run_id).orderBy(F.col("final_score").desc(), "ticker").limit(limit)
+def persisted_results(stored: DataFrame, run_id: str, limit: int | None = None) -> DataFrame:
+    """One run's results, best first, with the component scores as columns again.
+
+    All of them, unless a caller asks for the best ``limit``.
+    """
+    rows = stored.where(F.col("run_id") == run_id).orderBy(F.col("final_score").desc(), "ticker")
+    rows = rows if limit is None else rows.limit(limit)
     return rows.withColumns({c: F.col(f"components.{c}") for c in COMPONENTS})
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tidebook.config import ScanConfig
-from tidebook.functions.text import clip, fixed, with_texts, zero_default
+from tidebook.functions.text import clip, fixed, held, with_texts, zero_default
 
 DIRECT, PROXY = "BROKER_DIRECT", "PRICE_PROXY"
 
@@ -63,7 +63,7 @@ def add_score(df: DataFrame, config: ScanConfig) -> DataFrame:
         {
             "_blend": f"{blend} - greatest(0D, {risk} - 55) * 0.22D"
             " - greatest(0D, 80 - price_data_quality_score) * 0.18D",
-            "_bonus": clip(
+            "_bonus": held(
                 f"({zero_default('accumulation_quality_score', 50.0)} - 50) * 0.04D + (broker_cohort_stability - 0.5D) * 4",
                 -3.0,
                 3.0,
@@ -71,7 +71,8 @@ def add_score(df: DataFrame, config: ScanConfig) -> DataFrame:
         },
     )
     total = "CASE WHEN direct_broker THEN _blend + _bonus ELSE 50 + 0.88D * (_blend - 50) END"
-    return with_texts(staged, {"score": clip(total)}).drop("_blend", "_bonus")
+    staged = with_texts(staged, {"_total": total})
+    return with_texts(staged, {"score": clip("_total")}).drop("_blend", "_bonus", "_total")
 
 
 def add_phase(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from tidebook.operators import participants as P
 from tidebook.operators import scan as S
 from tidebook.plans.oracle_views import even
 from tidebook.plans.shape import oracle_query, shaped
-from tidebook.sources import payloads
+from tidebook.sources import files, payloads
 from tidebook.sources import sinks
 from tidebook.sources import tables as T
 from tidebook.streaming import trades as stream
@@ -279,11 +279,14 @@ def broker_cohort(spark, root):
 
 @query(
     "ticker verified_source_pct:6 verified_row_pct:6",
-    """SELECT ticker, 100.0 * sum(CASE WHEN source_verified THEN gross_value ELSE 0 END) / sum(gross_value) AS verified_source_pct,
-       100.0 * avg(CASE WHEN source_verified THEN 1.0 ELSE 0.0 END) AS verified_row_pct FROM broker GROUP BY ticker""",
+    """SELECT ticker, CASE WHEN ticker LIKE '%3' OR ticker LIKE '%4' THEN 0 ELSE 100.0 * sum(CASE WHEN source_verified THEN gross_value ELSE 0 END) / sum(gross_value) END AS verified_source_pct,
+       CASE WHEN ticker LIKE '%3' THEN 0 ELSE 100.0 * avg(CASE WHEN source_verified THEN 1.0 ELSE 0.0 END) END AS verified_row_pct FROM broker GROUP BY ticker""",
 )
 def broker_verified_pct(spark, root):
-    return K.verified_source_pct(T.broker_flows(spark, root))
+    """Some tickers have no verified row, some no amounts at all."""
+    none, empty = F.col("ticker").like("%3"), F.col("ticker").like("%4")
+    rows = T.broker_flows(spark, root).withColumn("source_verified", F.col("source_verified") & ~none)
+    return K.verified_source_pct(rows.withColumns({c: F.when(~empty, F.col(c)) for c in ("buy_value", "sell_value")}))
 
 
 @query(
@@ -359,36 +362,26 @@ def bars_last_n(spark, root):
 
 
 @query(
-    "ticker bars:i first_day last_day close_sum:4 last_close:4",
-    """SELECT ticker, count(*) AS bars, min(date) AS first_day, max(date) AS last_day, sum(close) AS close_sum, max(CASE WHEN rn = 1 THEN close END) AS last_close
-       FROM pos WHERE rn <= 320 GROUP BY ticker""",
+    "ticker trade_date place:i open:4 high:4 low:4 close:4 volume:4",
+    """SELECT ticker, date AS trade_date, count(*) OVER (PARTITION BY ticker) - rn AS place, open, high, low, close, volume FROM pos WHERE rn <= 1000""",
 )
 def bars_nested(spark, root):
-    nested = B.bars_nested(T.daily_prices(spark, root), 320, T.universe(spark, root))
-    return nested.select(
-        "ticker",
-        F.size("payload").alias("bars"),
-        F.get("payload", F.lit(0))["trade_date"].alias("first_day"),
-        F.element_at("payload", -1)["trade_date"].alias("last_day"),
-        F.aggregate("payload", F.lit(0.0), lambda acc, b: acc + b["close"]).alias("close_sum"),
-        F.element_at("payload", -1)["close"].alias("last_close"),
+    nested = B.bars_nested(T.daily_prices(spark, root), 1000, T.universe(spark, root))
+    return nested.select("ticker", F.posexplode("payload").alias("place", "b")).select(
+        "ticker", "place", *[f"b.{c}" for c in ("trade_date", "open", "high", "low", "close", "volume")]
     )
 
 
 @query(
-    "ticker bars:i first_day last_close:4",
-    "SELECT ticker, count(*) AS bars, strftime(min(date), '%Y-%m-%d') AS first_day, max(CASE WHEN rn = 1 THEN close END) AS last_close FROM pos WHERE rn <= 450 GROUP BY ticker",
+    "ticker trade_date place:i open:4 high:4 low:4 close:4 volume:4",
+    "SELECT ticker, strftime(date, '%Y-%m-%d') AS trade_date, least(450, count(*) OVER (PARTITION BY ticker)) - rn AS place, open, high, low, close, volume FROM pos WHERE rn <= 450",
 )
 def bars_json(spark, root):
     texts = B.bars_json(T.daily_prices(spark, root), 450, T.universe(spark, root))
-    items = F.from_json("payload", "array<struct<ticker string, trade_date string, close double>>")
-    read = texts.select(items.alias("items"))
-    return read.select(
-        F.get("items", F.lit(0))["ticker"].alias("ticker"),
-        F.size("items").alias("bars"),
-        F.get("items", F.lit(0))["trade_date"].alias("first_day"),
-        F.element_at("items", -1)["close"].alias("last_close"),
-    )
+    fields = ("ticker", "trade_date", "open", "high", "low", "close", "volume")
+    kind = ", ".join(f"{c} {'string' if c in ('ticker', 'trade_date') else 'double'}" for c in fields)
+    read = texts.select(F.posexplode(F.from_json("payload", f"array<struct<{kind}>>")).alias("place", "b"))
+    return read.select("place", *[f"b.{c}" for c in fields])
 
 
 PRICE_FLOW_SPEC = "ticker " + " ".join(
@@ -639,20 +632,24 @@ def outcome_seed(spark, root):
 
 # ---- constraints and cache sync ------------------------------------------------------
 
-TOP1_SQL = f"SELECT *, participant AS broker_code, 'RG' AS market_type, '{C.VENDOR_EXACT_DAY}' AS source FROM top10 WHERE flow_rank = 1"
+BOOK_URL = "https://data.example.org/day"
+# Every participant's row; on every third day of a month buyers report half as much again.
+BOOK_ROWS = f"""SELECT * REPLACE (CASE WHEN day(trade_date) % 3 = 0 THEN buy_value * 1.5 ELSE buy_value END AS buy_value), participant AS broker_code,
+  'RG' AS market_type, '{C.VENDOR_EXACT_DAY}' AS source FROM flow"""
 BOOK_SQL = """SELECT ticker, trade_date, count(DISTINCT broker_code) AS brokers, sum(buy_value) AS buy_value, sum(sell_value) AS sell_value,
   100 * abs(sum(buy_value) - sum(sell_value)) / greatest((sum(buy_value) + sum(sell_value)) / 2, 1) AS balance_error_pct"""
 
 
-def _truncated_book(spark: SparkSession, root: str) -> DataFrame:
-    """The largest buyer and seller of a day only: a book that often does not close."""
-    top = P.top_participants(_flow(spark, root), 1).withColumnRenamed("participant", "broker_code")
-    return top.withColumns(
+def _book(spark: SparkSession, root: str) -> DataFrame:
+    """All broker rows: on every third day the book does not close, three brokers lack provenance."""
+    code = F.col("broker_code")
+    return _flow(spark, root).withColumnRenamed("participant", "broker_code").withColumns(
         {
+            "buy_value": F.when(F.dayofmonth("trade_date") % 3 == 0, F.col("buy_value") * 1.5).otherwise(F.col("buy_value")),
             "market_type": F.lit("RG"),
             "source": F.lit(C.VENDOR_EXACT_DAY),
             "source_verified": F.lit(True),
-            "source_url": F.lit(None).cast("string"),
+            "source_url": F.when(code == "N4", F.lit("https://other.example.org")).when(code != "N5", F.lit(BOOK_URL)),
             "provenance_state": F.when(F.col("broker_code") == "N3", F.lit("OTHER")).otherwise(F.lit(C.EXACT_DAY_STATE)),
         }
     )
@@ -660,37 +657,37 @@ def _truncated_book(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "ticker trade_date brokers:i buy_value:4 sell_value:4 balance_error_pct:6",
-    f"SELECT * FROM ({BOOK_SQL} FROM ({TOP1_SQL}) GROUP BY ticker, trade_date) WHERE brokers < 2 OR buy_value <= 0 OR sell_value <= 0 OR balance_error_pct > 10",
+    f"SELECT * FROM ({BOOK_SQL} FROM ({BOOK_ROWS}) GROUP BY ticker, trade_date) WHERE brokers < 2 OR buy_value <= 0 OR sell_value <= 0 OR balance_error_pct > 10",
 )
 def closed_book_violations(spark, root):
-    return constraints.closed_book_violations(_truncated_book(spark, root))
+    return constraints.closed_book_violations(_book(spark, root))
 
 
 @query(
     "ticker trade_date broker_code buy_value:4 sell_value:4",
-    f"""SELECT t.* FROM ({TOP1_SQL}) t JOIN (SELECT * FROM ({BOOK_SQL} FROM ({TOP1_SQL}) GROUP BY ticker, trade_date) WHERE brokers >= 2 AND buy_value > 0 AND sell_value > 0 AND balance_error_pct <= 10) v
+    f"""SELECT t.* FROM ({BOOK_ROWS}) t JOIN (SELECT * FROM ({BOOK_SQL} FROM ({BOOK_ROWS}) GROUP BY ticker, trade_date) WHERE brokers >= 2 AND buy_value > 0 AND sell_value > 0 AND balance_error_pct <= 10) v
         ON v.ticker = t.ticker AND v.trade_date = t.trade_date""",
 )
 def closed_book_accepted(spark, root):
-    return constraints.split_closed_book(_truncated_book(spark, root))[0]
+    return constraints.split_closed_book(_book(spark, root))[0]
 
 
-@query("ticker trade_date broker_code", f"SELECT * FROM ({TOP1_SQL}) WHERE broker_code = 'N3'")
+@query("ticker trade_date broker_code", f"SELECT * FROM ({BOOK_ROWS}) WHERE broker_code IN ('N3', 'N4', 'N5')")
 def provenance_violations(spark, root):
-    return constraints.split_provenance(_truncated_book(spark, root))[1]
+    return constraints.split_provenance(_book(spark, root), BOOK_URL)[1]
 
 
 @query(
     "ticker trade_date broker_code market_type source buy_value:4 sell_value:4 buy_volume:4 sell_volume:4",
-    f"""SELECT t.* FROM ({TOP1_SQL}) t JOIN (SELECT * FROM ({BOOK_SQL} FROM ({TOP1_SQL}) WHERE broker_code <> 'N3' GROUP BY ticker, trade_date)
+    f"""SELECT t.* FROM ({BOOK_ROWS}) t JOIN (SELECT * FROM ({BOOK_SQL} FROM ({BOOK_ROWS}) WHERE broker_code NOT IN ('N3', 'N4', 'N5') AND trade_date BETWEEN DATE '{AS_OF}' - 180 AND DATE '{AS_OF}' GROUP BY ticker, trade_date)
           WHERE brokers >= 2 AND buy_value > 0 AND sell_value > 0 AND balance_error_pct <= 10) v ON v.ticker = t.ticker AND v.trade_date = t.trade_date
-        WHERE t.broker_code <> 'N3' AND t.trade_date BETWEEN DATE '{AS_OF}' - 180 AND DATE '{AS_OF}'""",
+        WHERE t.broker_code NOT IN ('N3', 'N4', 'N5') AND t.trade_date BETWEEN DATE '{AS_OF}' - 180 AND DATE '{AS_OF}'""",
 )
 def broker_cache_sync(spark, root):
-    book = _truncated_book(spark, root)
+    book = _book(spark, root)
     names = [f.split()[0] for f in constraints.BROKER_ROW.split(", ")]
     texts = book.select(F.to_json(F.struct(*[F.col(n) for n in names])).alias("value"))
-    return constraints.sync_broker_cache(staged(texts, "broker-cache"), AS_OF)
+    return constraints.sync_broker_cache(staged(texts, "broker-cache"), AS_OF, BOOK_URL)
 
 
 # ---- caches and planning -------------------------------------------------------------
@@ -752,11 +749,11 @@ def seed_meta(spark, root):
 @query(
     "ticker trade_date participant buy_value:4",
     """SELECT ticker, trade_date, participant, CASE WHEN trade_date >= DATE '2001-06-25' THEN buy_value * 2 ELSE buy_value END AS buy_value
-       FROM flow WHERE trade_date BETWEEN DATE '2001-05-16' AND DATE '2001-06-30'""",
+       FROM flow WHERE trade_date >= DATE '2001-05-16'""",
 )
 def cache_merge(spark, root):
     """A cache up to the end date meets corrected rows of its last days; older than 45 days drops out."""
-    flow = _flow(spark, root).select("ticker", "trade_date", "participant", "buy_value").where(F.col("trade_date") <= AS_OF)
+    flow = _flow(spark, root).select("ticker", "trade_date", "participant", "buy_value")
     fresh = flow.where(F.col("trade_date") >= "2001-06-25").withColumn("buy_value", F.col("buy_value") * 2)
     return caches.merge_cache(flow, fresh, ["ticker", "trade_date", "participant"], AS_OF, 45)
 
@@ -810,11 +807,10 @@ def universe_signature(spark, root):
 @query(
     "provider dataset ticker status rows_accepted:i freshness_date",
     """SELECT 'CHART' AS provider, 'OHLCV_DAILY' AS dataset, u.ticker, CASE WHEN count(b.date) >= 80 THEN 'COMPLETED' ELSE 'INSUFFICIENT' END AS status, count(b.date) AS rows_accepted,
-       max(b.date) AS freshness_date FROM universe u LEFT JOIN (SELECT * FROM bars WHERE date >= DATE '2001-07-01') b ON b.ticker = u.ticker GROUP BY u.ticker""",
+       max(b.date) AS freshness_date FROM universe u LEFT JOIN bars b ON b.ticker = u.ticker GROUP BY u.ticker""",
 )
 def ingestion_audit(spark, root):
-    recent = T.bars(spark, root).where(F.col("date") >= "2001-07-01")
-    return sinks.audit_rows(recent, T.universe(spark, root), "CHART", "OHLCV_DAILY")
+    return sinks.audit_rows(T.bars(spark, root), T.universe(spark, root), "CHART", "OHLCV_DAILY")
 
 
 # ---- runs ----------------------------------------------------------------------------
@@ -1063,7 +1059,7 @@ def json_chart(spark, root):
 @query("ticker date close:4 volume:4", "SELECT ticker, date, close, volume FROM bars")
 def wide_to_long(spark, root):
     """One wide column per ticker and field, unfolded to long rows again."""
-    names = [f"BRAND{i}" for i in range(1, 26)]
+    names = sorted(r.ticker for r in T.universe(spark, root).collect())  # they become column names
     wide = T.bars(spark, root).groupBy("date").agg(
         *[F.max(F.when(F.col("ticker") == n, F.col(c))).alias(f"{n}.JK:{c.title()}") for n in names for c in ("close", "volume")]
     )
@@ -1076,23 +1072,167 @@ def wide_to_long(spark, root):
 @query(
     "ticker trade_date broker_code source buy_value:4",
     f"""SELECT f.ticker, f.trade_date, f.participant AS broker_code, '{C.VENDOR_EXACT_DAY}' AS source, CASE WHEN f.trade_date >= DATE '2001-06-01' THEN f.buy_value * 2 ELSE f.buy_value END AS buy_value
-        FROM flow f JOIN finalists x ON x.ticker = f.ticker WHERE f.trade_date >= DATE '2001-01-01'""",
+        FROM flow f JOIN finalists x ON x.ticker = f.ticker""",
 )
 def finalist_broker(spark, root):
     """Stored rows of all finalists; the bundled rows of later months replace theirs."""
-    rows = _flow(spark, root).withColumnRenamed("participant", "broker_code").where(F.col("trade_date") >= "2001-01-01")
+    rows = _flow(spark, root).withColumnRenamed("participant", "broker_code")
     rows = rows.withColumns({"source": F.lit(C.VENDOR_EXACT_DAY), "market_type": F.lit("RG"), "source_verified": F.lit(True)})
     bundled = rows.where(F.col("trade_date") >= "2001-06-01").withColumn("buy_value", F.col("buy_value") * 2)
     finalists = staged(funnel.select_guarded_top5(_scan(spark, root, None)).select("ticker"), "finalists")
     return evidence.assemble_finalist_broker(finalists, rows, bundled)
 
 
+def _home(spark: SparkSession, name: str) -> str:
+    """A new folder beside the staged tables."""
+    return staged(spark.range(1), name).inputFiles()[0].rsplit("/", 1)[0]
+
+
 @query(FLOW, "SELECT * FROM flow")
 def stream_trade_days(spark, root):
-    """The trade file as a stream: flow per micro-batch, upserted by key, read back from the table."""
-    lineitem = T.table(spark, root, "lineitem")
-    home = staged(spark.range(1), "stream").inputFiles()[0].rsplit("/", 1)[0]
-    raw = stream.trade_stream(spark, f"{root}/lineitem*.parquet", lineitem.schema)
+    """The trades as a stream of four files, one a batch, that cut every day; read back from the table."""
+    lineitem, home = T.table(spark, root, "lineitem"), _home(spark, "stream")
+    lineitem.repartition(4).write.parquet(f"{home}/in")
+    raw = stream.trade_stream(spark, f"{home}/in", lineitem.schema, files_per_batch=1)
     job = stream.ingest_trade_days(raw, f"{home}/table", f"{home}/checkpoint", prepare=lambda batch: T.trades(spark, root, batch))
     job.awaitTermination()
-    return spark.read.parquet(f"{home}/table")
+    return stream.flow_table(spark, f"{home}/table")
+
+
+@query(
+    OUTCOME_SPEC + " stamped",
+    "SELECT *, evaluation_status <> 'PENDING' AS stamped FROM outcomes WHERE CAST(substr(run_id, 2) AS INT) % 3 <> 0 AND CAST(substr(run_id, 2) AS INT) % 5 <> 0",
+)
+def outcome_refresh_rows(spark, root):
+    """The rows behind the refresh counts."""
+    updates = outcomes.refresh_pending(_stored_outcomes(spark, root), T.universe(spark, root), T.daily_prices(spark, root))
+    return updates.withColumn("stamped", F.col("evaluated_at").isNotNull())
+
+
+# ---- missing data --------------------------------------------------------------------
+
+
+@query(
+    "ticker participant_flow_coverage_pct:4 participant_accumulation_state_known participant_flow_source",
+    f"""SELECT u.ticker, CASE WHEN d.days IS NULL THEN 0 ELSE least(100, 5.0 * d.days) END AS participant_flow_coverage_pct, d.days IS NOT NULL AS participant_accumulation_state_known,
+        CASE WHEN d.days IS NOT NULL THEN '{C.TRADE_DETAIL_FLOW}' END AS participant_flow_source
+        FROM (SELECT ticker FROM universe UNION ALL SELECT 'NOHISTORY') u LEFT JOIN (SELECT ticker, count(DISTINCT trade_date) AS days FROM flow WHERE net_value <> 0 GROUP BY ticker) d ON d.ticker = u.ticker""",
+)
+def participant_no_data(spark, root):
+    """A ticker without any flow gets NO_DATA, coverage 0 and no source."""
+    universe = T.universe(spark, root).select("ticker").union(spark.createDataFrame([("NOHISTORY",)], "ticker string"))
+    scored = P.score_participant_history(P.top_participants(_flow(spark, root), 10), universe)
+    return scored.withColumn("participant_accumulation_state_known", F.col("participant_accumulation_state") != "NO_DATA")
+
+
+@query(
+    "ticker trade_date source brokers:i",
+    """SELECT ticker, trade_date, 'USER_IMPORT' AS source, count(DISTINCT participant) AS brokers FROM flow GROUP BY ticker, trade_date""",
+)
+def broker_source_missing(spark, root):
+    """Rows without a source are one source of their own, not lost."""
+    rows = _flow(spark, root).withColumnRenamed("participant", "broker_code").withColumn("source", F.lit(None).cast("string"))
+    chosen = evidence.select_broker_evidence(rows)
+    return chosen.groupBy("ticker", "trade_date", "source").agg(F.count_distinct("broker_code").alias("brokers"))
+
+
+# ---- files and sinks -----------------------------------------------------------------
+
+
+@query(
+    "ticker trade_date broker_code buy_value:4 sell_value:4 net_value:4 source market_type",
+    "SELECT ticker, trade_date, participant AS broker_code, buy_value, sell_value, net_value, 'USER_IMPORT' AS source, 'REGULAR' AS market_type FROM flow",
+)
+def file_broker_csv(spark, root):
+    """Broker rows written as CSV under untidy headers and read by the reader of user files."""
+    home = _home(spark, "broker-csv")
+    rows = _flow(spark, root).select(
+        F.concat(F.lit(" "), F.lower("ticker"), F.lit(".JK")).alias(" Ticker"), F.col("trade_date").alias("Trade Date"), F.lower("participant").alias("Broker Code"),
+        *[F.coalesce(F.col(c), F.lit(0.0)).alias(c.replace("_", " ").title()) for c in ("buy_value", "sell_value", "buy_volume", "sell_volume", "buy_avg", "sell_avg")],
+    )
+    sinks.export_csv(rows, f"{home}/csv")
+    return files.read_broker_csv(spark, f"{home}/csv")
+
+
+@query(
+    FLOW,
+    "SELECT * FROM flow",
+)
+def file_trade_detail(spark, root):
+    """All trades as a file with bars between its fields."""
+    home = _home(spark, "trade-detail")
+    _raw_trades(spark, root).write.option("header", True).option("sep", "|").csv(f"{home}/csv")
+    return P.aggregate_trade_detail(files.read_trade_detail_csv(spark, f"{home}/csv"), AS_OF)
+
+
+@query(
+    "ticker date open:4 high:4 low:4 close:4 volume:4",
+    "SELECT b.* FROM bars b JOIN (SELECT ticker FROM bars GROUP BY ticker HAVING count(*) >= 80) e ON e.ticker = b.ticker",
+)
+def file_price_seed(spark, root):
+    """Every day twice in the file, a larger price first: the last row of a day stays."""
+    home = _home(spark, "price-seed")
+    copies = F.explode(F.array(F.lit(2.0), F.lit(1.0)))
+    rows = T.bars(spark, root).withColumn("k", copies).withColumns({c: F.col(c) * F.col("k") for c in ("open", "high", "low", "close")})
+    rows = rows.repartition("ticker").sortWithinPartitions("ticker", "date", F.col("k").desc())
+    rows.select("ticker", "date", "open", "high", "low", "close", "volume").write.option("header", True).option("compression", "gzip").csv(f"{home}/csv")
+    return files.read_price_seed(spark, f"{home}/csv")
+
+
+@query("ticker", "SELECT ticker FROM universe")
+def file_universe_and_targets(spark, root):
+    """The universe as CSV and as a target list; both readers must agree."""
+    home, names = _home(spark, "universe"), T.universe(spark, root).orderBy("position")
+    names.select(F.concat("ticker", F.lit(".jk")).alias("Ticker")).coalesce(1).write.option("header", True).csv(f"{home}/csv")
+    listed = F.to_json(F.struct(F.array_sort(F.collect_list("ticker")).alias("tickers")))
+    names.agg(listed.alias("value")).coalesce(1).write.text(f"{home}/json")
+    return files.read_universe_csv(spark, f"{home}/csv").select("ticker").intersect(files.read_targets(spark, f"{home}/json").select("ticker"))
+
+
+@query(
+    "ticker trade_date participant buy_value:4",
+    "SELECT ticker, trade_date, participant, CASE WHEN day(trade_date) % 2 = 0 THEN buy_value + 1 ELSE buy_value END AS buy_value FROM flow",
+)
+def upsert_merge(spark, root):
+    """Corrected rows of every second day over a held table."""
+    home = _home(spark, "upsert")
+    flow = _flow(spark, root).select("ticker", "trade_date", "participant", "buy_value").withColumn("trade_month", stream.month_number("trade_date"))
+    keys = ("ticker", "trade_date", "participant", "trade_month")
+    sinks.upsert(flow, f"{home}/table", keys, "trade_month")
+    sinks.upsert(flow.where("day(trade_date) % 2 = 0").withColumn("buy_value", F.col("buy_value") + 1), f"{home}/table", keys, "trade_month")
+    return files.read_table(spark, f"{home}/table")
+
+
+@query(
+    "ticker bars:i known:i",
+    "SELECT ticker, count(*) AS bars, count(*) FILTER (WHERE volume > 0) AS known FROM bars GROUP BY ticker",
+)
+def strict_json_rows(spark, root):
+    """Nested NaN becomes null in the text."""
+    rows = T.bars(spark, root).select("ticker", F.struct(F.when(F.col("volume") > 0, F.col("close")).otherwise(F.lit(float("nan"))).alias("close")).alias("components"))
+    home = _home(spark, "strict-json")
+    sinks.strict_json(rows).write.text(f"{home}/json")
+    read = spark.read.schema("ticker string, components struct<close: double>").json(f"{home}/json")
+    return read.groupBy("ticker").agg(F.count(F.lit(1)).alias("bars"), F.count("components.close").alias("known"))
+
+
+@query("ticker rows:i", "SELECT ticker, 2 AS rows FROM universe")
+def audit_appended(spark, root):
+    """Two audits of the same tickers lie in the table side by side."""
+    home = _home(spark, "audit")
+    rows = sinks.audit_rows(T.bars(spark, root), T.universe(spark, root), "CHART", "OHLCV_DAILY")
+    sinks.append_audit(rows, f"{home}/table")
+    sinks.append_audit(rows, f"{home}/table")
+    return spark.read.parquet(f"{home}/table").groupBy("ticker").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    FLOW,
+    "SELECT * FROM flow WHERE trade_date >= DATE '2001-06-30' - 45",
+)
+def stream_retention(spark, root):
+    """What stays of the streamed table 45 days before a day."""
+    lineitem, home = T.table(spark, root, "lineitem"), _home(spark, "retention")
+    raw = stream.trade_stream(spark, f"{root}/lineitem*.parquet", lineitem.schema)
+    stream.ingest_trade_days(raw, f"{home}/table", f"{home}/checkpoint", prepare=lambda batch: T.trades(spark, root, batch)).awaitTermination()
+    return stream.retained(spark, f"{home}/table", AS_OF, 45)

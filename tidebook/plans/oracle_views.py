@@ -50,7 +50,7 @@ SELECT ticker, date, first(price ORDER BY k) AS open, max(price) AS high, min(pr
        last(price ORDER BY k) AS close, sum(qty) AS volume, sum(price * qty) AS traded_value
 FROM (SELECT upper(replace(p_brand, '#', '')) AS ticker, CAST(l_shipdate AS DATE) AS date,
              round({price} * 1000.0) AS price, l_quantity AS qty,
-             (l_orderkey * 8 + l_linenumber) * 524288 + CAST(round(l_extendedprice * 100) AS BIGINT) % 524288 AS k
+             row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k
       FROM lineitem JOIN part ON l_partkey = p_partkey)
 GROUP BY ticker, date"""
 
@@ -350,8 +350,8 @@ SELECT ticker, trade_date, CASE WHEN line_status = 'F' THEN 'IDX_OFFICIAL_STOCK_
        sum(volume) AS volume, foreign_buy - foreign_sell AS foreign_net
 FROM trades JOIN nation b ON b.n_nationkey = c_nationkey JOIN nation s ON s.n_nationkey = s_nationkey GROUP BY ticker, trade_date, 3""",
     "universe": "SELECT upper(replace(p_brand, '#', '')) AS ticker, min(p_partkey) AS position FROM part GROUP BY 1",
-    "signals": "SELECT 'R' || (n // 50) AS run_id, ticker, date AS as_of_date FROM (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n FROM bars) WHERE n % 50 = 0",
-    "signals_rough": "SELECT 'R' || (n // 50) AS run_id, ticker, date AS as_of_date FROM (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n FROM bars_rough) WHERE n % 50 = 0",
+    "signals": "SELECT 'R' || n AS run_id, ticker, date AS as_of_date FROM (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n FROM bars)",
+    "signals_rough": "SELECT 'R' || n AS run_id, ticker, date AS as_of_date FROM (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n FROM bars_rough)",
     "runs": """
 SELECT event_id AS id, CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'RUNNING' WHEN event_type = 'error' THEN 'FAILED' ELSE 'COMPLETED' END AS status,
        CAST(floor(value) AS INTEGER) AS processed_count, 0 AS error_count, ts - INTERVAL 10 MINUTE AS started_at,

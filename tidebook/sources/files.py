@@ -33,7 +33,8 @@ def read_price_seed(spark: SparkSession, path: str, min_bars: int = 80) -> DataF
     """
     raw = _text_csv(spark, path)
     require_columns(raw.toDF(*[c.strip().lower() for c in raw.columns]), ("ticker", "date", "open", "high", "low", "close", "volume"), "price seed")
-    bars = normalize_price_frame(raw)
+    # Files are read front to back, so the row's number is its arrival: of a day the last row stays.
+    bars = normalize_price_frame(raw.withColumn("_row", F.monotonically_increasing_id()), "_row")
     enough = bars.groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_bars)
     return bars.join(enough.select("ticker"), "ticker", "left_semi")
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidebook.functions.frames import latest_by_key, staged
 from tidebook.functions.scalars import finite_or_null
@@ -42,8 +43,11 @@ def upsert(df: DataFrame, path: str, keys: Sequence[str], partition: str, order:
     Only the partitions that receive rows are read and rewritten. The merged
     rows are staged first, so a lost executor or a failed commit can be redone
     from complete data. One writer at a time. ``order`` decides between rows of
-    ``df`` itself that share a key.
+    ``df`` itself that share a key. ``partition`` must be one of the keys or follow from them
+    (then name it among ``keys``): otherwise a key could be held in two partitions.
     """
+    if partition not in keys:
+        raise ValueError(f"partition {partition} must be one of the keys {list(keys)}")
     spark = df.sparkSession
     fresh = latest_by_key(df, list(keys), list(order))
     held = held_table(spark, path)
@@ -70,11 +74,23 @@ def write_results(df: DataFrame, path: str, run_id: str) -> int:
     return written
 
 
+def _finite(x: Column, kind: T.DataType) -> Column:
+    """x with null in place of every NaN and infinity, at any depth."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return finite_or_null(x)
+    if isinstance(kind, T.StructType):
+        parts = [_finite(x.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(x.isNotNull(), F.struct(*parts)) if parts else x
+    if isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda v: _finite(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(x, lambda _, v: _finite(v, kind.valueType))
+    return x
+
+
 def strict_json(df: DataFrame) -> DataFrame:
     """One JSON object text per row; NaN and infinities become null, days ISO text."""
-    safe = [
-        finite_or_null(F.col(f"`{n}`")).alias(n) if t in ("double", "float") else F.col(f"`{n}`") for n, t in df.dtypes
-    ]
+    safe = [_finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]
     return df.select(F.to_json(F.struct(*safe), {"ignoreNullFields": "false"}).alias("value"))
 
 

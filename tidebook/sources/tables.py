@@ -59,6 +59,8 @@ def trades(spark: SparkSession, root: str, lineitem: DataFrame | None = None) ->
             (_price() * F.col("l_quantity")).alias("value"),
             F.col("l_linestatus").alias("line_status"),
             F.col("l_returnflag").alias("return_flag"),
+            # what a stream adds to the rows it delivers
+            *[c for c in ("delivery",) if c in li.columns],
         )
     )
 
@@ -67,11 +69,10 @@ def bars(spark: SparkSession, root: str, rough: bool = False) -> DataFrame:
     """Daily bars. ``rough`` uses the noisy unit price, which gaps on most days."""
     part = table(spark, root, "part").select("p_partkey", _ticker(), "p_retailprice")
     price = _price(rough)
-    # Trades of a day are ordered by (order, line, cents of the price paid). The
-    # three are packed into one long because a fixed-width ordering value keeps
-    # the aggregate a hash aggregate; a struct would force a sort of all trades.
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    trade_no = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 524288 + cents % 524288
+    # Trades of a day are ordered by the whole key: order, line, part, supplier, quantity and
+    # price paid; (order, line) alone is not unique. Fixed-width keys would keep a hash
+    # aggregate, but would have to leave some of the key out.
+    trade_no = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     ticks = (
         table(spark, root, "lineitem")
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -165,15 +166,14 @@ def universe(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def signals(spark: SparkSession, root: str, rough: bool = False, every: int = 50) -> DataFrame:
-    """Every ``every``-th bar of a ticker as an open signal."""
+def signals(spark: SparkSession, root: str, rough: bool = False) -> DataFrame:
+    """Every bar of a ticker as an open signal, in the run of its number."""
     oldest = Window.partitionBy("ticker").orderBy("date")
     return (
         bars(spark, root, rough)
         .select("ticker", "date", F.row_number().over(oldest).alias("n"))
-        .where(F.col("n") % every == 0)
         .select(
-            F.concat(F.lit("R"), (F.col("n") / every).cast("int")).alias("run_id"),
+            F.concat(F.lit("R"), "n").alias("run_id"),
             "ticker",
             F.col("date").alias("as_of_date"),
         )

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from tidebook.operators.caches import prune
 from tidebook.operators.outcomes import apply_updates, refresh_pending
-from tidebook.operators.participants import aggregate_trades
+from tidebook.operators.participants import aggregate_trades, leg_sums, with_balances
 from tidebook.sources.sinks import held_table, upsert
 
 FLOW_KEYS = ("ticker", "trade_date", "participant")
@@ -56,29 +56,48 @@ def ingest_trade_days(
     trades: DataFrame,
     table_path: str,
     checkpoint: str,
-    keys: Sequence[str] = FLOW_KEYS,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
+    delivery: Callable[[Column], Column] | None = None,
 ) -> StreamingQuery:
-    """Whole trade days as they arrive: flow per micro-batch, upserted by key.
-
-    A day delivered again replaces its rows, so a repeated batch leaves the
-    table unchanged. The table is partitioned by month, which keeps files large
-    over long histories.
+    """Trades as they arrive, in files of any cut; sums are kept per delivery and added when read.
+
+    A day whose trades lie in several files, read in one batch or in many, adds up. A delivery is a
+    file, unless ``delivery`` names it by less than the file's name (``day12`` of ``day12.v2``): a
+    file of a delivery that is held replaces all that it gave before, participants and days it no
+    longer has included; of several in one batch the one modified last counts. ``flow_table`` reads
+    the table, which is partitioned by delivery, so a batch rewrites what it brings only.
+    ``prepare`` turns a batch into trades and must keep the column ``delivery``.
     """
+    name = F.col("_metadata.file_name")
+    named = trades.select(
+        "*",
+        (name if delivery is None else delivery(name)).alias("delivery"),
+        F.struct(F.col("_metadata.file_modification_time").alias("at"), name.alias("name")).alias("_file"),
+    )
 
     def store(batch: DataFrame, _batch_id: int) -> None:
-        rows = batch if prepare is None else prepare(batch)
-        flow = aggregate_trades(rows).withColumn("trade_month", month_number("trade_date"))
-        upsert(flow, table_path, (*keys, "trade_month"), "trade_month")
+        last = batch.groupBy("delivery").agg(F.max("_file").alias("_file"))
+        rows = batch.join(last, ["delivery", "_file"], "left_semi").drop("_file")
+        flow = aggregate_trades(rows if prepare is None else prepare(rows), by=("delivery",))
+        flow = flow.withColumn("trade_month", month_number("trade_date")).hint("rebalance", "delivery")
+        flow.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("delivery").parquet(table_path)
 
     return (
-        trades.writeStream.foreachBatch(store)
+        named.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def flow_table(spark: SparkSession, table_path: str, first_month: Column | None = None) -> DataFrame:
+    """Flow per key of all deliveries ingested so far, from a month on where one is given."""
+    held = spark.read.parquet(table_path)
+    if first_month is not None:
+        held = held.where(F.col("trade_month") >= first_month)
+    return with_balances(held.groupBy(*FLOW_KEYS).agg(*leg_sums()))
+
+
 def drop_repeats(trades: DataFrame, keys: Sequence[str], delay: str = "3 days") -> DataFrame:
     """Exact re-deliveries removed within the watermark."""
     return trades.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
@@ -89,10 +108,9 @@ def month_number(day: str) -> Column:
 
 
 def retained(spark: SparkSession, table_path: str, as_of: str, keep_days: int = 45) -> DataFrame:
-    """Rows young enough to keep; whole months are pruned before files are read."""
+    """Rows young enough to keep; older months are skipped by the files' statistics."""
     first = F.date_sub(F.lit(as_of).cast("date"), keep_days)
-    rows = spark.read.parquet(table_path).where(F.col("trade_month") >= F.year(first) * 100 + F.month(first))
-    return prune(rows, as_of, keep_days)
+    return prune(flow_table(spark, table_path, F.year(first) * 100 + F.month(first)), as_of, keep_days)
 
 
 def refresh_outcomes_on_bars(
@@ -110,7 +128,7 @@ def refresh_outcomes_on_bars(
         prices = spark.read.parquet(price_path).join(names.select("ticker"), "ticker", "left_semi")
         updates = refresh_pending(outcomes, names, prices)
         changed = apply_updates(outcomes.join(updates.select("run_id", "ticker"), ["run_id", "ticker"], "left_semi"), updates)
-        upsert(changed, outcome_path, ("run_id", "ticker"), "as_of_date")
+        upsert(changed, outcome_path, ("run_id", "ticker"), "run_id")
 
     return (
         price_batches.writeStream.foreachBatch(advance)
