@@ -7,8 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidebook.config import ScanConfig, ScoreWeights
 from tidebook.functions.frames import average_rank_pct, latest_by_key
-from tidebook.functions.scalars import canonical_ticker, lenient_bool, nearest_split_factor
+from tidebook.functions.scalars import between, canonical_ticker, lenient_bool
+from tidebook.functions.text import clip, nearest_split_factor
 from tidebook.operators import bars as B
 from tidebook.operators import broker as K
 from tidebook.operators import evidence, outcomes, planning, price
@@ -37,11 +39,33 @@ def rising(n=100):
 def test_scalar_rules(spark):
     df = spark.createDataFrame([(" bbca.jk ", "Yes", 0.48), (None, "no", 3.4)], "t string, b string, r double")
     out = df.select(
-        canonical_ticker(F.col("t")).alias("t"), lenient_bool(F.col("b")).alias("b"), nearest_split_factor(F.col("r")).alias("f")
+        canonical_ticker(F.col("t")).alias("t"), lenient_bool(F.col("b")).alias("b"), F.expr(nearest_split_factor("r")).alias("f")
     ).collect()
     assert [tuple(r) for r in out] == [("BBCA", True, 0.5), ("", False, 3.0)]
 
 
+def test_bounds_keep_null(spark):
+    df = spark.createDataFrame([(None,), (-5.0,), (150.0,), (7.0,)], "x double")
+    got = df.select(between(F.col("x"), 0.0, 100.0).alias("a"), F.expr(clip("x")).alias("b")).collect()
+    assert [tuple(r) for r in got] == [(None, None), (0.0, 0.0), (100.0, 100.0), (7.0, 7.0)]
+
+
+def test_no_verified_row_is_no_verified_share(spark):
+    rows = [("A", 10.0, 5.0, False), ("B", 0.0, 0.0, True), ("C", 3.0, 1.0, True), ("C", 4.0, 0.0, False)]
+    got = K.verified_source_pct(spark.createDataFrame(rows, "ticker string, buy_value double, sell_value double, source_verified boolean"))
+    assert {r.ticker: r.verified_source_pct for r in got.collect()} == {"A": 0.0, "B": 0.0, "C": 50.0}
+
+
+def test_caps_are_errors_or_gone(spark):
+    with pytest.raises(ValueError):
+        B.last_n_bars(bar_frame(spark, rising(5)), 0)
+    assert B.last_n_bars(bar_frame(spark, rising(700)), 650).count() == 650
+    with pytest.raises(ValueError):
+        ScanConfig(direct_min_brokers=1)
+    with pytest.raises(ValueError):
+        ScoreWeights(accumulation=0.5)
+
+
 def test_trade_detail_and_top_participants(spark):
     trades = spark.createDataFrame(
         [("2026-08-14", "ELSA", "AB", "CD", 100.0, 100000.0), ("2026-08-14", "ELSA", "AB", "EF", 200.0, 200000.0), ("bad", "ELSA", "GH", "CD", 50.0, 50000.0)],
