@@ -68,6 +68,14 @@ def day(x: Column) -> Column:
     return x.try_cast("timestamp").cast("date")
 
 
+def moment(x: Column) -> Column:
+    """A point in time, as UTC wall-clock time, from text in ISO form; text without a zone means
+    UTC, and bad text is null."""
+    has_zone = F.trim(x).rlike(r"(?:[Zz]|[+-][0-9]{2}:?[0-9]{2})$")
+    whole = F.when(has_zone, F.trim(x)).otherwise(F.concat(F.trim(x), F.lit("Z")))
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), whole.try_cast("timestamp").cast("timestamp_ntz"))
+
+
 def pick(x: Column, table: Mapping[str, float], default: float) -> Column:
     """Literal lookup."""
     out = None

@@ -85,6 +85,19 @@ def select_guarded_top5(
     )
 
 
+def verification_errors(finalists: DataFrame, bars: DataFrame, config: ScanConfig | None = None) -> DataFrame:
+    """Finalists that cannot be verified because their history is too short, one row each."""
+    least = (config or ScanConfig()).minimum_price_bars
+    counts = bars.join(finalists.select("ticker"), "ticker", "left_semi").groupBy("ticker").agg(F.count("close").alias("bars"))
+    held = finalists.select("ticker").join(counts, "ticker", "left").withColumn("bars", F.coalesce("bars", F.lit(0)))
+    return held.where(F.col("bars") < least).select(
+        "ticker",
+        F.lit("BROKER_VERIFY").alias("stage"),
+        "bars",
+        F.concat(F.col("bars").cast("string"), F.lit(f" bars, {least} needed")).alias("error"),
+    )
+
+
 def verify_guarded_top5(
     finalists: DataFrame,
     bars: DataFrame,

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.functions.frames import latest_by_key
+from tidebook.functions.frames import latest_by_key, one_row
 from tidebook.functions.scalars import finite_or_null
 from tidebook.operators.bars import dedupe_days, split_like_gap
 
@@ -94,6 +94,14 @@ def _as_bars(prices: DataFrame) -> DataFrame:
     return dedupe_days(prices).withColumnRenamed("trade_date", "date")
 
 
+def _bars_ahead(prices: DataFrame, open_rows: DataFrame) -> DataFrame:
+    """Forward bars of the tickers with open rows, from the first open signal of each on: what
+    lies before cannot reach an outcome, so it is dropped before the window."""
+    since = open_rows.groupBy("ticker").agg(F.min("as_of_date").alias("_since"))
+    ahead = prices.join(since, "ticker").where(F.col("trade_date") >= F.col("_since")).drop("_since")
+    return forward_bars(_as_bars(ahead))
+
+
 def refresh_signal_outcomes(
     outcomes: DataFrame, prices: DataFrame, now: Column | None = None, limit: int | None = None
 ) -> DataFrame:
@@ -103,7 +111,7 @@ def refresh_signal_outcomes(
     """
     open_rows = outcomes.where(F.col("evaluation_status").isin(*OPEN_STATES))
     keys = [c for c in outcomes.columns if c not in (*OUTCOME_COLUMNS, "evaluated_at")]
-    joined = open_rows.select(*keys).join(forward_bars(_as_bars(prices)), ["ticker", "as_of_date"])
+    joined = open_rows.select(*keys).join(_bars_ahead(prices, open_rows), ["ticker", "as_of_date"])
     if limit is not None:
         joined = joined.orderBy("as_of_date", "ticker", "run_id").limit(limit)
     return _stamped(evaluate(joined.where(F.col("entry") > 0)), now)
@@ -114,25 +122,32 @@ def _stamped(rows: DataFrame, now: Column | None) -> DataFrame:
     return rows.withColumn("evaluated_at", F.when(F.col("evaluation_status") != "PENDING", stamp))
 
 
+def pending_rows(outcomes: DataFrame, universe: DataFrame) -> DataFrame:
+    """Open rows of the universe: what a refresh looks at."""
+    open_rows = outcomes.where(F.col("evaluation_status").isin(*OPEN_STATES))
+    return open_rows.join(universe.select("ticker"), "ticker", "left_semi")
+
+
 def refresh_pending(
     outcomes: DataFrame, universe: DataFrame, prices: DataFrame, now: Column | None = None
 ) -> DataFrame:
     """Open universe rows whose status or last evaluated day changed."""
-    pending = outcomes.where(F.col("evaluation_status").isin(*OPEN_STATES)).join(
-        universe.select("ticker"), "ticker", "left_semi"
-    )
+    pending = pending_rows(outcomes, universe)
     held = {"evaluation_status": "_held_status", "evaluated_through": "_held_through"}
     keys = [c for c in outcomes.columns if c not in (*OUTCOME_COLUMNS, "evaluated_at")]
     rows = pending.select(*keys, *[F.col(c).alias(h) for c, h in held.items()])
-    fresh = evaluate(rows.join(forward_bars(_as_bars(prices)), ["ticker", "as_of_date"], "left"))
+    fresh = evaluate(rows.join(_bars_ahead(prices, pending), ["ticker", "as_of_date"], "left"))
     same = F.lit(True)
     for c, h in held.items():
         same = same & F.col(c).eqNullSafe(F.col(h))
     return _stamped(fresh.where(~same).drop(*held.values()), now)
 
 
-def refresh_stats(updates: DataFrame) -> DataFrame:
+def refresh_stats(updates: DataFrame, pending: DataFrame) -> DataFrame:
+    """How many rows were looked at and changed, and what they became."""
+    checked = pending.agg(F.count(F.lit(1)).alias("checked"))
     return updates.agg(
+        one_row(checked)["checked"].alias("checked"),
         F.count(F.lit(1)).alias("updated"),
         F.count(F.when(F.col("evaluation_status") == "COMPLETE", True)).alias("complete"),
         F.count(F.when(F.col("evaluation_status") == "EXCLUDED", True)).alias("excluded"),

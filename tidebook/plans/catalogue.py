@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebook import config as C
 from tidebook.functions.frames import one_row, staged
+from tidebook.functions.scalars import moment
 from tidebook.operators import bars as B
 from tidebook.operators import broker as K
 from tidebook.operators import caches, constraints, evidence, foreign, funnel, normalize, outcomes, planning, price, runs
@@ -612,13 +613,14 @@ def outcome_updates(spark, root):
 
 
 @query(
-    "updated:i complete:i excluded:i",
-    """SELECT count(*) AS updated, count(CASE WHEN evaluation_status = 'COMPLETE' THEN 1 END) AS complete, count(CASE WHEN evaluation_status = 'EXCLUDED' THEN 1 END) AS excluded
+    "checked:i updated:i complete:i excluded:i",
+    """SELECT (SELECT count(*) FROM signals WHERE CAST(substr(run_id, 2) AS INT) % 3 <> 0) AS checked, count(*) AS updated, count(CASE WHEN evaluation_status = 'COMPLETE' THEN 1 END) AS complete, count(CASE WHEN evaluation_status = 'EXCLUDED' THEN 1 END) AS excluded
        FROM outcomes WHERE CAST(substr(run_id, 2) AS INT) % 3 <> 0 AND CAST(substr(run_id, 2) AS INT) % 5 <> 0""",
 )
 def outcome_refresh_stats(spark, root):
-    updates = outcomes.refresh_pending(_stored_outcomes(spark, root), T.universe(spark, root), T.daily_prices(spark, root))
-    return outcomes.refresh_stats(updates)
+    stored, universe = _stored_outcomes(spark, root), T.universe(spark, root)
+    updates = outcomes.refresh_pending(stored, universe, T.daily_prices(spark, root))
+    return outcomes.refresh_stats(updates, outcomes.pending_rows(stored, universe))
 
 
 @query(
@@ -1136,6 +1138,30 @@ def broker_source_missing(spark, root):
     return chosen.groupBy("ticker", "trade_date", "source").agg(F.count_distinct("broker_code").alias("brokers"))
 
 
+@query(
+    "ticker stage bars:i",
+    "SELECT u.ticker, 'BROKER_VERIFY' AS stage, count(b.date) AS bars FROM (SELECT ticker FROM universe UNION ALL SELECT 'NOHISTORY') u LEFT JOIN bars b ON b.ticker = u.ticker GROUP BY u.ticker HAVING count(b.date) < 1520",
+)
+def verification_errors(spark, root):
+    """Finalists whose history is too short to verify are named, not dropped."""
+    finalists = T.universe(spark, root).select("ticker").union(spark.createDataFrame([("NOHISTORY",)], "ticker string"))
+    return funnel.verification_errors(finalists, T.bars(spark, root), C.ScanConfig(minimum_price_bars=1520))
+
+
+@query(
+    "id:i moment",
+    "SELECT event_id AS id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS moment FROM events",
+)
+def timestamps_parsed(spark, root):
+    """Texts with an offset, with a Z and without a zone (which means UTC) name the same moment."""
+    rows = T.table(spark, root, "events").select("event_id", F.date_trunc("second", F.col("ts").cast("timestamp_ntz")).alias("ts"))
+    there = F.col("ts") + F.expr("INTERVAL 7 HOURS")
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
+    text = text.when(F.col("event_id") % 3 == 1, F.concat(F.date_format(there, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+07:00")))
+    text = text.otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return rows.select(F.col("event_id").alias("id"), F.date_format(moment(text), "yyyy-MM-dd HH:mm:ss").alias("moment"))
+
+
 # ---- files and sinks -----------------------------------------------------------------
 
 
