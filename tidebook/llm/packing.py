@@ -47,7 +47,7 @@ class UnitTokenizer:
     holds anything else.  The ids of each different unit are kept, `most` of them at most; new
     runs of letters are tokenised together and told apart by the token that ends a run."""
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
         from tokenizers import Tokenizer
 
@@ -160,7 +160,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
         known = encoder(tokenizer)
         for batch in batches:
             data, at = flat(batch.column(1))
-            for low, high in slices(at, 4_000_000):
+            for low, high in slices(at, 2_000_000):
                 ids, first = known.encode(data[at[low] : at[high]], at[low : high + 1] - at[low])
                 ids = np.insert(ids, first[1:], end_id).astype("<u4")
                 total = np.diff(first) + 1
