@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import SPACE, WORD, words_of
+from tidebook.llm.common import SPACE, WORD, staged, words_of
 
 WEIGHTS = (3, 1, 2)
 
@@ -94,6 +94,7 @@ def _placed(docs: DataFrame, block: int, cell_words: int, most_sources: int, sha
         words_of(F.col(text_col)).alias("size"),
         F.xxhash64(text_col).alias("digest"),
     )
+    sized = staged(sized)
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size")).limit(most_sources + 1).collect()
     if len(totals) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
@@ -159,8 +160,8 @@ def mix(
     times: float = 2.0,
     shards: int = 256,
     seed: int = 11,
-    cell_words: int = 1 << 20,
-    most_sources: int = 100_000,
+    cell_words: int = 1 << 18,
+    most_sources: int = 10_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -180,7 +181,8 @@ def mix(
         ).alias("block"),
     )
     low, high = F.greatest(F.col("block") * block, F.col("first")), F.least((F.col("block") + 1) * block, last)
-    joined = pieces.join(taken, ["number", "block"], "left").select(
+    # Both sides grow with the corpus, so neither may be sent to every task.
+    joined = pieces.join(taken.hint("merge"), ["number", "block"], "left").select(
         "doc_id", "source", "size", "digest", "source_size", "target", "number", "first",
         (low - F.col("first")).alias("from"), (high - F.col("first")).alias("to"), F.coalesce("times", F.lit(0)).alias("times"),
     )
