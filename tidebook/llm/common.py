@@ -55,6 +55,16 @@ def staged(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sampled(rows: DataFrame, key: Column, most: int, n: int) -> DataFrame:
+    """At most `most` rows, those of least `key` (a 64-bit hash), of about `n` rows.
+
+    Only rows whose key lies in the lowest share that holds some more than `most` are ordered, so
+    that tasks don't each send `most` rows."""
+    share = min(1.0, (1.2 * most + 50) / max(n, 1))
+    last = min(2**63 - 1, int(-(2**63) + share * 2**64))
+    return rows.withColumn("_key", key).where(F.col("_key") <= F.lit(last)).orderBy("_key").limit(most).drop("_key")
+
+
 def words_of(text: Column) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

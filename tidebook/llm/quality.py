@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import staged
+from tidebook.llm.common import sampled, staged
 from tidebook.llm.textbytes import LOWER, distinct, flat, mixed, powers, slices, word_hashes, words
 
 LABELLERS = ("capitals", "marks", "lone_marks", "ending_marks", "repeats", "variety", "word_length", "sentences")
@@ -175,7 +175,8 @@ def rate(
         empty = rows.where("false").select("doc_id", "digest", F.lit(0.0).alias("weak"), F.lit(0.0).alias("score"), F.lit(False).alias("keep"))
         return empty
     posterior = accuracies(counts)[0]
-    sample = rows.where("text IS NOT NULL").orderBy(F.xxhash64("doc_id", "text")).select("text").limit(train_docs).toArrow()
+    texts = rows.where("text IS NOT NULL")
+    sample = sampled(texts, F.xxhash64("doc_id", "text"), train_docs, int(counts.sum())).select("text").toArrow()
     weights = np.zeros(BUCKETS + 1)
     if len(sample):
         data, at = flat(sample["text"])
