@@ -243,8 +243,9 @@ def copies():
     return rows
 
 
-def test_near_duplicates_match_brute_force(spark, copies):
-    found = near_dup.classes(spark.createDataFrame(copies, DOCS)).collect()
+@pytest.mark.parametrize("large", [2, 8])
+def test_near_duplicates_match_brute_force(spark, copies, large):
+    found = near_dup.classes(spark.createDataFrame(copies, DOCS), large=large).collect()
     assert len(found) == len(copies)
     texts = {r[0]: five(r[1]) for r in copies if r[0] is not None}
     parent = {i: i for i in texts}
