@@ -373,6 +373,14 @@ def test_reader_comments_notices_and_forms_go():
     assert html_extract.extract(deep, frozenset(), frozenset()) == "x" and html_extract.induce([deep, deep])
 
 
+def test_values_of_attributes_are_not_names():
+    page = (
+        '<body><nav>n</nav><article style="overflow: hidden" data-x=\'a class="ad"\'><h1>T</h1><p title="a hidden valley">a</p><p data-a="x" style=\'visibility: hidden\'>b</p>'
+        '<p data-note="role=search id=comments">c</p><p HIDDEN>gone</p><p class="x" hidden="">gone</p><p aria-hidden = "true">gone</p><p aria-hidden="false"/ class=ad>gone</p></article></body>'
+    )
+    assert html_extract.extract(page, frozenset(), frozenset()) == "T\n\na\n\nb\n\nc"
+
+
 # --- vectors
 
 
