@@ -381,6 +381,35 @@ def test_values_of_attributes_are_not_names():
     assert html_extract.extract(page, frozenset(), frozenset()) == "T\n\na\n\nb\n\nc"
 
 
+def test_names_of_an_article_are_not_marks():
+    def text(page):
+        return html_extract.extract(page, frozenset(), frozenset())
+
+    for name in ('class="post category-social tag-search"', 'class="ad-free"', 'id="discussion"', 'class="header"', 'role="search"'):
+        assert text(f"<body><nav>n</nav><article {name}><h1>T</h1><p>a</p></article></body>") == "T\n\na"
+    page = (
+        '<article><h2 id="discussion">D</h2><p>a</p><section id="login"><p>b</p></section><div class="post-header"><p>c</p></div><div class="ad">x</div>'
+        '<div class="social-share">x</div><div id="comments"><p>x</p></div></article><div id="cookie-notice">x</div>'
+    )
+    assert text(page) == "D\n\na\n\nb\n\nc"
+    assert text(f'<h2 id="login">T</h2><p>{"a " * 9}</p><div class="sidebar-box"><p>x</p></div>') == "T\n\n" + "a " * 8 + "a"
+    # Most of the paragraphs: content whatever the name, unless readers wrote it.
+    assert text(f'<div class="widget"><p>{"a " * 9}</p></div><p>b</p>') == "a " * 8 + "a\n\nb"
+    for name in ("comments", "cookie-consent", "ad"):
+        assert text(f'<div class="{name}"><p>{"a " * 9}</p></div><p>b</p>') == "b"
+    assert text('<article><p>a b c</p></article><article class="comment"><p>x y</p></article><article class="comment"><p>x y</p></article>') == "a b c"
+
+
+def test_small_articles_beside_the_text():
+    long_, teaser = "<p>" + "long text " * 20 + "</p>", "<article><p>teaser</p></article>"
+    for page in (f"<main>{long_}{teaser}{teaser}</main>", f"<div>{long_}</div>{teaser}{teaser}", f"<main>{long_}</main>{teaser}"):
+        assert html_extract.extract(page, frozenset(), frozenset()).startswith(("long text " * 20).strip())
+    many = "".join(f"<article><p>teaser {i}</p></article>" for i in range(6))
+    assert html_extract.extract(f"<main>{many}</main>", frozenset(), frozenset()).count("teaser") == 6
+    one = f"<main><p>by me</p><article>{long_}</article>{teaser}</main>"
+    assert html_extract.extract(one, frozenset(), frozenset()) == ("long text " * 20).strip()
+
+
 # --- vectors
 
 
