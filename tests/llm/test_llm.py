@@ -264,6 +264,34 @@ def test_near_duplicates_match_brute_force(spark, copies, large):
     assert all(r.class_docs == (sizes[r.class_node] if r.node else 1) for r in found)
 
 
+def test_large_bucket_of_unlike_leaders(spark):
+    """Chains of texts, each like its neighbours only, all in one bucket."""
+    rng = random.Random(12)
+    texts = {}
+    for chain in range(12):
+        current = [f"c{chain}w{k}" for k in range(100)]
+        for i in range(40):
+            texts[f"{chain:02}-{i:02}"] = " ".join(current)
+            at = rng.randrange(10, 40)
+            current[at], current[at + 30] = f"c{chain}x{i}", f"c{chain}y{i}"
+    runs = {i: five(x) for i, x in texts.items()}
+    parent = {i: i for i in texts}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(texts, 2):
+        if len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b]):
+            parent[max(top(a), top(b))] = min(top(a), top(b))
+    members = spark.createDataFrame([(0, 7, i) for i in texts], "band int, key long, node string")
+    frame = spark.createDataFrame(list(texts.items()), "node string, text string")
+    links = near_dup.links_of(members, frame, np.ones(64, np.float32), 0.8, 29, 8)
+    got = {r.node: r["class"] for r in near_dup.components(links).collect()}
+    assert {i: got.get(i, i) for i in texts} == {i: top(i) for i in texts} and len(set(got.values())) < 40
+
+
 def test_one_of_each_class_stays(spark, copies):
     frame = spark.createDataFrame(copies, DOCS)
     out = near_dup.one_of_each(frame)
