@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,6 +94,23 @@ def test_packing_round_trip(docs, corpus):
     assert sum(4096 - sum(n for _, n in x) for x in places.values()) < 4096 * 2 * 5
 
 
+def test_a_text_with_more_units_than_are_kept(monkeypatch):
+    known, times = packing.UnitTokenizer(TOKENIZER, most=50), []
+    forget = packing.UnitTokenizer.forget
+
+    def counted(self):
+        times.append(1)
+        assert len(times) < 10, "forgets without end"
+        forget(self)
+
+    monkeypatch.setattr(packing.UnitTokenizer, "forget", counted)
+    rng = random.Random(3)
+    long_ = prose(rng, "en", 300)
+    for texts in ([long_[:100]], [long_, long_[50:90]], [prose(rng, "de", 200) + " x1 €"], [long_[:60]]):
+        ids, first = known.encode(*near_dup.flat(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(first)] == [x.tolist() for x in known.direct(texts)]
+
+
 def test_first_fit_decreasing_is_first_fit():
     lengths = np.random.default_rng(1).integers(1, 101, 300)
     bins, offsets = packing.first_fit_decreasing(lengths, 100)

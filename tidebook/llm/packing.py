@@ -44,8 +44,8 @@ class UnitTokenizer:
     across white space.
 
     A unit is a run of plain letters or of marks within a word, or a whole word where the word
-    holds anything else.  The ids of each different unit are kept, `most` of them at most; new
-    runs of letters are tokenised together and told apart by the token that ends a run."""
+    holds anything else.  The ids of each different unit are kept, `most` of them at most, or
+    those of the last texts where they have more; new runs of letters are tokenised together and told apart by the token that ends a run."""
 
     def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
@@ -83,8 +83,6 @@ class UnitTokenizer:
         return ids, counts
 
     def _learn(self, raw: np.ndarray, low: np.ndarray, hashes: np.ndarray, start: np.ndarray, length: np.ndarray, letters: np.ndarray) -> None:
-        if len(self.hashes) + len(hashes) > self.most:
-            self.forget()
         ids, counts, order = [self.ids], [], []
         if letters.any():
             more, n = self._runs(low, start[letters], length[letters])
@@ -130,13 +128,15 @@ class UnitTokenizer:
         if whole.any():  # those keep their capitals
             hashes[whole] = word_hashes(data, begins[whole], stops[whole]) ^ np.uint64(1)
         different, sample, back = np.unique(hashes, return_index=True, return_inverse=True)
-        while True:
-            place = np.minimum(np.searchsorted(self.hashes, different), max(0, len(self.hashes) - 1))
-            new = self.hashes[place] != different if len(self.hashes) else np.ones(len(different), bool)
-            if not new.any():
-                break
+        new = ~np.isin(different, self.hashes, assume_unique=True)
+        if new.any():
+            if len(self.hashes) + new.sum() > self.most:
+                # All units of these texts are needed at once, however many they are.
+                self.forget()
+                new[:] = True
             pick = sample[new]
             self._learn(data, low, different[new], begins[pick], (stops - begins)[pick], (kind[begins[pick]] == _LETTER) & ~whole[pick])
+        place = np.searchsorted(self.hashes, different)
         length = self.length[place][back]
         sums = np.append(0, np.cumsum(length))
         word_first = np.searchsorted(unit_word, first)
