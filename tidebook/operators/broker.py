@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.config import ScanConfig
+from tidebook.functions.days import day_bits, day_sets, days_held
 from tidebook.functions.scalars import between, lenient_bool, ratio, sum0
 from tidebook.functions.text import agg_texts, held, score, sigmoid, with_texts
 
@@ -68,13 +69,7 @@ def broker_windows(broker: DataFrame) -> DataFrame:
     it serves every later step of the model.
     """
     newest = Window.partitionBy("ticker").orderBy(F.col("trade_date").desc())
-    daily = broker_days_table(broker).withColumns(
-        {
-            "day_rank": F.dense_rank().over(newest),
-            # Exactly one row of each ticker-day differs from the row before it.
-            "day_starts": ~F.lag("trade_date").over(newest).eqNullSafe(F.col("trade_date")),
-        }
-    )
+    daily = broker_days_table(broker).withColumn("day_rank", F.dense_rank().over(newest))
     sums: dict[str, str] = {}
     for w in WINDOWS:
         sums[f"net_{w}"] = f"coalesce(sum(CASE WHEN day_rank <= {w} THEN net_value END), 0D)"
@@ -89,7 +84,6 @@ def broker_windows(broker: DataFrame) -> DataFrame:
         "gross": "sum(gross)",
         "verified_gross": "sum(verified_gross)",
         "oldest_day_rank": "max(day_rank)",
-        "started_days": "collect_list(CASE WHEN day_starts THEN trade_date END)",
     }
     return daily.groupBy("ticker", "broker_code").agg(*agg_texts(sums))
 
@@ -112,7 +106,11 @@ def broker_cohort(windows: DataFrame, cohort_size: int = 5) -> DataFrame:
 
 
 def broker_state(broker: DataFrame, config: ScanConfig | None = None) -> DataFrame:
-    """One row per ticker with all sums of the model, no price needed yet."""
+    """One row per ticker with all sums of the model, no price needed yet.
+
+    The set of its days is a bitmap made from the rows as they come, one per task and ticker at
+    most in the exchange; stage rows that are costly to make, as they are read twice.
+    """
     config = config or ScanConfig()
     rows = broker_cohort(broker_windows(broker), config.cohort_size)
 
@@ -125,7 +123,6 @@ def broker_state(broker: DataFrame, config: ScanConfig | None = None) -> DataFra
 
     sums = {
         "broker_days": "max(oldest_day_rank)",
-        "broker_day_list": "flatten(collect_list(started_days))",
         "distinct_brokers": "count(1)",
         "gross_all": "sum(gross)",
         "verified_gross_all": "sum(verified_gross)",
@@ -147,7 +144,8 @@ def broker_state(broker: DataFrame, config: ScanConfig | None = None) -> DataFra
         sums[f"net_value_{w}d"] = over(f"in_{w}", f"net_{w}")
         weighted = over(f"in_{w}", f"net_{w} * up_days_{w} / days_{w}")
         sums[f"persistence_{w}d"] = f"coalesce(try_divide({weighted}, {over(f'in_{w}', f'net_{w}')}), 0D)"
-    return rows.groupBy("ticker").agg(*agg_texts(sums))
+    days = day_sets(day_bits(broker, ["ticker"], "trade_date"), ["ticker"], "broker_day_set")
+    return rows.groupBy("ticker").agg(*agg_texts(sums)).join(days, "ticker", "left")
 
 
 def add_broker_features(state: DataFrame, config: ScanConfig | None = None) -> DataFrame:
@@ -164,7 +162,7 @@ def add_broker_features(state: DataFrame, config: ScanConfig | None = None) -> D
         {
             "has_broker": "broker_days IS NOT NULL",
             "coverage_pct": "CASE WHEN broker_days IS NOT NULL AND size(price_days) > 0"
-            " THEN 100D * size(array_intersect(price_days, broker_day_list)) / size(price_days) ELSE 0D END",
+            f" THEN 100D * {days_held('broker_day_set', 'price_days')} / size(price_days) ELSE 0D END",
             "_conc": "CASE WHEN positive_20 > 0 THEN net_value_20d / positive_20 ELSE 0D END",
             "net_conversion_ratio": f"coalesce(positive_20 / {turnover}, 0D)",
             "_edge": f"net_value_20d / {turnover} - 0.08D",
@@ -243,7 +241,7 @@ def add_broker_features(state: DataFrame, config: ScanConfig | None = None) -> D
             "top_distributing_brokers": "coalesce(top_distributing_brokers, array())",
         },
     )
-    return s.drop(*[c for c in s.columns if c.startswith("_")])
+    return s.drop("broker_day_set", *[c for c in s.columns if c.startswith("_")])
 
 
 def compute_broker_features(broker: DataFrame, profile: DataFrame, config: ScanConfig | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebook.functions.days import day_bits, day_sets, days_held, united
+
 COMPONENTS = (
     "accumulation_score",
     "operator_dominance_score",
@@ -134,22 +136,17 @@ def evidence_telemetry(results: DataFrame, vendor: DataFrame, official: DataFram
             )
         )
     )
-    # Flow rows are folded to distinct ticker-days, and each run's ticker to the days of its
-    # window, so that they meet by ticker and day, however long the history is.
-    flow_days = vendor.select("ticker", "trade_date").union(official.select("ticker", "trade_date")).distinct()
-    window_day = F.explode(F.sequence(F.date_sub("as_of", days), F.col("as_of"))).alias("trade_date")
-    in_window = (
-        results.select("run_id", "ticker")
-        .distinct()
-        .join(counts.select("run_id", "as_of"), "run_id")
-        .select("run_id", "ticker", window_day)
-        .join(flow_days, ["ticker", "trade_date"])
-        .groupBy("run_id")
-        .agg(F.count_distinct("trade_date").alias("foreign_evidence_days"))
-    )
+    # A ticker's flow days are bitmaps, a run's days those of its tickers merged; only the days of
+    # the run's window are then looked up, once a run.
+    flows = vendor.select("ticker", "trade_date").unionAll(official.select("ticker", "trade_date"))
+    bits = day_bits(flows, ["ticker"], "trade_date")
+    run_days = day_sets(united(results.select("run_id", "ticker").join(bits, "ticker"), ["run_id"]), ["run_id"], "_days")
+    window_days = f"sequence(date_sub(as_of, {days}), as_of)"
+    in_window = F.expr(f"CAST({days_held('_days', window_days)} AS BIGINT)")
     return (
-        counts.drop("as_of")
-        .join(in_window, "run_id", "left")
+        counts.join(run_days, "run_id", "left")
+        .withColumn("foreign_evidence_days", F.when(F.col("_days").isNotNull() & F.col("as_of").isNotNull(), in_window))
+        .drop("as_of", "_days")
         .join(per_source, "run_id", "left")
         .withColumns(
             {

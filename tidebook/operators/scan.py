@@ -94,7 +94,7 @@ EMPTY_FOREIGN = "ticker string, trade_date date, foreign_buy double, foreign_sel
 
 
 def scan_inputs(bars: DataFrame, broker: DataFrame | None, flow: DataFrame | None, config: ScanConfig) -> DataFrame:
-    """Bars, broker and flow states side by side, each input read once.
+    """Bars, broker and flow states side by side; broker and flow rows are read for sums and for days.
 
     All three are already aggregated on ticker, so the joins reuse that layout.
     """

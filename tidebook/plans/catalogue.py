@@ -224,7 +224,7 @@ def _evidence(spark: SparkSession, root: str) -> DataFrame:
     "SELECT * FROM foreign_features",
 )
 def foreign_features(spark, root):
-    return foreign.compute_foreign_features(_evidence(spark, root), B.bar_profile(T.bars(spark, root)))
+    return foreign.compute_foreign_features(staged(_evidence(spark, root), "foreign"), B.bar_profile(T.bars(spark, root)))
 
 
 @query(
@@ -251,7 +251,7 @@ BROKER_SPEC = (
 
 @query(BROKER_SPEC, "SELECT * FROM broker_f")
 def broker_features(spark, root):
-    out = K.compute_broker_features(T.broker_flows(spark, root), B.bar_profile(T.bars(spark, root)))
+    out = K.compute_broker_features(staged(T.broker_flows(spark, root), "broker"), B.bar_profile(T.bars(spark, root)))
     names = ("top_accumulating_brokers", "top_distributing_brokers")
     return out.withColumns({n: F.array_join(n, ",") for n in names})
 
