@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -42,33 +43,61 @@ from pyspark.sql import functions as F
 
 from tidebook.llm.common import staged
 
-#: A place where both tokenizers end a token: between a visible mark and a single space.
-UNIT = re.compile(r"(?<=[!-~])(?= [!-~])")
+#: Where A and B each surely end a token.
+#: How byte-level tokenizers cut words.  Fixed value.
+BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SAFE_A = re.compile(rb"(?<=[A-Za-z0-9])(?=[ \n.,;:!?])")
 SAFE_B = re.compile(rb"(?<=[!-~])(?= [!-~])")
 
 
+@dataclass
+class ByteLevel:
+    """A byte-level tokenizer: ids of a text, all of it plain text, and the bytes of every id."""
+
+    encode: Callable[[str], list[int]]
+    tokens: list[bytes]
+
+
+def byte_level(path: str) -> ByteLevel:
+    """Of a tokenizer's file.  Where its merges are in the order of its ids and it cuts words by the
+    usual pattern only, a library that goes by ranks gives the same ids in a fourth of the time."""
+    from tokenizers import Tokenizer
+
+    with open(path) as file:
+        held = json.load(file)
+    # The byte-level alphabet: printable Latin-1 stands for itself, the rest for U+0100 onwards.
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    vocabulary, merges = held["model"]["vocab"], [x if isinstance(x, list) else x.split(" ") for x in held["model"]["merges"]]
+    extra = {x["content"]: x["id"] for x in held["added_tokens"]}
+    ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in extra}
+    tokens = [b""] * (max([*vocabulary.values(), *extra.values()]) + 1)
+    for raw, i in [*ranks.items(), *((x.encode(), i) for x, i in extra.items())]:
+        tokens[i] = raw
+    in_order = all(vocabulary["".join(x)] == len(byte) + k for k, x in enumerate(merges))
+    usual = held["normalizer"] is None and {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}.items() <= held["pre_tokenizer"].items()
+    if in_order and usual and not held["model"].get("ignore_merges"):
+        import tiktoken
+
+        ranked = tiktoken.Encoding("byte_level", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens={})
+        return ByteLevel(ranked.encode_ordinary, tokens)
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
+    tokenizer.encode_special_tokens = True
+    return ByteLevel(lambda text: tokenizer.encode(text, add_special_tokens=False).ids, tokens)
+
+
 class Tokenizers:
-    """Ids of both tokenizers for units of text, each tokenised once while it is kept."""
+    """Ids of whole texts by both tokenizers."""
 
-    def __init__(self, byte_path: str, piece_path: str, most: int = 400_000):
+    def __init__(self, byte_path: str, piece_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.a = Tokenizer.from_file(byte_path)
-        self.a.no_padding()
-        self.a.no_truncation()
-        self.a.encode_special_tokens = True
+        self.a = byte_level(byte_path)
         self.b = SentencePieceProcessor(model_file=piece_path)
-        # The byte-level alphabet: printable Latin-1 stands for itself, the rest for U+0100 onwards.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        assert set(byte) == set(pre_tokenizers.ByteLevel.alphabet())
-        vocabulary = self.a.get_vocab()
-        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.bytes_a[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+        self.bytes_a = self.a.tokens
         self.bytes_b = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
@@ -79,48 +108,20 @@ class Tokenizers:
         self.text_a = [f"{i}{mark}" for i in range(len(self.bytes_a)) for mark in ",|"]
         self.text_b = [f"{i}{mark}" for i in range(len(self.bytes_b)) for mark in ",;"]
         self.text_of = self.text_a + self.text_b
-        self.most = most
-        self.forget()
-
-    def forget(self) -> None:
-        self.units: dict[str, int] = {}
-        self.right = np.zeros(0, bool)
-        # Of each tokenizer: ids of all units, end to end, and where each unit's begin.
-        self.ids = [(np.zeros(0, np.int64), np.zeros(1, np.int64)) for _ in range(2)]
-
-    def learn(self, units: set[str]) -> None:
-        if len(self.units) + len(units) > self.most:
-            self.forget()  # the caller passes all units that it needs
-        new = [u for u in units if u not in self.units]
-        if not new:
-            return
-        found_a = [x.ids for x in self.a.encode_batch_fast(new, add_special_tokens=False)]
-        # B puts the space before a text itself; a unit that has none is never asked of B.
-        found_b = self.b.encode([u[1:] if u[:1] == " " else "" for u in new], num_threads=1)
-        right = []
-        for unit, a, b in zip(new, found_a, found_b, strict=True):
-            self.units[unit] = len(self.units)
-            raw = unit.encode()
-            right.append(b"".join(map(self.bytes_a.__getitem__, a)) == raw and (unit[:1] != " " or b"".join(map(self.bytes_b.__getitem__, b)) == raw))
-        self.right = np.append(self.right, np.array(right, bool))
-        for which, found in enumerate((found_a, found_b)):
-            values, at = self.ids[which]
-            more = np.array([i for ids in found for i in ids], np.int64)
-            self.ids[which] = np.append(values, more), np.append(at, at[-1] + np.cumsum([len(ids) for ids in found]))
-
-    def encode(self, texts: list[list[str]], which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts, given as units, end to end; how many each has; whether its bytes are its own."""
-        places = np.array([self.units[u] for units in texts for u in units], np.int64)
-        first = np.append(0, np.cumsum([len(units) for units in texts]))
-        if not len(places):
-            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64), np.ones(len(texts), bool)
-        values, at = self.ids[which]
-        n = at[places + 1] - at[places]
-        ends = np.cumsum(n)
-        ids = values[np.repeat(at[places] - (ends - n), n) + np.arange(ends[-1])]
-        tokens = np.append(0, ends)[first]
-        wrong = np.append(0, np.cumsum(~self.right[places]))[first]
-        return ids, np.diff(tokens), np.diff(wrong) == 0
+
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        return [self.a.encode(t) for t in texts]
+
+    def encode_b(self, texts: list[str]) -> list[list[int]]:
+        """Every text begins with a space, which B puts before it by itself."""
+        return self.b.encode([t[1:] for t in texts], num_threads=1)
+
+    def own_a(self, text: str, ids: list[int]) -> bool:
+        """Whether the tokens' bytes are those of the text."""
+        return b"".join(map(self.bytes_a.__getitem__, ids)) == text.encode()
+
+    def own_b(self, text: str, ids: list[int]) -> bool:
+        return b"".join(map(self.bytes_b.__getitem__, ids)) == text.encode()
 
 
 _loaded: dict[tuple[str, str], Tokenizers] = {}
@@ -194,15 +195,16 @@ def compose(left: Fragment, right: Fragment) -> Fragment:
 
 @dataclass
 class Closed:
-    """Measures of closed stretches, one entry each; links as (stretch, pair, how many)."""
+    """Measures of closed stretches, one entry each, the id pair of every link, and at which link
+    each stretch begins."""
 
     n_a: np.ndarray
     n_b: np.ndarray
     n_groups: np.ndarray
-    texts: list[str]
-    stretch: np.ndarray
-    pair: np.ndarray
-    links: np.ndarray
+    texts: list[str | None]
+    pairs: np.ndarray
+    first_link: np.ndarray
+    digests: list[str] | None = None
 
 
 def close(a: list[Side], b: list[Side], known: Tokenizers) -> Closed:
@@ -213,29 +215,28 @@ def close(a: list[Side], b: list[Side], known: Tokenizers) -> Closed:
     ends_a = np.concatenate([none, *(x.ends + s for x, s in zip(a, shift, strict=True))])
     ends_b = np.concatenate([none, *(x.ends + s for x, s in zip(b, shift, strict=True))])
     ids_a, ids_b = np.concatenate([none, *(x.ids for x in a)]), np.concatenate([none, *(x.ids for x in b)])
-    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    every = np.sort(np.append(ends_a, ends_b), kind="stable")  # two sorted runs
+    twice = np.append(every[1:] == every[:-1], False)
+    common = every[twice]
     # Between two neighbouring ends of either side lie one token of each: one link.
-    every = np.union1d(ends_a, ends_b)
+    every = every[~twice]
     pair = ids_a[np.searchsorted(ends_a, every)] << 20 | ids_b[np.searchsorted(ends_b, every)]
-    different, back = np.unique(pair, return_inverse=True)
-    where = np.searchsorted(gaps, every) - 1
-    both, links = np.unique(where * np.int64(len(different) or 1) + back, return_counts=True)
     # A group's tokens in order: all of A's, then all of B's.
     group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
     in_a, in_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
     upto = np.append(0, np.cumsum(in_a + in_b))
+    last_a, last_b = np.zeros(len(ends_a), np.int64), np.zeros(len(ends_b), np.int64)
+    last_a[np.cumsum(in_a) - 1] = last_b[np.cumsum(in_b) - 1] = 1
     place_a = np.arange(len(ends_a)) + upto[group_a] - np.append(0, np.cumsum(in_a))[group_a]
     place_b = np.arange(len(ends_b)) + (upto[:-1] + in_a)[group_b] - np.append(0, np.cumsum(in_b))[group_b]
     code = np.empty(len(ends_a) + len(ends_b), np.int64)
-    code[place_a] = 2 * ids_a + np.isin(np.arange(len(ends_a)), np.cumsum(in_a) - 1, assume_unique=True)
-    code[place_b] = len(known.text_a) + 2 * ids_b + np.isin(np.arange(len(ends_b)), np.cumsum(in_b) - 1, assume_unique=True)
+    code[place_a] = 2 * ids_a + last_a
+    code[place_b] = len(known.text_a) + 2 * ids_b + last_b
     group_at = np.searchsorted(common, gaps)  # the first group of each stretch
     text_at, table, codes = upto[group_at], known.text_of, code.tolist()
     texts = ["".join([table[c] for c in codes[low:high]])[:-1] for low, high in itertools.pairwise(text_at.tolist())]
-    per = len(different) or 1
-    return Closed(
-        np.diff(np.searchsorted(ends_a, gaps)), np.diff(np.searchsorted(ends_b, gaps)), np.diff(group_at), texts, both // per, different[both % per], links,
-    )
+    n_a, n_b = np.diff(np.searchsorted(ends_a, gaps)), np.diff(np.searchsorted(ends_b, gaps))
+    return Closed(n_a, n_b, np.diff(group_at), texts, pair, np.searchsorted(every, gaps))
 
 
 # --- Spark
@@ -243,7 +244,7 @@ def close(a: list[Side], b: list[Side], known: Tokenizers) -> Closed:
 _SIDES = ("prefix_a", "prefix_b", "suffix_a", "suffix_b")
 _SCHEMA = (
     "kind string, slice string, row long, doc_id long, no long, place long, fits boolean, divided boolean, n_a long, n_b long, n_groups long, "
-    "groups string, sha string, at binary, links binary, pairs array<long>, counts array<long>, " + ", ".join(f"{x} array<long>" for x in _SIDES)
+    "groups string, sha string, links binary, pairs array<long>, counts array<long>, " + ", ".join(f"{x} array<long>" for x in _SIDES)
 )
 
 
@@ -271,22 +272,23 @@ class _Rows:
         sides = dict(zip(_SIDES, map(_packed, (*prefix, *found.suffix)), strict=True))
         self.add(kind="open", row=row, doc_id=doc_id, no=no, fits=fits, divided=found.prefix is not None, **sides)
 
-    def closed(self, found: Closed, rows: list[int | None], doc_ids: list[int | None], places: list[int], digest: bool, keep: bool) -> None:
+    def closed(self, found: list[Closed], rows: list[int | None], doc_ids: list[int | None], places: list[int]) -> None:
         """Stretches as one slice: its pairs, and each stretch's links as places among them."""
         self.slices += 1
         name = f"{self.tag}-{self.slices}"
-        pairs, back = np.unique(found.pair, return_inverse=True)
-        total = np.bincount(back, found.links, len(pairs)).astype(np.int64)
+        pairs, links = np.unique(np.concatenate([x.pairs for x in found]), return_inverse=True)
+        total = np.bincount(links, minlength=len(pairs)).astype(np.int64)
         self.add(kind="slice", slice=name, row=rows[0], pairs=pairs, counts=total)
-        cuts = np.searchsorted(found.stretch, np.arange(len(rows) + 1))
-        for i, (row, doc_id, place) in enumerate(zip(rows, doc_ids, places, strict=True)):
-            low, high = cuts[i], cuts[i + 1]
-            self.add(
-                kind="links", slice=name, row=row, doc_id=doc_id, place=place, fits=True, n_a=int(found.n_a[i]), n_b=int(found.n_b[i]),
-                n_groups=int(found.n_groups[i]), groups=found.texts[i] if keep else None,
-                sha=hashlib.sha256(found.texts[i].encode()).hexdigest() if digest else None,
-                at=back[low:high].astype("<i4").tobytes(), links=found.links[low:high].astype("<i4").tobytes(),
-            )
+        links, i, begin = links.astype("<i4"), 0, 0
+        for some in found:
+            for k, text in enumerate(some.texts):
+                own = links[begin + some.first_link[k] : begin + some.first_link[k + 1]]
+                self.add(
+                    kind="links", slice=name, row=rows[i], doc_id=doc_ids[i], place=places[i], fits=True, n_a=int(some.n_a[k]), n_b=int(some.n_b[k]),
+                    n_groups=int(some.n_groups[k]), groups=text, sha=some.digests[k] if some.digests else None, links=own.tobytes(),
+                )
+                i += 1
+            begin += len(some.pairs)
 
     def batch(self) -> pa.RecordBatch:
         names, rows, self.rows = self.schema.names, self.rows, []
@@ -336,13 +338,14 @@ def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield low, len(sizes)
 
 
-def _side(ids: np.ndarray, size: np.ndarray, begin: int) -> Side:
-    return Side(begin, ids, begin + np.cumsum(size[ids]))
+def _side(ids: list[int], size: np.ndarray, begin: int) -> Side:
+    tokens = np.array(ids, np.int64)
+    return Side(begin, tokens, begin + np.cumsum(size[tokens]))
 
 
 def align(
     docs: DataFrame, byte_path: str, piece_path: str, *,
-    chunk_bytes: int = 1 << 15, slice_bytes: int = 4 << 20, fan: int = 16, keep_groups: bool = False,
+    chunk_bytes: int = 1 << 16, slice_bytes: int = 4 << 20, batch_bytes: int = 1 << 19, fan: int = 16, keep_groups: bool = False,
 ) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 and, where `keep_groups`
     asks for it, groups (the text `a1,a2|b1;a3|b2,b3`) of every document; texts over `chunk_bytes` are cut."""
@@ -356,19 +359,24 @@ def align(
         known, out = tokenizers(byte_path, piece_path), _Rows(schema, tag("s"))
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for low, high in _slices([len(t) + 1 for t in texts], slice_bytes):
-                some = [UNIT.split(" " + t) if t else [] for t in texts[low:high]]
-                known.learn({u for units in some for u in units})
-                a, n_a, fits = known.encode(some, 0)
-                b, n_b, _ = known.encode(some, 1)
-                at_a, at_b = np.append(0, np.cumsum(n_a)), np.append(0, np.cumsum(n_b))
-                good = [i for i in range(high - low) if fits[i] and some[i]]
-                sides = [[_side(x[at[i] : at[i + 1]], size, 0) for i in good] for x, at, size in ((a, at_a, known.size_a), (b, at_b, known.size_b))]
-                if good:
-                    pick = [ids[low + i] for i in good]
-                    out.closed(close(*sides, known), [None] * len(good), pick, [0] * len(good), True, keep_groups)
-                for i in set(range(high - low)).difference(good):
-                    out.add(kind="links", doc_id=ids[low + i], place=0, fits=False)
+            size = [len(t) + 1 for t in texts]
+            for low, high in _slices(size, slice_bytes):
+                found, pick = [], []
+                for begin, end in _slices(size[low:high], batch_bytes):
+                    some = [" " + t if t else "" for t in texts[low + begin : low + end]]
+                    a, b = known.encode_a(some), known.encode_b(some)
+                    good = [i for i, t in enumerate(some) if t and known.own_a(t, a[i]) and known.own_b(t, b[i])]
+                    for i in set(range(end - begin)).difference(good):
+                        out.add(kind="links", doc_id=ids[low + begin + i], place=0, fits=False)
+                    if good:
+                        sides = [[_side(x[i], of, 0) for i in good] for x, of in ((a, known.size_a), (b, known.size_b))]
+                        found.append(close(*sides, known))
+                        found[-1].digests = [hashlib.sha256(t.encode()).hexdigest() for t in found[-1].texts]
+                        if not keep_groups:
+                            found[-1].texts = [None] * len(good)
+                        pick += [ids[low + begin + i] for i in good]
+                if found:
+                    out.closed(found, [None] * len(pick), pick, [0] * len(pick))
                 yield out.batch()
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,14 +384,9 @@ def align(
         known, out = tokenizers(byte_path, piece_path), _Rows(schema, tag("r"))
         for batch in batches:
             for r in batch.to_pylist():
-                units = [UNIT.split(r[x]) if r[x] else [] for x in ("text_a", "text_b")]
-                known.learn({*units[0], *units[1]})
-                a, _, fits_a = known.encode(units[:1], 0)
-                b, _, fits_b = known.encode(units[1:], 1)
-                fits = bool(fits_a[0] and fits_b[0])
-                found = Fragment(None, (Side(r["from_a"], a[:0], a[:0]), Side(r["from_b"], b[:0], b[:0])))
-                if fits:
-                    found = divide(_side(a, known.size_a, r["from_a"]), _side(b, known.size_b, r["from_b"]))
+                a, b = known.encode_a([r["text_a"]])[0], known.encode_b([r["text_b"]])[0]
+                fits = known.own_a(r["text_a"], a) and known.own_b(r["text_b"], b)
+                found = divide(_side(a, known.size_a, r["from_a"]), _side(b, known.size_b, r["from_b"]))
                 send(out, known, r["row"], r["doc_id"], r["no"], found, fits)
                 yield out.batch()
 
@@ -392,7 +395,7 @@ def align(
         if found.closed:
             a, b = zip(*found.closed, strict=True)
             n = len(a)
-            out.closed(close(list(a), list(b), known), [row] * n, [doc_id] * n, [x.begin for x in a], False, True)
+            out.closed([close(list(a), list(b), known)], [row] * n, [doc_id] * n, [x.begin for x in a])
 
     def reduce(level: int) -> Callable[[tuple, pa.Table], pa.Table]:
         def one(key: tuple, rows: pa.Table) -> pa.Table:
@@ -441,7 +444,7 @@ def align(
     totals = totals.withColumn("best", F.max("total").over(Window.partitionBy(F.col("pairs").bitwiseAND(F.lit((1 << 20) - 1)))) == F.col("total"))
     back = own.join(totals, "pairs").select("slice", "k", "total", "best")
     carried = ["row", "doc_id", "place", "n_a", "n_b", "n_groups", "groups", "sha"]
-    placed = links.where("fits").select(F.col("slice").alias("of"), *(F.col(x).alias(x) for x in carried), "at", "links")
+    placed = links.where("fits").select(F.col("slice").alias("of"), *(F.col(x).alias(x) for x in carried), "links")
     answer = "row long, doc_id long, place long, n_a long, n_b long, n_groups long, groups string, sha string, n_links long, n_best long, count_sum long"
 
     def count(mine: pa.Table, totals: pa.Table) -> pa.Table:
@@ -451,9 +454,9 @@ def align(
         # A slice of a text that does not fit has no totals; its rows are left out below.
         total[where], best[where] = totals["total"].to_numpy(), totals["best"].to_numpy(zero_copy_only=False)
         sums = []
-        for at, n in zip(mine["at"].to_pylist(), mine["links"].to_pylist(), strict=True):
-            at, n = np.frombuffer(at, "<i4"), np.frombuffer(n, "<i4").astype(np.int64)
-            sums.append((n.sum(), n @ best[at], n @ total[at]) if len(where) else (0, 0, 0))
+        for links in mine["links"].to_pylist():
+            at = np.frombuffer(links, "<i4")
+            sums.append((len(at), best[at].sum(), total[at].sum()) if len(where) else (0, 0, 0))
         sums = np.array(sums, np.int64).reshape(-1, 3)
         out = mine.select(carried)
         for i, name in enumerate(("n_links", "n_best", "count_sum")):
