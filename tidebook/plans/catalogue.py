@@ -590,10 +590,10 @@ def outcomes_excluded(spark, root):
     return outcomes.compute_signal_outcomes(T.signals(spark, root, rough=True), bars)
 
 
-def _stored_outcomes(spark: SparkSession, root: str) -> DataFrame:
+def _stored_outcomes(spark: SparkSession, root: str, rough: bool = False) -> DataFrame:
     """Signals as stored rows: most open, some closed, some on a day without a bar."""
     number = F.substring("run_id", 2, 9).cast("int")
-    return T.signals(spark, root).select(
+    return T.signals(spark, root, rough).select(
         "run_id",
         "ticker",
         F.when(number % 5 == 0, F.date_add("as_of_date", 4000)).otherwise(F.col("as_of_date")).alias("as_of_date"),
@@ -1262,3 +1262,6 @@ def stream_retention(spark, root):
     raw = stream.trade_stream(spark, f"{root}/lineitem*.parquet", lineitem.schema)
     stream.ingest_trade_days(raw, f"{home}/table", f"{home}/checkpoint", prepare=lambda batch: T.trades(spark, root, batch)).awaitTermination()
     return stream.retained(spark, f"{home}/table", AS_OF, 45)
+
+
+from tidebook.plans import stream_queries  # noqa: E402, F401  registers the queries over streams
