@@ -37,6 +37,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -244,7 +245,7 @@ def close(a: list[Side], b: list[Side], known: Tokenizers) -> Closed:
 _SIDES = ("prefix_a", "prefix_b", "suffix_a", "suffix_b")
 _SCHEMA = (
     "kind string, slice string, row long, doc_id long, no long, place long, fits boolean, divided boolean, n_a long, n_b long, n_groups long, "
-    "groups string, sha string, links binary, pairs array<long>, counts array<long>, " + ", ".join(f"{x} array<long>" for x in _SIDES)
+    "groups string, sha string, n_links long, links binary, pairs array<long>, counts array<long>, " + ", ".join(f"{x} array<long>" for x in _SIDES)
 )
 
 
@@ -258,6 +259,18 @@ def _unpacked(x: list[int]) -> Side:
     return Side(x[0], both[:, 0], both[:, 1])
 
 
+def _written(places: np.ndarray) -> bytes:
+    """Places in order as steps from one to the next, all lowest bytes first: those above are mostly
+    zeros, which compress."""
+    steps = np.diff(np.sort(places), prepend=0).astype("<i4")
+    return steps.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _read(written: bytes, n: int) -> np.ndarray:
+    steps = np.frombuffer(written, np.uint8).reshape(4, n).T
+    return np.cumsum(np.ascontiguousarray(steps).view("<i4")[:, 0])
+
+
 class _Rows:
     """Collects output rows of one task."""
 
@@ -279,13 +292,13 @@ class _Rows:
         pairs, links = np.unique(np.concatenate([x.pairs for x in found]), return_inverse=True)
         total = np.bincount(links, minlength=len(pairs)).astype(np.int64)
         self.add(kind="slice", slice=name, row=rows[0], pairs=pairs, counts=total)
-        links, i, begin = links.astype("<i4"), 0, 0
+        i = begin = 0
         for some in found:
             for k, text in enumerate(some.texts):
                 own = links[begin + some.first_link[k] : begin + some.first_link[k + 1]]
                 self.add(
                     kind="links", slice=name, row=rows[i], doc_id=doc_ids[i], place=places[i], fits=True, n_a=int(some.n_a[k]), n_b=int(some.n_b[k]),
-                    n_groups=int(some.n_groups[k]), groups=text, sha=some.digests[k] if some.digests else None, links=own.tobytes(),
+                    n_groups=int(some.n_groups[k]), groups=text, sha=some.digests[k] if some.digests else None, n_links=len(own), links=_written(own),
                 )
                 i += 1
             begin += len(some.pairs)
@@ -358,12 +371,12 @@ def align(
         """Texts of one range, many at a time."""
         known, out = tokenizers(byte_path, piece_path), _Rows(schema, tag("s"))
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            size = [len(t) + 1 for t in texts]
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            size = pc.add(pc.binary_length(texts), 1).to_pylist()
             for low, high in _slices(size, slice_bytes):
                 found, pick = [], []
                 for begin, end in _slices(size[low:high], batch_bytes):
-                    some = [" " + t if t else "" for t in texts[low + begin : low + end]]
+                    some = [" " + t if t else "" for t in texts.slice(low + begin, end - begin).to_pylist()]
                     a, b = known.encode_a(some), known.encode_b(some)
                     good = [i for i, t in enumerate(some) if t and known.own_a(t, a[i]) and known.own_b(t, b[i])]
                     for i in set(range(end - begin)).difference(good):
@@ -422,13 +435,13 @@ def align(
     pieces = spoken.mapInArrow(_cut(chunk_bytes), "row long, doc_id long, no long, from_a long, text_a string, from_b long, text_b string")
     short = rows.where(~is_long).select("doc_id", "text").mapInArrow(whole, _SCHEMA)
     long = pieces.repartition("row", "no").mapInArrow(ranges, _SCHEMA)
-    made = staged(short.unionByName(long), ["kind"])
+    made = staged(short.unionByName(long))
     levels, now = [made], made.where("kind = 'open'")
     most = now.agg(F.max("no")).first()[0] or 0
     while most > 0:
         most //= fan
         step = now.withColumn("above", F.expr(f"no DIV {fan}")).groupBy("row", "above").applyInArrow(reduce(len(levels)), _SCHEMA)
-        levels.append(staged(step, ["kind"]))
+        levels.append(staged(step))
         now = levels[-1].where("kind = 'open'")
 
     every = levels[0]
@@ -444,7 +457,7 @@ def align(
     totals = totals.withColumn("best", F.max("total").over(Window.partitionBy(F.col("pairs").bitwiseAND(F.lit((1 << 20) - 1)))) == F.col("total"))
     back = own.join(totals, "pairs").select("slice", "k", "total", "best")
     carried = ["row", "doc_id", "place", "n_a", "n_b", "n_groups", "groups", "sha"]
-    placed = links.where("fits").select(F.col("slice").alias("of"), *(F.col(x).alias(x) for x in carried), "links")
+    placed = links.where("fits").select(F.col("slice").alias("of"), *(F.col(x).alias(x) for x in carried), "n_links", "links")
     answer = "row long, doc_id long, place long, n_a long, n_b long, n_groups long, groups string, sha string, n_links long, n_best long, count_sum long"
 
     def count(mine: pa.Table, totals: pa.Table) -> pa.Table:
@@ -454,8 +467,8 @@ def align(
         # A slice of a text that does not fit has no totals; its rows are left out below.
         total[where], best[where] = totals["total"].to_numpy(), totals["best"].to_numpy(zero_copy_only=False)
         sums = []
-        for links in mine["links"].to_pylist():
-            at = np.frombuffer(links, "<i4")
+        for n, links in zip(mine["n_links"].to_pylist(), mine["links"].to_pylist(), strict=True):
+            at = _read(links, n)
             sums.append((len(at), best[at].sum(), total[at].sum()) if len(where) else (0, 0, 0))
         sums = np.array(sums, np.int64).reshape(-1, 3)
         out = mine.select(carried)
