@@ -282,6 +282,30 @@ def test_near_duplicates_match_brute_force(spark, copies, large):
     assert all(r.class_docs == (sizes[r.class_node] if r.node else 1) for r in found)
 
 
+@pytest.mark.parametrize("seed", [29, 53, 54])
+def test_texts_settled_by_different_leaders_meet(spark, seed):
+    """A and B are alike, L like A only and thirty copies like B only; every one of them may lead first."""
+    words = [f"w{k}" for k in range(130)]
+    texts = {"l": " ".join(words[:100]), "a": " ".join(words[10:110]), "b": " ".join(words[20:120])}
+    texts |= {f"c{i:02}": " ".join([*words[30:125], f"own{i}", f"more{i}", "x", "y", f"z{i}"]) for i in range(30)}
+    runs = {i: five(x) for i, x in texts.items()}
+    parent = {i: i for i in texts}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(texts, 2):
+        if len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b]):
+            parent[max(top(a), top(b))] = min(top(a), top(b))
+    assert len({top(i) for i in texts}) == 1
+    members = spark.createDataFrame([(0, 7, i) for i in texts], "band int, key long, node string")
+    frame = spark.createDataFrame(list(texts.items()), "node string, text string")
+    got = {r.node: r["class"] for r in near_dup.connected(members, frame, np.ones(64, np.float32), 0.8, seed, 8).collect()}
+    assert {i: got.get(i, i) for i in texts} == {i: "a" for i in texts}
+
+
 def test_large_bucket_of_unlike_leaders(spark):
     """Chains of texts, each like its neighbours only, all in one bucket."""
     rng = random.Random(12)
@@ -305,8 +329,7 @@ def test_large_bucket_of_unlike_leaders(spark):
             parent[max(top(a), top(b))] = min(top(a), top(b))
     members = spark.createDataFrame([(0, 7, i) for i in texts], "band int, key long, node string")
     frame = spark.createDataFrame(list(texts.items()), "node string, text string")
-    links = near_dup.links_of(members, frame, np.ones(64, np.float32), 0.8, 29, 8)
-    got = {r.node: r["class"] for r in near_dup.components(links).collect()}
+    got = {r.node: r["class"] for r in near_dup.connected(members, frame, np.ones(64, np.float32), 0.8, 29, 8).collect()}
     assert {i: got.get(i, i) for i in texts} == {i: top(i) for i in texts} and len(set(got.values())) < 40
 
 

@@ -9,13 +9,16 @@ less than a rare one, but a large group of copies does not lose its likeness by
 Each of `bands * rows` samples draws one (run, level) of a text such that two texts draw the same
 with a chance equal to their weighted Jaccard similarity.  Texts that agree on all samples of a
 band share a bucket.  A bucket's leader, a text drawn at random, is compared with all its other
-texts; those unlike it choose new leaders among themselves, which are compared with all of the
-bucket again, until none is left.  So a bucket costs its size for each different kind of text in
-it, not its square, and other bands draw other leaders.  After the first round, texts that cannot
-be like any other by what they hold alone are not compared.  Texts of a bucket that never led and are
-still in different components meet at the end, but for pairs out of reach by what other components
-hold, so that no two texts of a bucket that are alike stay apart.  A pair is linked if its exact weighted
-or plain Jaccard similarity is `least` or more.  Classes are connected components, found by rounds of joins.
+texts; those in no component with it choose new leaders among themselves, which are compared with
+all of the bucket outside their components, until none is left.  So a bucket costs its size for each
+different kind of text in it, not its square, and other bands draw other leaders.  Components are
+kept from round to round, and only one edge for each two of them is handed on.  After the first
+round, texts that cannot be like any other by what they hold alone are not compared.  In buckets
+that had more texts open after the first round than lead in the second, texts that never led and
+are in different components meet at the end, but for pairs out of reach by what other components
+hold, so that no two texts of a bucket that are alike stay apart.  A pair is linked if its exact
+weighted or plain Jaccard similarity is `least` or more.  Classes are connected components, found by
+rounds of joins.
 
 Texts with the same words are one node from the start, so copies never meet each other.
 
@@ -295,21 +298,36 @@ def across(rest: DataFrame, texts: DataFrame, idf: np.ndarray, least: float, blo
     return met.select(F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b")).distinct()
 
 
-def links_of(members: DataFrame, texts: DataFrame, idf: np.ndarray, least: float, seed: int, large: int) -> DataFrame:
-    """Verified links of the texts of buckets, enough to connect all that are alike in one bucket.
-
-    One text leads a bucket in the first round; of those still unlike all leaders, sixteen times as
-    many as before lead in each further round.  Every leader meets the whole bucket, but for texts
-    that cannot be like it: what two texts share is at most what each shares with any text of the
-    large buckets (more than `large` texts) still open, so a text with many runs of its own is out
-    of reach, and is never compared.  No link is lost by that.
-
-    Leaders have met their whole bucket.  Of two others, settled by different leaders, those of
-    different components are compared at the end.  This concerns only buckets with texts open after
-    the second round: in all others, whoever did not lead is like the first leader."""
-    open_, tested, found, leading, turn = members, None, None, 1, 0
-    late, led_by = None, None
-    bounded = members.select("band", "key", "node", *[F.lit(None).cast("double").alias(c) for c in ("n", "w", "s", "sw")])
+def joined(known: DataFrame | None, pairs: DataFrame) -> DataFrame:
+    """(node, class) after more alike pairs: the components of what `known` has and `pairs` adds.
+
+    Pairs become edges between the components so far, each once, so that a group whose texts are
+    alike in very many pairs hands on no more edges than it had components."""
+    if known is None:
+        return components(pairs)
+    for side in ("a", "b"):
+        of = known.select(F.col("node").alias(side), F.col("class").alias(f"of_{side}"))
+        pairs = pairs.join(of, side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+    moved = components(pairs.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    to = moved.select(F.col("node").alias("class"), F.col("class").alias("to"))
+    kept = known.join(to, "class", "left").select("node", F.coalesce("to", "class").alias("class"))
+    return staged(kept.unionByName(moved))
+
+
+def connected(members: DataFrame, texts: DataFrame, idf: np.ndarray, least: float, seed: int, large: int) -> DataFrame:
+    """(node, class) of the nodes that are not alone: the components of all pairs that are alike in a bucket.
+
+    One text leads a bucket in the first round; of those not in a component with a leader, sixteen
+    times as many as before lead in each further round.  A leader meets every text of its bucket that is
+    not in its component, but for texts that cannot be like it: what two texts share is at most what
+    each shares with any text of the large buckets (more than `large` texts) still open, so a text
+    with many runs of its own is out of reach, and is never compared.  No link is lost by that.
+
+    A bucket is done when each of its texts has led or is in the component of one that led first,
+    or, where more texts are open after the first round than lead in the second, when in the end
+    those that never led have been compared across components."""
+    known, tested, late, led_by, bounds = None, None, None, None, None
+    open_, leading, turn = members, 1, 0
     while True:
         lot = F.xxhash64("node", "band", F.lit(seed + turn))
         if leading == 1:
@@ -318,50 +336,56 @@ def links_of(members: DataFrame, texts: DataFrame, idf: np.ndarray, least: float
             nth = F.row_number().over(Window.partitionBy("band", "key").orderBy(lot, "node"))
             leaders = open_.withColumn("nth", nth).where(F.col("nth") <= leading).select("band", "key", F.col("node").alias("leader"))
         leaders = staged(leaders)
-        ahead = bounded.select("band", "key", F.col("node").alias("leader"), *[F.col(c).alias(f"l_{c}") for c in ("n", "w", "s", "sw")])
+        led_by = leaders if led_by is None else led_by.unionByName(leaders)
+        # All texts of the buckets that have leaders, with their components and bounds.
+        live = members if known is None else members.join(leaders.select("band", "key").distinct(), ["band", "key"], "left_semi")
+        live = classed(live, known)
+        if bounds is not None:
+            live = live.join(bounds, ["band", "key", "node"], "left")
+        else:
+            live = live.select("*", *[F.lit(None).cast("double").alias(c) for c in ("n", "w", "s", "sw")])
+        live = staged(live)
+        ahead = live.select("band", "key", F.col("node").alias("leader"), F.col("class").alias("l_class"), *[F.col(c).alias(f"l_{c}") for c in ("n", "w", "s", "sw")])
         ahead = leaders.join(ahead, ["band", "key", "leader"])
 
-        def reach(both: str, own: str, ahead: DataFrame = ahead, bounded: DataFrame = bounded):
-            shared, total = F.least(bounded[both], ahead[f"l_{both}"]), bounded[own] + ahead[f"l_{own}"]
-            return shared * (1 + least) >= least * total - 1e-6
+        def reach(both: str, own: str):
+            return F.least(both, f"l_{both}") * (1 + least) >= least * (F.col(own) + F.col(f"l_{own}")) - 1e-6
 
-        unknown = bounded["n"].isNull() | ahead["l_n"].isNull()
-        same = (bounded["band"] == ahead["band"]) & (bounded["key"] == ahead["key"]) & (bounded["node"] != ahead["leader"])
-        led = bounded.join(ahead, same & (unknown | reach("s", "n") | reach("sw", "w")))
-        led = led.select(bounded["band"], bounded["key"], "node", "leader", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        led = staged(led)
-        pairs = led.select("a", "b").distinct()
+        unknown = F.col("n").isNull() | F.col("l_n").isNull()
+        led = live.join(ahead, ["band", "key"]).where((F.col("class") != F.col("l_class")) & (unknown | reach("s", "n") | reach("sw", "w")))
+        pairs = led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            fresh = staged(verified(pairs, texts, idf, least))
-            found = fresh if found is None else found.unionByName(fresh)
-            tested = pairs if tested is None else tested.unionByName(pairs)
-        settled = leaders.select("band", "key", F.col("leader").alias("node"))
-        led_by = settled if led_by is None else led_by.unionByName(settled)
-        if found is not None:
-            like = led.join(found, ["a", "b"], "left_semi").select("band", "key", "node")
-            settled = settled.unionByName(like)
-        # Still open are those unlike every leader so far of their bucket.
-        open_ = staged(open_.join(settled.distinct(), ["band", "key", "node"], "left_anti"))
-        if open_.isEmpty():
-            break
-        if leading == 16:
-            late = staged(open_.select("band", "key").distinct())
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        fresh = staged(verified(pairs, texts, idf, least))
+        if known is None or not fresh.isEmpty():
+            known = joined(known, fresh)
+        # Settled are those in the component of a leader of their bucket; still open are the others.
+        led_classes = classed(led_by.withColumnRenamed("leader", "node"), known).select("band", "key", "class").distinct()
+        open_ = staged(classed(open_.select("band", "key", "node"), known).join(led_classes, ["band", "key", "class"], "left_anti"))
         if leading == 1:
-            live = members.join(open_.select("band", "key").distinct(), ["band", "key"], "left_semi")
-            wide = live.groupBy("band", "key").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > large)
-            known = shared_at_most(live.join(wide.select("band", "key"), ["band", "key"], "left_semi"), texts, idf)
+            waiting = staged(open_.groupBy("band", "key").agg(F.count(F.lit(1)).alias("many")))
+            late = waiting.where(F.col("many") > 16).select("band", "key")
+            wide = members.join(waiting, ["band", "key"], "left_semi")
+            big = wide.groupBy("band", "key").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > large).select("band", "key")
             # A bound holds among the nodes of large buckets only.
-            marked = live.join(wide, ["band", "key"], "left").join(known, "node", "left")
-            bounded = staged(marked.select("band", "key", "node", *[F.when(F.col("many").isNotNull(), F.col(c).cast("double")).alias(c) for c in ("n", "w", "s", "sw")]))
+            wide = wide.join(big, ["band", "key"], "left_semi")
+            bounds = staged(wide.join(shared_at_most(wide, texts, idf), "node").select("band", "key", "node", *[F.col(c).cast("double").alias(c) for c in ("n", "w", "s", "sw")]))
+        if open_.isEmpty():
+            break
         leading, turn = 16 * leading, turn + 1
-    if found is None or late is None:
-        return found if found is not None else pairs
-    rest = members.join(late, ["band", "key"], "left_semi").join(led_by, ["band", "key", "node"], "left_anti")
-    # The least node of a component names it, and has no row of its own.
-    rest = staged(rest.join(components(found), "node", "left").withColumn("class", F.coalesce("class", "node")))
+    rest = members.join(late, ["band", "key"], "left_semi").join(led_by.withColumnRenamed("leader", "node"), ["band", "key", "node"], "left_anti")
+    rest = staged(classed(rest, known))
+    if rest.isEmpty():
+        return known
     pairs = staged(across(rest, texts, idf, least).join(tested, ["a", "b"], "left_anti"))
-    return found.unionByName(staged(verified(pairs, texts, idf, least)))
+    return joined(known, staged(verified(pairs, texts, idf, least)))
+
+
+def classed(nodes: DataFrame, known: DataFrame | None) -> DataFrame:
+    """With the class of each node: that of its component, or itself if it has no row there."""
+    if known is None:
+        return nodes.withColumn("class", F.col("node"))
+    return nodes.join(known, "node", "left").withColumn("class", F.coalesce("class", "node"))
 
 
 def row_keys(id_col: str, text_col: str) -> list:
@@ -397,7 +421,7 @@ def classes(
     # A text of each node that shares a bucket; a row that is there twice gives it once.
     asked = members.select("node").distinct().join(named, "node").select("node", "_k1", "_k2")
     texts = staged(given.select("text", "_k1", "_k2").join(asked, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select("node", "text"))
-    parts = components(links_of(members, texts, idf, least, seed, large))
+    parts = connected(members, texts, idf, least, seed, large)
     of_node = named.join(parts, "node", "left").withColumn("class_node", F.coalesce("class", "node"))
     per_class = of_node.groupBy("class_node").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_docs"))
     per_node = of_node.select("node", "class_node").join(per_class, "class_node")
