@@ -14,14 +14,16 @@ table nothing is learned and no row returned; repeated rows are rated alike.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import sampled, staged
+from tidebook.llm.common import sampled
 from tidebook.llm.textbytes import LOWER, distinct, flat, mixed, powers, slices, word_hashes, words
 
 LABELLERS = ("capitals", "marks", "lone_marks", "ending_marks", "repeats", "variety", "word_length", "sentences")
@@ -136,15 +138,13 @@ def accuracies(counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.nd
     return out, chance, share
 
 
-def train(doc: np.ndarray, buckets: np.ndarray, n: np.ndarray, label: np.ndarray, rounds: int = 150) -> np.ndarray:
-    """Weights per bucket and, last, the intercept: logistic regression on the share of a text's
-    tokens in each bucket, by Adam over all of the sample; both classes weigh alike."""
-    found, whose, times = distinct(buckets.astype(np.uint64), doc)
-    found, value = found.astype(np.int64), times / np.maximum(n[whose], 1)
+def train(found: np.ndarray, whose: np.ndarray, value: np.ndarray, label: np.ndarray, rounds: int = 150) -> np.ndarray:
+    """Weights per bucket and, last, the intercept: logistic regression on the share `value` of
+    text `whose` in bucket `found`, by Adam over all of the sample; both classes weigh alike."""
     weight = np.where(label > 0.5, 0.5 / max(label.sum(), 1e-9), 0.5 / max((1 - label).sum(), 1e-9))
     w, m, v = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for step in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-(np.bincount(whose, value * w[found], len(n)) + w[-1])))
+        p = 1 / (1 + np.exp(-(np.bincount(whose, value * w[found], len(label)) + w[-1])))
         d = weight * (p - label)
         g = np.append(np.bincount(found, value * d[whose], BUCKETS), d.sum()) + 1e-6 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -152,60 +152,85 @@ def train(doc: np.ndarray, buckets: np.ndarray, n: np.ndarray, label: np.ndarray
     return w
 
 
-def rate(
-    docs: DataFrame, train_docs: int = 4000, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(doc_id, digest, weak, score, keep): the weak label's posterior, the scorer's, the decision.
+@dataclass
+class Fitted:
+    """What is learned from documents: the posterior of good per vote pattern, the scorer's weights."""
+
+    posterior: np.ndarray
+    weights: np.ndarray
+
+    def judge(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Weak label's posterior and score of every text."""
+        data, at = flat(text)
+        weak, scores = [np.zeros(0)], [np.zeros(0)]
+        for low, high in slices(at, 2_000_000):
+            votes, n, (doc, word, shape) = look(data[at[low] : at[high]], at[low : high + 1] - at[low])
+            total = np.bincount(doc, self.weights[word] + self.weights[shape], high - low) / np.maximum(n, 1) + self.weights[-1]
+            weak.append(self.posterior[pattern_of(votes)])
+            scores.append(np.where(n > 0, 1 / (1 + np.exp(-np.clip(total, -50, 50))), 0.0))
+        return np.concatenate(weak), np.concatenate(scores)
+
 
-    digest is a hash of the text; with doc_id it names a row of `docs`."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def fit(docs: DataFrame, train_docs: int, id_col: str, text_col: str) -> Fitted | None:
+    """Votes of all documents, and the scorer from a sample of theirs; None without documents."""
 
     def ballot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[int] = Counter()
         for batch in batches:
             data, at = flat(batch.column("text"))
-            found = [pattern_of(look(data[at[low] : at[high]], at[low : high + 1] - at[low])[0]) for low, high in slices(at, 2_000_000)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["doc_id", "digest", "pattern"])
+            for low, high in slices(at, 2_000_000):
+                counts.update(pattern_of(look(data[at[low] : at[high]], at[low : high + 1] - at[low])[0]).tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["pattern", "n"])
 
-    voted = staged(rows.mapInArrow(ballot, f"doc_id {kind}, digest long, pattern long"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     counts = np.zeros(3 ** len(LABELLERS), np.int64)
-    for r in voted.groupBy("pattern").count().collect():
-        counts[r["pattern"]] = r["count"]
+    for r in texts.select("text").mapInArrow(ballot, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect():
+        counts[r["pattern"]] = r["n"]
     if not counts.sum():
-        empty = rows.where("false").select("doc_id", "digest", F.lit(0.0).alias("weak"), F.lit(0.0).alias("score"), F.lit(False).alias("keep"))
-        return empty
+        return None
     posterior = accuracies(counts)[0]
-    texts = rows.where("text IS NOT NULL")
-    sample = sampled(texts, F.xxhash64("doc_id", "text"), train_docs, int(counts.sum())).select("text").toArrow()
+    sample = sampled(texts.where("text IS NOT NULL"), F.xxhash64("doc_id", "text"), train_docs, int(counts.sum())).select("text").toArrow()
     weights = np.zeros(BUCKETS + 1)
     if len(sample):
+        # Features of a slice at a time, so that the driver holds no more than their counts.
         data, at = flat(sample["text"])
-        parts = [(low, *look(data[at[low] : at[high]], at[low : high + 1] - at[low])) for low, high in slices(at, 2_000_000)]
-        label = posterior[np.concatenate([pattern_of(v) for _, v, _, _ in parts])]
-        n = np.concatenate([x for _, _, x, _ in parts])
-        doc = np.concatenate([low + t[0] for low, _, _, t in parts])
-        buckets = np.concatenate([*(t[1] for *_, t in parts), *(t[2] for *_, t in parts)])
-        weights = train(np.concatenate([doc, doc]), buckets, n, label)
+        parts = []
+        for low, high in slices(at, 1_000_000):
+            votes, n, (doc, word, shape) = look(data[at[low] : at[high]], at[low : high + 1] - at[low])
+            found, whose, times = distinct(np.append(word, shape).astype(np.uint64), np.append(doc, doc))
+            value = (times / np.maximum(n[whose], 1)).astype(np.float32)
+            parts.append((found.astype(np.int32), (low + whose).astype(np.int32), value, posterior[pattern_of(votes)]))
+        weights = train(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    return Fitted(posterior, weights)
+
+
+def rate(
+    docs: DataFrame, train_docs: int = 4000, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, weak, score, keep): the weak label's posterior, the scorer's, the decision."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    fitted = fit(docs, train_docs, id_col, text_col)
+    if fitted is None:
+        return rows.where("false").select("doc_id", F.lit(0.0).alias("weak"), F.lit(0.0).alias("score"), F.lit(False).alias("keep"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = flat(batch.column("text"))
-            for low, high in slices(at, 2_000_000):
-                votes, n, (doc, word, shape) = look(data[at[low] : at[high]], at[low : high + 1] - at[low])
-                total = np.bincount(doc, weights[word] + weights[shape], high - low) / np.maximum(n, 1) + weights[-1]
-                score = np.where(n > 0, 1 / (1 + np.exp(-np.clip(total, -50, 50))), 0.0)
-                part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("digest"), pa.array(posterior[pattern_of(votes)]), pa.array(score), pa.array(score >= threshold)],
-                    names=["doc_id", "digest", "weak", "score", "keep"],
-                )
-
-    return rows.mapInArrow(judge, f"doc_id {kind}, digest long, weak double, score double, keep boolean")
-
-
-def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents that the classifier keeps, with all their columns."""
-    rated = rate(docs, id_col=id_col, text_col=text_col, **how).where("keep")
-    rated = rated.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    same = docs[id_col].eqNullSafe(rated["_id"]) & (F.xxhash64(docs[text_col]) == rated["_digest"])
-    return docs.join(rated, same, "left_semi")
+            weak, score = fitted.judge(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(weak), pa.array(score), pa.array(score >= threshold)], names=["doc_id", "weak", "score", "keep"])
+
+    return rows.mapInArrow(judge, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, weak double, score double, keep boolean")
+
+
+def kept_documents(
+    docs: DataFrame, train_docs: int = 4000, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The documents that the classifier keeps, with all their columns, in one pass."""
+    fitted = fit(docs, train_docs, id_col, text_col)
+    if fitted is None:
+        return docs
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(fitted.judge(batch.column(text_col))[1] >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
