@@ -4,6 +4,7 @@ started anew and goes on from its checkpoint."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from tidebook.functions.frames import staged
 from tidebook.plans import catalogue as Q
 from tidebook.plans.catalogue import query
 from tidebook.sources import tables as T
-from tidebook.streaming import outcome_state, run_state
+from tidebook.sources import sinks
+from tidebook.streaming import compaction, outcome_state, run_state
 from tidebook.streaming import trades as stream
 
 CUTS = ("1996-09-15", "1998-06-01", "2000-02-15")
@@ -137,3 +139,72 @@ def stream_redelivery(spark, root):
     _delivered(twice, cut_of("ts", CUTS, "TIMESTAMP"), home, lambda arriving: _to_files(stream.drop_repeats(arriving, TRADE_KEY), home), late.unionByName(again))
     held = spark.read.parquet(f"{home}/table")
     return held.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("deliveries"), F.sum("l_quantity").alias("quantity"))
+
+
+def _deliver(spark: SparkSession, rows: DataFrame, home: str, name: str, version: int) -> None:
+    """``rows`` as one file of that name among the arriving ones."""
+    rows.repartition(1).write.parquet(f"{home}/made/{name}.v{version}")
+    (file,) = spark.read.parquet(f"{home}/made/{name}.v{version}").inputFiles()
+    files, source = sinks._file_system(spark, file)
+    target = sinks._file_system(spark, f"{home}/in/{name}.v{version}.parquet")[1]
+    files.mkdirs(target.getParent())
+    files.rename(source, target)
+
+
+def _compacting(spark: SparkSession, root: str, name: str) -> str:
+    """Eight deliveries, folded after five and again at the end; the third was wrong at first and comes
+    again after it was folded, as does the last before it is."""
+    home, lineitem = Q._home(spark, name), T.table(spark, root, "lineitem")
+    slice_of = F.pmod(F.xxhash64("l_orderkey"), F.lit(8))
+    wrong = lineitem.withColumns({"l_quantity": F.col("l_quantity") * 2, "l_suppkey": F.lit(1).cast("long"), "l_shipdate": F.expr("l_shipdate - INTERVAL 200 DAYS")})
+
+    def ingest() -> None:
+        raw = stream.trade_stream(spark, f"{home}/in", lineitem.schema)
+        stream.ingest_trade_days(
+            raw, compaction.deliveries_path(f"{home}/table"), f"{home}/checkpoint", prepare=lambda batch: T.trades(spark, root, batch),
+            delivery=lambda file: F.regexp_extract(file, r"^([^.]+)", 1),
+        ).awaitTermination()
+
+    for k in range(5):
+        _deliver(spark, (wrong if k == 2 else lineitem).where(slice_of == k), home, f"d{k}", 1)
+    ingest()
+    compaction.compact(spark, f"{home}/table")
+    for k, rows, version in ((5, lineitem, 1), (6, lineitem, 1), (7, wrong, 1), (2, lineitem, 2)):
+        _deliver(spark, rows.where(slice_of == k), home, f"d{k}", version)
+    ingest()
+    _deliver(spark, lineitem.where(slice_of == 7), home, "d7", 2)
+    ingest()
+    return f"{home}/table"
+
+
+@query(Q.FLOW, "SELECT * FROM flow")
+def stream_compacted(spark, root):
+    """Folded deliveries, a late correction of one of them and deliveries since, read together."""
+    return compaction.compacted_flow(spark, _compacting(spark, root, "compacted"))
+
+
+@query(
+    Q.FLOW + " months:i",
+    """SELECT *, (SELECT count(DISTINCT year(trade_date) * 100 + month(trade_date)) FROM flow WHERE trade_date >= DATE '2001-06-30' - 45) AS months
+       FROM flow WHERE trade_date >= DATE '2001-06-30' - 45""",
+)
+def stream_dropped_months(spark, root):
+    """The same after the second compaction and with old months deleted; how many month folders are left."""
+    table = _compacting(spark, root, "dropped")
+    compaction.compact(spark, table, F.date_sub(F.lit(Q.AS_OF).cast("date"), 45))
+    assert not sinks.partitions(spark, compaction.deliveries_path(table))
+    left = len(sinks.partitions(spark, f"{table}/base"))
+    return compaction.compacted_flow(spark, table).withColumn("months", F.lit(left))
+
+
+@query(
+    "trade_month bars:i",
+    "SELECT strftime(date, '%Y-%m') AS trade_month, count(*) AS bars FROM bars WHERE strftime(date, '%Y-%m') >= strftime(DATE '2001-06-30' - 550, '%Y-%m') GROUP BY ALL",
+)
+def prices_retained(spark, root):
+    """Prices by month folder, months wholly older than 550 days deleted as folders."""
+    path = f"{Q._home(spark, 'price-months')}/table"
+    rows = T.bars(spark, root).withColumn("trade_month", F.date_format("date", "yyyy-MM"))
+    sinks.land_partitioned(rows.hint("rebalance", "trade_month"), path, "trade_month")
+    sinks.drop_partitions(spark, path, "trade_month", str(date.fromisoformat(Q.AS_OF) - timedelta(550))[:7])
+    return spark.read.parquet(path).groupBy("trade_month").agg(F.count(F.lit(1)).alias("bars"))

@@ -126,3 +126,37 @@ def audit_rows(accepted: DataFrame, requested: DataFrame, provider: str, dataset
 
 def append_audit(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def partitions(spark: SparkSession, path: str) -> list[dict[str, str]]:
+    """The first level of partition folders of a table, as column and value; names only, no data."""
+    files, where = _file_system(spark, path)
+    if not files.exists(where):
+        return []
+    unescape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    found = []
+    for status in files.listStatus(where):
+        column, sign, value = status.getPath().getName().partition("=")
+        if status.isDirectory() and sign:
+            found.append({column: unescape(value)})
+    return found
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder of a table; false where there is none."""
+    files, where = _file_system(spark, path)
+    return files.delete(where, True)
+
+
+def drop_partitions(spark: SparkSession, path: str, column: str, first: str) -> list[str]:
+    """Deletes the partitions whose value sorts before ``first`` (days as ISO text): retention of a
+    table by folders, without reading or rewriting a row. Returns the values dropped."""
+    old = sorted(p[column] for p in partitions(spark, path) if column in p and p[column] < first)
+    for value in old:
+        remove(spark, f"{path}/{column}={value}")
+    return old
