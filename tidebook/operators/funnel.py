@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, VariantType
 
 from tidebook.config import ScanConfig
 from tidebook.functions.frames import staged
@@ -30,23 +31,30 @@ DISPLAY_DIAGNOSTICS = (
 )
 
 
-def parse_diagnostics(df: DataFrame, schema: str) -> DataFrame:
-    """Diagnostics held as JSON text become a struct; bad text becomes an empty one."""
-    if dict(df.dtypes)["diagnostics"] != "string":
+def parse_diagnostics(df: DataFrame) -> DataFrame:
+    """Diagnostics held as JSON text become a variant, which keeps whatever fields the text has.
+
+    Null, empty or bad text and JSON that is not an object become an object without fields."""
+    if not isinstance(df.schema["diagnostics"].dataType, StringType):
         return df
-    return df.withColumn("diagnostics", F.from_json("diagnostics", schema, {"mode": "PERMISSIVE"}))
+    parsed = F.try_parse_json("diagnostics")
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.lit(False))
+    return df.withColumn("diagnostics", F.when(is_object, parsed).otherwise(F.parse_json(F.lit("{}"))))
 
 
-def _diag_field(df: DataFrame, name: str) -> Column | None:
-    fields = df.schema["diagnostics"].dataType.fieldNames() if "diagnostics" in df.columns else []
-    return F.col(f"diagnostics.{name}") if name in fields else None
+def _diag_field(df: DataFrame, name: str, kind: str = "double") -> Column | None:
+    """A field of struct or variant diagnostics; a variant's value that is not of the kind is null."""
+    held = df.schema["diagnostics"].dataType if "diagnostics" in df.columns else None
+    if isinstance(held, VariantType):
+        return F.try_variant_get("diagnostics", f"$.{name}", kind)
+    return F.col(f"diagnostics.{name}") if held is not None and name in held.fieldNames() else None
 
 
 def finalist_gate(df: DataFrame, config: ScanConfig, minimum_foreign_coverage_pct: float = 70.0) -> DataFrame:
     """Result rows that are healthy, covered and still on price evidence only."""
     # Risk 70, default staleness 999.
     coverage = [c for c in map(lambda n: _diag_field(df, n), ("foreign_evidence_coverage_pct", "official_foreign_coverage_pct")) if c is not None]
-    stale = _diag_field(df, "price_staleness_days")
+    stale = _diag_field(df, "price_staleness_days", "int")
     rows = df.withColumns(
         {
             "foreign_evidence_coverage_pct": F.coalesce(*coverage, F.lit(0.0)),
@@ -200,9 +208,10 @@ def merge_verified_finalists(base: DataFrame, verified: DataFrame) -> DataFrame:
 
 
 def recover_funnel_views(results: DataFrame, top_n: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Finalist and broker views rebuilt from stored diagnostics."""
-    names = ("guarded_rank", "guarded_score", "broker_verification_status")
-    rows = results.withColumns({n: F.col(f"diagnostics.{n}") for n in names})
+    """Finalist and broker views rebuilt from stored diagnostics: a struct, a variant or JSON text."""
+    results = parse_diagnostics(results)
+    kinds = {"guarded_rank": "int", "guarded_score": "double", "broker_verification_status": "string"}
+    rows = results.withColumns({n: _diag_field(results, n, kind) for n, kind in kinds.items()})
     guarded = rows.where(F.col("guarded_rank").isNotNull()).orderBy("guarded_rank", "ticker").limit(top_n)
     order = [
         pick(F.col("broker_verification_status"), STATUS_ORDER, 9),

@@ -1264,4 +1264,4 @@ def stream_retention(spark, root):
     return stream.retained(spark, f"{home}/table", AS_OF, 45)
 
 
-from tidebook.plans import stream_queries  # noqa: E402, F401  registers the queries over streams
+from tidebook.plans import store_queries, stream_queries  # noqa: E402, F401  they register their queries

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,18 +63,52 @@ def upsert(df: DataFrame, path: str, keys: Sequence[str], partition: str, order:
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
-def write_results(df: DataFrame, path: str, run_id: str) -> int:
-    """Writes one run's rows and reads the partition back; a differing count fails the run."""
+def write_results(df: DataFrame, path: str, run_id: str, write: Callable[[DataFrame], None] | None = None) -> int:
+    """Writes one run's rows and reads the partition back; a differing count fails the run.
+
+    What is to be written is counted while it is written, so the rows are made once. ``write`` takes
+    the place of the Parquet writer where the rows go through something else."""
     spark = df.sparkSession
-    rows = staged(df.withColumn("run_id", F.lit(run_id)), "results")
-    expected = rows.count()
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
-    written = spark.read.parquet(path).where(F.col("run_id") == run_id).count()
+    counts, asked = Observation(), [F.count(F.lit(1)).alias("rows")]
+    rows = df.withColumn("run_id", F.lit(run_id)).observe(counts, *asked)
+    if write is not None:
+        write(rows)
+    else:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    expected = _observed(counts, df, asked)["rows"]
+    held = held_table(spark, path)
+    written = 0 if held is None else held.where(F.col("run_id") == run_id).count()
     if written != expected:
         raise WriteMismatch(f"run {run_id}: expected {expected} rows, found {written}")
     return written
 
 
+def _observed(counts: Observation, rows: DataFrame, asked: Sequence[Column]) -> dict[str, int]:
+    """What was counted while writing; counted anew where the optimizer saw that there can be no
+    rows to write, and left the counting out."""
+    try:
+        return counts.get
+    except Py4JJavaError:
+        return rows.agg(*asked).first().asDict()
+
+
+def land_accepted(
+    rows: DataFrame, accept: Column, path: str, audit_path: str, provider: str, dataset: str, min_rows: int = 80
+) -> dict[str, int]:
+    """Writes the rows that are accepted and appends one audit row; received, accepted and rejected
+    are counted in the same pass. A condition that is null rejects."""
+    counts, good = Observation(), F.coalesce(accept, F.lit(False))
+    asked = [F.count(F.lit(1)).alias("received"), F.count_if(good).alias("accepted")]
+    rows.observe(counts, *asked).where(good).write.mode("append").parquet(path)
+    found = _observed(counts, rows, asked)
+    found["rejected"] = found["received"] - found["accepted"]
+    status = "COMPLETED" if found["accepted"] >= min_rows else "INSUFFICIENT"
+    row = (provider, dataset, status, found["received"], found["accepted"], found["rejected"])
+    schema = "provider string, dataset string, status string, rows_received long, rows_accepted long, rows_rejected long"
+    append_audit(rows.sparkSession.createDataFrame([row], schema), audit_path)
+    return found
+
+
 def _finite(x: Column, kind: T.DataType) -> Column:
     """x with null in place of every NaN and infinity, at any depth."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
