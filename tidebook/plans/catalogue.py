@@ -886,15 +886,15 @@ def _telemetry_results(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-@query(
-    "run_id foreign_evidence_tickers:i foreign_evidence_days:i official:i vendor:i",
-    """SELECT s.run_id, count(DISTINCT CASE WHEN s.ticker NOT LIKE '%2%' THEN s.ticker END) AS foreign_evidence_tickers, max(d.days) AS foreign_evidence_days,
+TELEMETRY_SQL = """SELECT s.run_id, count(DISTINCT CASE WHEN s.ticker NOT LIKE '%2%' THEN s.ticker END) AS foreign_evidence_tickers, max(d.days) AS foreign_evidence_days,
        CASE WHEN CAST(substr(s.run_id, 2) AS INT) % 2 = 0 THEN nullif(count(DISTINCT CASE WHEN s.ticker NOT LIKE '%2%' THEN s.ticker END), 0) END AS official,
        CASE WHEN CAST(substr(s.run_id, 2) AS INT) % 2 = 1 THEN nullif(count(DISTINCT CASE WHEN s.ticker NOT LIKE '%2%' THEN s.ticker END), 0) END AS vendor
        FROM signals s LEFT JOIN (
          SELECT x.run_id, count(DISTINCT f.trade_date) AS days FROM signals x JOIN (SELECT run_id, max(as_of_date) AS as_of FROM signals GROUP BY run_id) m ON m.run_id = x.run_id
-         JOIN foreign_flows f ON f.ticker = x.ticker AND f.trade_date BETWEEN m.as_of - 45 AND m.as_of GROUP BY x.run_id) d ON d.run_id = s.run_id GROUP BY s.run_id""",
-)
+         JOIN foreign_flows f ON f.ticker = x.ticker AND f.trade_date BETWEEN m.as_of - 45 AND m.as_of GROUP BY x.run_id) d ON d.run_id = s.run_id GROUP BY s.run_id"""
+
+
+@query("run_id foreign_evidence_tickers:i foreign_evidence_days:i official:i vendor:i", TELEMETRY_SQL)
 def evidence_telemetry(spark, root):
     flows = T.foreign_flows(spark, root)
     out = runs.evidence_telemetry(

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebook import config as C
 from tidebook.operators import funnel
 from tidebook.plans import catalogue as Q
 from tidebook.plans.catalogue import query
-from tidebook.sources import sinks
+from tidebook.sources import sinks, sql_functions
 from tidebook.sources import tables as T
 
 
@@ -85,3 +86,33 @@ def funnel_views_stored(spark, root):
     bad = stored.select(F.concat(F.lit("BAD"), "ticker").alias("ticker"), "final_score", F.lit('{"guarded_rank": 0').alias("diagnostics"))
     stored.unionByName(bad).write.parquet(path)
     return funnel.recover_funnel_views(spark.read.parquet(path))[1]
+
+
+@query(
+    "ticker trade_date open:4 high:4 low:4 close:4 volume:4",
+    "SELECT ticker, date AS trade_date, open, high, low, close, volume FROM pos WHERE rn <= 120",
+)
+def sql_price_cache(spark, root):
+    sql_functions.register_prices(spark, T.daily_prices(spark, root))
+    return spark.sql("SELECT * FROM price_cache(NULL, 120)")
+
+
+@query(
+    "ticker trade_date place:i close:4",
+    "SELECT ticker, date AS trade_date, least(300, count(*) OVER (PARTITION BY ticker)) - rn AS place, close FROM pos WHERE rn <= 300 AND ticker IN (SELECT ticker FROM universe WHERE ticker LIKE '%1')",
+)
+def sql_price_cache_by_ticker(spark, root):
+    """Tickers asked for by untidy names."""
+    sql_functions.register_prices(spark, T.daily_prices(spark, root))
+    names = [r.ticker for r in T.universe(spark, root).where("ticker LIKE '%1'").collect()]
+    asked = ", ".join(f"' {n.lower()} '" for n in names)
+    return spark.sql(f"SELECT ticker, place, b.trade_date, b.close FROM price_cache_by_ticker(array({asked}), 300) LATERAL VIEW posexplode(payload) AS place, b")
+
+
+@query("run_id foreign_evidence_tickers:i foreign_evidence_days:i official:i vendor:i", Q.TELEMETRY_SQL)
+def sql_run_telemetry(spark, root):
+    flows = T.foreign_flows(spark, root)
+    vendor, official = (flows.where(F.col("source") == s) for s in (C.VENDOR_FOREIGN_FLOW, C.OFFICIAL_STOCK_SUMMARY))
+    sql_functions.register_telemetry(spark, Q._telemetry_results(spark, root), vendor, official)
+    sources = "foreign_evidence_sources"
+    return spark.sql(f"SELECT *, {sources}['{C.OFFICIAL_STOCK_SUMMARY}'] AS official, {sources}['{C.VENDOR_FOREIGN_FLOW}'] AS vendor FROM run_telemetry(NULL)")
