@@ -204,3 +204,25 @@ def test_sql_price_cache(spark, priced):
     assert [(r.ticker, r.trade_date) for r in sorted(got, key=lambda r: r.trade_date)] == [("A", day(88)), ("A", day(89))]
     assert {r.ticker: len(r.payload) for r in spark.sql("SELECT * FROM price_cache_by_ticker(NULL, 3)").collect()} == {"A": 3, "B": 3, "C": 3}
     assert spark.sql("SELECT * FROM price_cache(array('none'), 3)").count() == 0
+
+
+# --- rows without an order
+
+
+def test_rows_of_a_key_that_differ_need_an_order(spark):
+    from tidebook.functions.frames import last_by_key
+
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 9, 1), ("b", 2, 3), ("b", 2, 4)], "k string, v int, at int")
+    assert {(r.k, r.v) for r in last_by_key(rows, ["k"], "at", "rows").collect()} == {("a", 1), ("b", 2)}
+    assert [tuple(r) for r in last_by_key(rows.where("k = 'b'").drop("at"), ["k"], None, "rows").collect()] == [("b", 2)]
+    with pytest.raises(Exception, match='no order among them: {"k":"a"}'):
+        last_by_key(rows.drop("at"), ["k"], None, "rows").collect()
+
+
+def test_outcomes_of_a_day_that_is_there_twice(spark):
+    bars = [("A", day(i), 1.0, 1.0, 1.0, 10.0 + i, 1) for i in range(10)] + [("A", day(3), 1.0, 1.0, 1.0, 5.0, 2)]
+    frame = spark.createDataFrame(bars, "ticker string, date date, open double, high double, low double, close double, at int")
+    signals = spark.createDataFrame([("R", "A", day(3))], "run_id string, ticker string, as_of_date date")
+    assert outcomes.compute_signal_outcomes(signals, frame, "at").first().entry_close == 5.0
+    with pytest.raises(Exception, match="two bars of one ticker-day: A 2024-01-04"):
+        outcomes.compute_signal_outcomes(signals, frame).collect()

@@ -39,6 +39,23 @@ def _extreme_by_key(df, keys, order, extreme) -> DataFrame:
     return best.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
+def last_by_key(df: DataFrame, keys: Sequence[str], order: str | None, what: str) -> DataFrame:
+    """One row per key: of several the last by the column ``order``, which the result has no more.
+
+    Where no order is known, repeats of a row are one, and rows of a key that differ are an error:
+    which of them came last can't be told from their values."""
+    if order is not None:
+        return latest_by_key(df, keys, [F.col(order)]).drop(order)
+    rest = [c for c in df.columns if c not in keys]
+    print_ = F.xxhash64(*rest) if rest else F.lit(0)
+    packed = df.select(*keys, F.struct(*rest).alias("_row"), print_.alias("_print"))
+    best = packed.groupBy(*keys).agg(F.max("_row").alias("_row"), F.min("_print").alias("_low"), F.max("_print").alias("_high"))
+    text = F.concat(F.lit(f"{what}: rows that differ for one key, and no order among them: "), F.to_json(F.struct(*keys)))
+    row = F.when(F.col("_low") == F.col("_high"), F.col("_row")).otherwise(F.raise_error(text))
+    best = best.select(*keys, row.alias("_row"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+
 def one_row(df: DataFrame, *columns: str) -> Column:
     """A one-row frame as a struct column (uncorrelated scalar sub-query)."""
     names = columns or tuple(df.columns)

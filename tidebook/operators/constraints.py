@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.config import EXACT_DAY_STATE, EXACT_DAY_STATE_LIKE, VENDOR_EXACT_DAY
-from tidebook.functions.frames import latest_by_key
+from tidebook.functions.frames import last_by_key
 from tidebook.functions.scalars import number
 
 BROKER_ROW = (
@@ -121,6 +121,6 @@ def eligible_cache_rows(
 
 
 def sync_broker_cache(raw: DataFrame, as_of: date | str, source_url: str, column: str = "value", **rule) -> DataFrame:
-    """JSON cache rows to the rows an upsert stores, one per storage key."""
+    """JSON cache rows to the rows an upsert stores, one per storage key; two that differ are an error."""
     rows = eligible_cache_rows(normalize_cache_rows(raw, column), as_of, source_url, **rule)
-    return latest_by_key(rows, ["ticker", "trade_date", "broker_code", "market_type", "source"], [])
+    return last_by_key(rows, ["ticker", "trade_date", "broker_code", "market_type", "source"], None, "broker cache")

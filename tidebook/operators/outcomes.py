@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.functions.frames import latest_by_key, one_row
+from tidebook.functions.frames import last_by_key, one_row
 from tidebook.functions.scalars import finite_or_null
 from tidebook.operators.bars import dedupe_days, split_like_gap
 
@@ -30,15 +30,18 @@ OPEN_STATES = ("PENDING", "PARTIAL")
 
 
 def forward_bars(bars: DataFrame) -> DataFrame:
-    """Each bar with the closes 5, 20 and 60 bars on and the extremes of the 20 after it."""
+    """Each bar with the closes 5, 20 and 60 bars on and the extremes of the 20 after it.
+
+    A ticker-day that is there twice is an error: dedupe where the order of arrival is known."""
     oldest = Window.partitionBy("ticker").orderBy("date")
+    text = F.concat(F.lit("two bars of one ticker-day: "), "ticker", F.lit(" "), F.col("date").cast("string"))
     flagged = bars.withColumn(
         "gap", split_like_gap(F.lag("close").over(oldest), F.col("open"), F.col("close")).cast("int")
     )
     next20, next60 = oldest.rowsBetween(1, 20), oldest.rowsBetween(1, 60)
     return flagged.select(
         "ticker",
-        F.col("date").alias("as_of_date"),
+        F.when(F.lag("date").over(oldest) == F.col("date"), F.raise_error(text)).otherwise(F.col("date")).alias("as_of_date"),
         F.col("close").alias("entry"),
         *[F.lead("close", n).over(oldest).alias(f"close_{n}") for n in (5, 20, 60)],
         F.max("high").over(next20).alias("high_20"),
@@ -79,13 +82,15 @@ def evaluate(joined: DataFrame) -> DataFrame:
     ).drop("entry", "close_5", "close_20", "close_60", "high_20", "low_20", "has_gap", "last_date")
 
 
-def compute_signal_outcomes(signals: DataFrame, bars: DataFrame) -> DataFrame:
+def compute_signal_outcomes(signals: DataFrame, bars: DataFrame, arrival: str | None = None) -> DataFrame:
     """Outcome of every signal; one without a bar on its exact day stays PENDING.
 
-    ``bars`` holds one row per ticker and day (see ``_as_bars`` for stored prices); of a day that
-    is there twice the row with the largest prices counts.
+    Of several bars of a day the last by ``arrival`` counts; without it they are an error.
     """
-    bars = latest_by_key(bars.select("ticker", "date", "open", "high", "low", "close"), ["ticker", "date"], [])
+    columns = ("ticker", "date", "open", "high", "low", "close")
+    if arrival is not None:
+        bars = last_by_key(bars.select(*columns, F.col(arrival).alias("_arrival")), ["ticker", "date"], "_arrival", "bars")
+    bars = bars.select(*columns)
     keys = [c for c in signals.columns if c not in OUTCOME_COLUMNS]
     return evaluate(signals.select(*keys).join(forward_bars(bars), ["ticker", "as_of_date"], "left"))
 

@@ -15,7 +15,7 @@ from tidebook.config import (
     TRADE_DETAIL_PROVENANCE,
     TRADE_DETAIL_STATE,
 )
-from tidebook.functions.frames import average_rank_pct, latest_by_key, require_columns
+from tidebook.functions.frames import average_rank_pct, last_by_key, latest_by_key, require_columns
 from tidebook.functions.scalars import between, canonical_ticker, day, number, ratio, rint_to, sum0
 
 TRADE_REQUIRED = ("tradingdate", "asset", "participant_buy", "participant_sell", "volume", "value")
@@ -247,9 +247,9 @@ def participant_to_broker(flow: DataFrame, arrival: str | None = None, source_ur
         F.upper(F.trim(F.col(code))).alias("broker_code"),
         (F.col("market_type") if "market_type" in flow.columns else F.lit("RG")).alias("market_type"),
         *[F.coalesce(number(F.col(c)), F.lit(0.0)).alias(c) for c in values],
-        (F.col(arrival) if arrival else F.lit(0)).alias("_arrival"),
+        *([F.col(arrival).alias("_arrival")] if arrival else []),
     ).where(F.col("trade_date").isNotNull() & F.col("broker_code").isNotNull())
-    rows = latest_by_key(rows, ["ticker", "trade_date", "broker_code"], [F.col("_arrival")]).drop("_arrival")
+    rows = last_by_key(rows, ["ticker", "trade_date", "broker_code"], "_arrival" if arrival else None, "participant flow")
     return rows.withColumns(
         {
             "buy_avg": ratio(F.col("buy_value"), F.col("buy_volume")),
