@@ -173,7 +173,7 @@ def bar_profile(bars: DataFrame, split_lookback: int = 120) -> DataFrame:
 
 
 def bars_nested(prices: DataFrame, n: int = 320, tickers: DataFrame | None = None) -> DataFrame:
-    """Newest ``n`` deduped bars as one ordered array per ticker (``n`` within 1..600)."""
+    """Newest ``n`` deduped bars as one ordered array per ticker."""
     wanted = prices if tickers is None else prices.join(requested(tickers), "ticker", "left_semi")
     rows = last_n_bars(dedupe_days(wanted).withColumnRenamed("trade_date", "date"), n)
     bar = F.struct(F.col("date").alias("trade_date"), "open", "high", "low", "close", "volume")

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook import config as C
-from tidebook.operators import funnel
+from tidebook.functions.frames import one_row, staged
+from tidebook.operators import evidence, funnel, normalize
+from tidebook.operators.scan import in_result_order
 from tidebook.plans import catalogue as Q
 from tidebook.plans.catalogue import query
+from tidebook.plans.oracle_views import even
 from tidebook.sources import sinks, sql_functions
 from tidebook.sources import tables as T
 
@@ -116,3 +119,50 @@ def sql_run_telemetry(spark, root):
     sql_functions.register_telemetry(spark, Q._telemetry_results(spark, root), vendor, official)
     sources = "foreign_evidence_sources"
     return spark.sql(f"SELECT *, {sources}['{C.OFFICIAL_STOCK_SUMMARY}'] AS official, {sources}['{C.VENDOR_FOREIGN_FLOW}'] AS vendor FROM run_telemetry(NULL)")
+
+
+@query(
+    "ticker position:i real_money_state",
+    f"""SELECT ticker, row_number() OVER (ORDER BY real_money_state, final_score DESC, ticker) AS position, real_money_state
+        FROM (SELECT ticker, real_money_state, {even('score', 2)} AS final_score FROM scan_part)""",
+)
+def results_in_order(spark, root):
+    """Scan results as a caller lists them: what may be bought first, then by score."""
+    ordered = in_result_order(Q._scan(spark, root, "part"))
+    path = f"{Q._home(spark, 'ordered-results')}/table"
+    # One file holds the rows in their order; a scan has one row per ticker.
+    ordered.select("ticker", "real_money_state").coalesce(1).write.parquet(path)
+    return spark.read.parquet(path).withColumn("position", F.monotonically_increasing_id() + 1)
+
+
+@query(
+    "rows:i tickers:i days:i verified_tickers:i freshest",
+    """SELECT count(*) AS rows, count(DISTINCT ticker) AS tickers, count(DISTINCT trade_date) AS days, count(DISTINCT CASE WHEN source_verified THEN ticker END) AS verified_tickers,
+       strftime(max(trade_date), '%Y-%m-%d') AS freshest FROM broker""",
+)
+def cache_meta(spark, root):
+    """Statistics of the broker rows as the JSON file beside a cache, read back."""
+    path = f"{Q._home(spark, 'meta')}/json"
+    sinks.write_meta(evidence.data_stats(T.broker_flows(spark, root)), path)
+    return spark.read.schema("rows long, tickers long, days long, verified_tickers long, freshest string").json(path)
+
+
+@query(
+    "lacks error bars:i",
+    """SELECT unnest(['close', 'date', 'high', 'low', 'none', 'open', 'ticker', 'volume']) AS lacks,
+         unnest(['price frame lacks close, by any of their names', 'price frame lacks date, by any of their names', 'price frame lacks high, by any of their names',
+                 'price frame lacks low, by any of their names', NULL, 'price frame lacks open, by any of their names', 'price frame lacks ticker, by any of their names', NULL]) AS error,
+         count(*) AS bars FROM bars""",
+)
+def schema_errors(spark, root):
+    """A price frame without one of its columns: all but the volume are required, before anything runs."""
+    bars = staged(T.bars(spark, root).drop("traded_value"), "bars")
+    found, last = [], None
+    for name in sorted([*bars.columns, "none"]):
+        try:
+            last, error = normalize.normalize_price_frame(bars.drop(name)), None
+        except ValueError as said:
+            error = str(said)
+        found.append((name, error))
+    rows = spark.createDataFrame(found, "lacks string, error string")
+    return rows.withColumn("bars", one_row(last.agg(F.count(F.lit(1)).alias("bars")))["bars"])
