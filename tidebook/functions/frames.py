@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -103,7 +104,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     For a frame that several branches of a plan read. The copy lives in the
     folder the cluster names in ``spark.checkpoint.dir`` and so survives the
     loss of executors. Where that is unset, a session in one process takes a local
-    folder and a cluster session is refused.
+    folder and a cluster session is refused. The copy is removed when the driver's Python ends.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -114,4 +115,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root}/tidebook/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:
+        return  # the session has ended: its cluster clears the folder
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
