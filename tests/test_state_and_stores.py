@@ -111,6 +111,29 @@ def test_runs_go_stale_as_the_clock_passes(spark, tmp_path):
         run_state.watch_runs(updates, table, checkpoint, 10)
 
 
+def test_state_of_runs_is_a_table_of_open_ones(spark, tmp_path):
+    """No run is handled by itself, and none stays in the state when its time has passed."""
+    noon = dt.datetime(2024, 1, 20, 12)
+    source, table, checkpoint = (str(tmp_path / x) for x in ("in", "table", "checkpoint"))
+    runs = spark.range(20_000).select(
+        "id", F.when(F.col("id") % 4 == 0, "COMPLETED").otherwise("RUNNING").alias("status"), F.lit(0).alias("error_count"),
+        F.lit(noon).cast("timestamp_ntz").alias("started_at"), F.lit(None).cast("timestamp_ntz").alias("heartbeat_at"),
+    )
+    schema = "id long, status string, error_count int, started_at timestamp_ntz, heartbeat_at timestamp_ntz, at timestamp_ntz"
+    for minutes in (0, 60):
+        at = F.lit(noon + dt.timedelta(minutes=minutes)).cast("timestamp_ntz")
+        # An hour later one run comes that is new, and an update that is too late to revive its run.
+        rows = runs.withColumn("at", at) if not minutes else runs.limit(0).withColumn("at", at).unionByName(
+            spark.createDataFrame([(99_999, "RUNNING", 0, noon + dt.timedelta(minutes=60), None, noon + dt.timedelta(minutes=60)), (4, "RUNNING", 0, noon, None, noon)], schema)
+        )
+        rows.coalesce(1).write.mode("append").parquet(source)
+        updates = run_state.run_updates(spark.readStream.schema(schema).parquet(source), F.col("at"))
+        run_state.watch_runs(updates, table, checkpoint).awaitTermination()
+    assert run_state.stale_found(spark, table).count() == 15_000
+    open_ = spark.read.schema(run_state.KEPT).parquet(f"{checkpoint}/runs/batch=1").where("NOT due AND id IS NOT NULL")
+    assert [r.id for r in open_.collect()] == [99_999]
+
+
 # --- compaction
 
 

@@ -1,65 +1,23 @@
-"""Runs whose heartbeat stops, found as time passes: one event-time timer for each run.
+"""Runs whose heartbeat stops, found as time passes: one event-time limit for each open run.
 
-The batch reaper looks at every run row on a schedule. Here a run's state is its last heartbeat and
-status, and a timer stands where the heartbeat would be too old; each newer heartbeat moves it. Time
-is the watermark of the updates' arrival times, so a replay gives what the live stream gave.
+The batch reaper looks at every run row on a schedule. Here the state is a table of the runs that
+are open: each with its newest update, until the time at which its heartbeat would be too old. A
+batch merges what it brings into that table and takes out the runs whose time has passed, so it costs
+the open runs and its own rows, and no task handles a run by itself. Time is the watermark of the
+updates' arrival times, so a replay gives what the live stream gave.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from tidebook.functions.frames import latest_by_key
-from tidebook.streaming.state import state_store
-
-LAST = "seen long, status string, error_count int"
-REAPED = "id long, status string, error_count int, seen long, reaped_at long"
-
-
-class Heartbeats(StatefulProcessor):
-    """State of one run: its newest update. A run is reaped while RUNNING only; the timer of one that
-    ended clears its state, which outlives the end by the age so that late updates do not revive it."""
-
-    def __init__(self, age_minutes: int):
-        self.age_ms = age_minutes * 60_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", LAST)
+from tidebook.sources.sinks import remove
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if key[0] is None:  # a tick moves the watermark only
-            return
-        held = self.last.get()
-        newest = max([r for r in [tuple(held) if held else None] if r] + [(r.seen, r.status, r.error_count) for r in rows], key=_rank)
-        if held is not None and newest == tuple(held):
-            return
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.last.update(newest)
-        # Stale once more than the age has passed, in whole milliseconds.
-        self.handle.registerTimer(newest[0] // 1000 + self.age_ms + 1)
-        return
-        yield
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        seen, status, errors = self.last.get()
-        self.last.clear()
-        if status == "RUNNING":
-            at = timerValues.getCurrentWatermarkInMs() * 1000
-            yield Row(id=key[0], status="FAILED", error_count=max(errors or 0, 1), seen=seen, reaped_at=at)
-
-    def close(self) -> None:
-        pass
-
-
-def _rank(update: tuple) -> tuple:
-    """Newest first; of equally new ones the run's end counts."""
-    return update[0], update[1] != "RUNNING", update[1] or "", update[2] or 0
+#: A state row; one without id holds the watermark in ``at``.
+KEPT = "id long, status string, error_count int, seen long, at timestamp, due boolean"
 
 
 def run_updates(runs: DataFrame, at: Column) -> DataFrame:
@@ -76,12 +34,35 @@ def watch_runs(
         raise ValueError("max_age_minutes must lie within 15 and 120")
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("max_age_minutes", F.lit(max_age_minutes)).withColumn("batch", F.lit(batch_id))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table_path)
-
-    with state_store(updates.sparkSession):
-        found = updates.withWatermark("at", delay).groupBy("id").transformWithState(Heartbeats(max_age_minutes), REAPED, "Append", "EventTime")
-        return found.writeStream.outputMode("append").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        spark, mine = batch.sparkSession, f"{checkpoint}/runs/batch={batch_id}"
+        rows, passed = batch.select("id", "status", "error_count", "seen", "at"), None
+        if batch_id:
+            held = spark.read.schema(KEPT).parquet(f"{checkpoint}/runs/batch={batch_id - 1}").where("NOT due").drop("due")
+            passed = held.where("id IS NULL").agg(F.max(F.unix_millis("at"))).first()[0]
+            if passed is not None:  # what arrives behind the watermark is too late
+                rows = rows.where(F.col("at") > F.timestamp_millis(F.lit(passed)))
+            rows = held.where("id IS NOT NULL").unionByName(rows)
+        newest = batch.agg(F.max(F.unix_millis(F.col("at") - F.expr(f"INTERVAL {delay}")))).first()[0]
+        now = max((t for t in (passed, newest) if t is not None), default=None)
+        ended = F.coalesce("status", F.lit("")) != "RUNNING"  # of equally new updates the run's end counts
+        runs = latest_by_key(rows.where("id IS NOT NULL"), ["id"], [F.col("seen"), ended, F.col("status"), F.col("error_count")])
+        # Stale once more than the age has passed, in whole milliseconds. A run that ended stays as long,
+        # so that late updates do not revive it.
+        due = F.expr("seen div 1000") + max_age_minutes * 60_000 + 1 <= F.lit(now).cast("long")
+        clock = spark.range(1).select(
+            *(F.lit(None).cast(kind).alias(c) for c, kind in (("id", "long"), ("status", "string"), ("error_count", "int"), ("seen", "long"))),
+            F.timestamp_millis(F.lit(now).cast("long")).alias("at"), F.lit(False).alias("due"),
+        )
+        runs.withColumn("due", F.coalesce(due, F.lit(False))).unionByName(clock).write.mode("overwrite").parquet(mine)
+        found = spark.read.schema(KEPT).parquet(mine).where("due AND status = 'RUNNING'").select(
+            "id", F.lit("FAILED").alias("status"), F.greatest(F.coalesce("error_count", F.lit(0)), F.lit(1)).alias("error_count"), "seen",
+            (F.lit(now).cast("long") * 1000).alias("reaped_at"), F.lit(max_age_minutes).alias("max_age_minutes"), F.lit(batch_id).alias("batch"),
+        )
+        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table_path)
+        if batch_id > 1:  # the batch before may be needed again, if this one is
+            remove(spark, f"{checkpoint}/runs/batch={batch_id - 2}")
+
+    return updates.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stale_found(spark: SparkSession, table_path: str) -> DataFrame:
