@@ -67,6 +67,25 @@ def test_stream_equals_batch_with_a_repeated_day(spark, tmp_path):
     assert [r[0] for r in kept] == [dt.date(2026, 8, 13)]
 
 
+def test_a_large_delivery_is_not_one_tasks(spark, tmp_path):
+    """A file of many months is written by months, each by a task of its own."""
+    days = spark.range(400).select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("trade_date"))
+    rows = days.select(
+        F.lit("A").alias("ticker"), "trade_date", F.lit("P").alias("participant_buy"), F.lit("Q").alias("participant_sell"), F.lit(1.0).alias("volume"), F.lit(2.0).alias("value")
+    )
+    source, table = str(tmp_path / "in"), str(tmp_path / "table")
+    rows.coalesce(1).write.parquet(source)
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(merging)
+    spark.conf.set(merging, "false")
+    try:
+        stream.ingest_trade_days(stream.trade_stream(spark, source, rows.schema), table, str(tmp_path / "c")).awaitTermination()
+    finally:
+        spark.conf.set(merging, before)
+    assert len(spark.read.parquet(table).inputFiles()) > 1
+    assert stream.flow_table(spark, table).count() == 800
+
+
 def test_event_time_daily_totals(spark, tmp_path):
     source = str(tmp_path / "ticks")
     data = [(dt.datetime(2026, 8, 12, 9), "A", "P", "Q", 1.0, 10.0), (dt.datetime(2026, 8, 20, 9), "A", "P", "Q", 1.0, 1.0)]
@@ -97,6 +116,36 @@ def test_outcomes_advance_with_arriving_bars(spark, tmp_path):
     assert row.evaluation_status == "PARTIAL" and row.return_5d == 50.0 and row.evaluated_through == dates[-1]
 
 
+@pytest.mark.parametrize("make", ["_scan", "_funnel"])
+def test_scan_reads_the_trades_once(spark, monkeypatch, make):
+    """Broker rows and foreign flow are made of the same stored sums."""
+    from tidebook.plans import catalogue
+    from tidebook.sources import tables
+
+    calls, read = [], tables.trades
+    monkeypatch.setattr(tables, "trades", lambda *a, **k: calls.append(a) or read(*a, **k))
+    root = "/root/testdata/sf0.001"
+    catalogue._scan(spark, root, "verified") if make == "_scan" else catalogue._funnel(spark, root)
+    assert len(calls) == 1
+
+
+def test_foreign_flow_of_unknown_nations_and_volumes(spark, monkeypatch):
+    from tidebook.sources import tables
+
+    day = dt.date(2020, 1, 1)
+    rows = [("A", "N1", "N2", 5.0), ("A", "N2", "N1", 3.0), ("A", "N1", "N1", 2.0), ("A", "N1", "N9", 7.0), ("B", "N1", "N2", None), ("C", "N9", "N1", 1.0)]
+    made = spark.createDataFrame([(t, day, b, s, v, v, "F", "R") for t, b, s, v in rows], "ticker string, trade_date date, participant_buy string, participant_sell string, volume double, value double, line_status string, return_flag string")
+    nation = spark.createDataFrame([(1, 0), (2, 1)], "n_nationkey int, n_regionkey int")
+    monkeypatch.setattr(tables, "trades", lambda *a: made)
+    monkeypatch.setattr(tables, "table", lambda *a: nation)
+    got = {(r.ticker, r.foreign_buy, r.foreign_sell, r.volume) for r in tables.foreign_flows(spark, "").collect()}
+    assert got == {("A", 5.0, 3.0, 10.0), ("B", 0.0, 0.0, None)}
+    brokers = tables.broker_flows(spark, "", True)
+    assert {(r.ticker, r.broker_code, r.buy_volume, r.sell_volume) for r in brokers.where("ticker <> 'B'").collect()} == {
+        ("A", "N1", 14.0, 5.0), ("A", "N2", 3.0, 5.0), ("A", "N9", 0.0, 7.0), ("C", "N9", 1.0, 0.0), ("C", "N1", 0.0, 1.0)
+    }
+
+
 @pytest.mark.parametrize(
     "name",
     ["participant_top10", "bars_last_n", "price_flow_features", "smc_levels", "broker_features", "outcomes_excluded", "duplicate_runs"],

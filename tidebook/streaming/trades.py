@@ -65,7 +65,8 @@ def ingest_trade_days(
     file, unless ``delivery`` names it by less than the file's name (``day12`` of ``day12.v2``): a
     file of a delivery that is held replaces all that it gave before, participants and days it no
     longer has included; of several in one batch the one modified last counts. ``flow_table`` reads
-    the table, which is partitioned by delivery, so a batch rewrites what it brings only.
+    the table, which is partitioned by delivery, so a batch rewrites what it brings only. A delivery
+    is written by months, so that a large one is not one task's.
     ``prepare`` turns a batch into trades and must keep the column ``delivery``.
     """
     name = F.col("_metadata.file_name")
@@ -76,10 +77,11 @@ def ingest_trade_days(
     )
 
     def store(batch: DataFrame, _batch_id: int) -> None:
-        last = batch.groupBy("delivery").agg(F.max("_file").alias("_file"))
-        rows = batch.join(last, ["delivery", "_file"], "left_semi").drop("_file")
+        last = batch.select("delivery", "_file").distinct().groupBy("delivery").agg(F.max("_file").alias("_file"))
+        # One row for each delivery of the batch, whose files the driver has listed: no row moves for it.
+        rows = batch.join(F.broadcast(last), ["delivery", "_file"], "left_semi").drop("_file")
         flow = aggregate_trades(rows if prepare is None else prepare(rows), by=("delivery",))
-        flow = flow.withColumn("trade_month", month_number("trade_date")).hint("rebalance", "delivery")
+        flow = flow.withColumn("trade_month", month_number("trade_date")).hint("rebalance", "delivery", "trade_month")
         flow.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("delivery").parquet(table_path)
 
     return (
