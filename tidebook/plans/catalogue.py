@@ -462,10 +462,12 @@ def _result_sql(scan: str) -> str:
 
 
 def _scan(spark: SparkSession, root: str, broker: str | None) -> DataFrame:
-    """The bars, read by the evidence choice and by the scan, are stored once, as a job would."""
-    rows = None if broker is None else T.broker_flows(spark, root, all_verified=broker == "verified")
+    """The bars, read by the evidence choice and by the scan, are stored once, as a job would; so are
+    the sums that broker rows and foreign flow are both made of."""
+    legs = staged(T.trade_legs(spark, root), "legs")
+    rows = None if broker is None else T.broker_flows(spark, root, all_verified=broker == "verified", legs=legs)
     bars, names = staged(T.bars(spark, root), "bars"), T.universe(spark, root)
-    flow = evidence.prepare_foreign_evidence(names, staged(T.foreign_flows(spark, root), "foreign"), bars)
+    flow = evidence.prepare_foreign_evidence(names, staged(T.foreign_flows(spark, root, legs), "foreign"), bars)
     return S.scan_universe(names, bars, rows, flow)
 
 
@@ -501,12 +503,13 @@ def scan_errors(spark, root):
 
 def _funnel(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """First pass, finalists and verified finalists; shared inputs are stored once, as a job would."""
-    bars, flow = staged(T.bars(spark, root), "bars"), staged(T.foreign_flows(spark, root), "foreign")
+    legs = staged(T.trade_legs(spark, root), "legs")
+    bars, flow = staged(T.bars(spark, root), "bars"), staged(T.foreign_flows(spark, root, legs), "foreign")
     names = T.universe(spark, root)
     flow = staged(evidence.prepare_foreign_evidence(names, flow, bars), "evidence")
     first = S.scan_universe(names, bars, None, flow)
     finalists = staged(funnel.select_guarded_top5(first), "finalists")
-    second = funnel.verify_guarded_top5(finalists, bars, T.broker_flows(spark, root, all_verified=True), flow)
+    second = funnel.verify_guarded_top5(finalists, bars, T.broker_flows(spark, root, all_verified=True, legs=legs), flow)
     return first, finalists, second
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebook.config import OFFICIAL_STOCK_SUMMARY, VENDOR_FOREIGN_FLOW
-from tidebook.operators.participants import aggregate_trades
+from tidebook.operators.participants import leg_sums, with_balances
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -114,15 +114,43 @@ def daily_prices(spark: SparkSession, root: str, rough: bool = False) -> DataFra
     )
 
 
-def broker_flows(spark: SparkSession, root: str, all_verified: bool = False) -> DataFrame:
+def trade_legs(spark: SparkSession, root: str) -> DataFrame:
+    """Buy and sell sums per (ticker, day, participant) and what broker rows and foreign flow tell
+    apart: line status, return flag and whether the two sides are of different regions, null where
+    the nation of one is not known. The number of rows is bounded by the calendar, not by the
+    trades, so a query that needs both kinds of rows stages these and reads the trades once.
+    """
+    nation = table(spark, root, "nation")
+    sides = [
+        nation.select(_participant("n_nationkey", f"participant_{side}"), F.struct(F.col("n_regionkey").alias("region")).alias(side))
+        for side in ("buy", "sell")
+    ]
+    rows = trades(spark, root).join(sides[0], "participant_buy", "left").join(sides[1], "participant_sell", "left")
+    crosses = F.when(F.col("buy").isNotNull() & F.col("sell").isNotNull(), F.coalesce(F.col("buy.region") != F.col("sell.region"), F.lit(False)))
+    legs = rows.select(
+        "ticker",
+        "trade_date",
+        "line_status",
+        "return_flag",
+        crosses.alias("crosses"),
+        F.expr(
+            "stack(2, participant_buy, buy.region, volume, value, 0D, 0D, volume IS NOT NULL, participant_sell, sell.region, 0D, 0D, volume, value, FALSE)"
+            " AS (participant, region, buy_volume, buy_value, sell_volume, sell_value, known)"
+        ),
+    )
+    keys = ("ticker", "trade_date", "participant", "region", "line_status", "return_flag", "crosses")
+    return legs.groupBy(*keys).agg(*leg_sums(), F.max("known").alias("known"))
+
+
+def broker_flows(spark: SparkSession, root: str, all_verified: bool = False, legs: DataFrame | None = None) -> DataFrame:
     """Broker rows: one source per line status, one third of the rows unverified."""
-    marked = trades(spark, root).withColumns(
+    marked = (trade_legs(spark, root) if legs is None else legs).withColumns(
         {
             "source": F.when(F.col("line_status") == "F", F.lit("DIRECT")).otherwise(F.lit("VENDOR")),
             "source_verified": F.lit(True) if all_verified else F.col("return_flag") != "R",
         }
     )
-    flow = aggregate_trades(marked, by=("source", "source_verified"))
+    flow = with_balances(marked.groupBy("ticker", "trade_date", "participant", "source", "source_verified").agg(*leg_sums()))
     return flow.withColumnRenamed("participant", "broker_code").withColumns(
         {
             "gross_value": F.col("buy_value") + F.col("sell_value"),
@@ -133,26 +161,15 @@ def broker_flows(spark: SparkSession, root: str, all_verified: bool = False) ->
     )
 
 
-def foreign_flows(spark: SparkSession, root: str) -> DataFrame:
+def foreign_flows(spark: SparkSession, root: str, legs: DataFrame | None = None) -> DataFrame:
     """Cross-region share flow per (ticker, day, source)."""
-    nation = table(spark, root, "nation").select("n_nationkey", "n_regionkey")
-    buyer = nation.select(_participant("n_nationkey", "participant_buy"), F.col("n_regionkey").alias("buyer_region"))
-    seller = nation.select(_participant("n_nationkey", "participant_sell"), F.col("n_regionkey").alias("seller_region"))
-    sums = (
-        trades(spark, root)
-        .join(buyer, "participant_buy")
-        .join(seller, "participant_sell")
-    )
-    crosses = F.col("buyer_region") != F.col("seller_region")
+    rows = (trade_legs(spark, root) if legs is None else legs).where(F.col("crosses").isNotNull())
+    foreign = F.col("crosses") & (F.col("region") == 0)
     source = F.when(F.col("line_status") == "F", F.lit(OFFICIAL_STOCK_SUMMARY)).otherwise(F.lit(VENDOR_FOREIGN_FLOW))
-    flows = sums.groupBy("ticker", "trade_date", source.alias("source")).agg(
-        F.coalesce(F.sum(F.when(crosses & (F.col("buyer_region") == 0), F.col("volume"))), F.lit(0.0)).alias(
-            "foreign_buy"
-        ),
-        F.coalesce(F.sum(F.when(crosses & (F.col("seller_region") == 0), F.col("volume"))), F.lit(0.0)).alias(
-            "foreign_sell"
-        ),
-        F.sum("volume").alias("volume"),
+    flows = rows.groupBy("ticker", "trade_date", source.alias("source")).agg(
+        F.coalesce(F.sum(F.when(foreign, F.col("buy_volume"))), F.lit(0.0)).alias("foreign_buy"),
+        F.coalesce(F.sum(F.when(foreign, F.col("sell_volume"))), F.lit(0.0)).alias("foreign_sell"),
+        F.when(F.max("known"), F.sum("buy_volume")).alias("volume"),
     )
     return flows.withColumn("foreign_net", F.col("foreign_buy") - F.col("foreign_sell"))
 
