@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebook.operators.participants import aggregate_trades
+from tidebook.plans import stream_queries
 from tidebook.sources import sinks
 from tidebook.streaming import trades as stream
 
@@ -86,6 +87,39 @@ def test_a_large_delivery_is_not_one_tasks(spark, tmp_path):
     assert stream.flow_table(spark, table).count() == 800
 
 
+def test_a_delivery_of_several_files_adds_up(spark, tmp_path):
+    """Files of one version count together, and a later version replaces all of them."""
+    source, table = tmp_path / "in", str(tmp_path / "table")
+    source.mkdir()
+    schema = None
+    for batch in ((("d1.v1.p0", rows(12)), ("d1.v1.p1", rows(13)), ("d2.v1.p0", rows(14))), (("d1.v2.p0", rows(12, 2.0)), ("d1.v2.p1", rows(15)[:1]))):
+        for name, data in batch:
+            spark.createDataFrame(data, TRADES).coalesce(1).write.parquet(str(tmp_path / name))
+            next((tmp_path / name).glob("*.parquet")).rename(source / f"{name}.parquet")
+        schema = schema or spark.read.parquet(str(source)).schema
+        stream.ingest_trade_days(
+            stream.trade_stream(spark, str(source), schema), table, str(tmp_path / "checkpoint"),
+            delivery=lambda file: F.substring_index(file, ".", 1), version=lambda file: F.substring_index(file, ".", 2),
+        ).awaitTermination()
+    want = aggregate_trades(spark.createDataFrame(rows(12, 2.0) + rows(15)[:1] + rows(14), TRADES))
+    columns = ["ticker", "trade_date", "participant", "buy_value", "sell_value", "net_value"]
+    got = stream.flow_table(spark, table).select(*columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*columns).collect()))
+
+
+def test_deliveries_are_written_in_one_pass(spark, tmp_path):
+    """Each delivery is as many files as tasks wrote of it, and none is written twice."""
+    got = []
+
+    def start(arriving):
+        job = arriving.writeStream.foreachBatch(lambda batch, _: got.append((batch.count(), batch.select(F.input_file_name()).distinct().count())))
+        return job.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+
+    rows = spark.range(0, 90, 1, 3).withColumn("day", F.pmod("id", F.lit(3)))
+    stream_queries._delivered(rows, "CAST(day AS INT)", str(tmp_path), start, lambda held: held.where("day = 0"))
+    assert [n for n, _ in got] == [30, 30, 30, 30] and got[0][1] == 3
+
+
 def test_event_time_daily_totals(spark, tmp_path):
     source = str(tmp_path / "ticks")
     data = [(dt.datetime(2026, 8, 12, 9), "A", "P", "Q", 1.0, 10.0), (dt.datetime(2026, 8, 20, 9), "A", "P", "Q", 1.0, 1.0)]

@@ -27,13 +27,31 @@ def cut_of(day: str, cuts: tuple[str, ...] = CUTS, kind: str = "DATE") -> str:
     return f"CASE {steps} ELSE {len(cuts)} END"
 
 
-def _delivered(rows: DataFrame, cut: str, home: str, start: Callable[[DataFrame], StreamingQuery], last: DataFrame | None = None) -> None:
-    """Writes one delivery after the other and lets a new query take each; ``last`` comes with the last one."""
+def _hand_over(spark: SparkSession, made: str, arriving: str, name: str) -> None:
+    """The files of a folder, moved among the arriving ones under ``name``; no row is read or written."""
+    files, source = sinks._file_system(spark, made)
+    home = sinks._file_system(spark, arriving)[1]
+    files.mkdirs(home)
+    if not files.exists(source):  # a delivery without rows
+        return
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = sorted(x.getPath().getName() for x in files.listStatus(source) if x.getPath().getName().startswith("part-"))
+    for k, file in enumerate(found):
+        assert files.rename(path(source, file), path(home, f"{name}.p{k:05d}.parquet"))
+
+
+def _delivered(
+    rows: DataFrame, cut: str, home: str, start: Callable[[DataFrame], StreamingQuery], last: Callable[[DataFrame], DataFrame] | None = None
+) -> None:
+    """Hands over one delivery after the other and lets a new query take each. All are written in one
+    pass over the rows. ``last``, made from all that was delivered, comes with the last one."""
     spark = rows.sparkSession
+    rows.withColumn("_cut", F.expr(cut)).write.partitionBy("_cut").parquet(f"{home}/made")
     for k in range(4):
-        rows.where(f"{cut} = {k}").write.mode("append").parquet(f"{home}/in")
+        _hand_over(spark, f"{home}/made/_cut={k}", f"{home}/in", f"cut{k}")
         if k == 3 and last is not None:
-            last.select(rows.columns).write.mode("append").parquet(f"{home}/in")
+            held = spark.read.schema(rows.schema).parquet(f"{home}/in")
+            last(held).select(rows.columns).write.mode("append").parquet(f"{home}/in")
         start(spark.readStream.schema(rows.schema).parquet(f"{home}/in")).awaitTermination()
 
 
@@ -92,7 +110,7 @@ def stream_stale_runs(spark, root):
     def start(arriving: DataFrame) -> StreamingQuery:
         return run_state.watch_runs(arriving, f"{home}/table", f"{home}/checkpoint")
 
-    _delivered(updates, cut_of("at", RUN_CUTS, "TIMESTAMP"), home, start, tick)
+    _delivered(updates, cut_of("at", RUN_CUTS, "TIMESTAMP"), home, start, lambda held: tick)
     return run_state.stale_found(spark, f"{home}/table")
 
 
@@ -110,10 +128,13 @@ def stream_event_totals(spark, root):
     and a row far ahead, which closes all days before it."""
     home = Q._home(spark, "event-totals")
     columns = ("ticker", "participant_buy", "participant_sell", "volume", "value")
-    trades = staged(T.trades(spark, root).select(F.expr("CAST(trade_date AS TIMESTAMP) + INTERVAL 9 HOURS").alias("ts"), *columns), "timed-trades")
+    trades = T.trades(spark, root).select(F.expr("CAST(trade_date AS TIMESTAMP) + INTERVAL 9 HOURS").alias("ts"), *columns)
     ahead = spark.range(1).select(F.lit("2100-01-01").cast("timestamp").alias("ts"), *(F.lit(None).cast(trades.schema[c].dataType).alias(c) for c in columns))
     cut = cut_of("ts", CUTS, "TIMESTAMP")
-    late = trades.where(f"{cut} = 0").unionByName(ahead)
+
+    def late(held: DataFrame) -> DataFrame:
+        return held.where(f"{cut} = 0").unionByName(ahead)
+
     _delivered(trades, cut, home, lambda arriving: _to_files(stream.daily_totals(arriving), home), late)
     return spark.read.parquet(f"{home}/table")
 
@@ -136,43 +157,41 @@ def stream_redelivery(spark, root):
     again = first.where("l_orderkey % 8 = 1").withColumn("ts", F.expr("ts + INTERVAL 2600 DAYS"))
     late = first.where("l_orderkey % 8 = 2")
     twice = rows.unionByName(rows.where("l_orderkey % 4 = 0"))
-    _delivered(twice, cut_of("ts", CUTS, "TIMESTAMP"), home, lambda arriving: _to_files(stream.drop_repeats(arriving, TRADE_KEY), home), late.unionByName(again))
+    _delivered(twice, cut_of("ts", CUTS, "TIMESTAMP"), home, lambda arriving: _to_files(stream.drop_repeats(arriving, TRADE_KEY), home), lambda held: late.unionByName(again))
     held = spark.read.parquet(f"{home}/table")
     return held.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("deliveries"), F.sum("l_quantity").alias("quantity"))
 
 
-def _deliver(spark: SparkSession, rows: DataFrame, home: str, name: str, version: int) -> None:
-    """``rows`` as one file of that name among the arriving ones."""
-    rows.repartition(1).write.parquet(f"{home}/made/{name}.v{version}")
-    (file,) = spark.read.parquet(f"{home}/made/{name}.v{version}").inputFiles()
-    files, source = sinks._file_system(spark, file)
-    target = sinks._file_system(spark, f"{home}/in/{name}.v{version}.parquet")[1]
-    files.mkdirs(target.getParent())
-    files.rename(source, target)
-
-
 def _compacting(spark: SparkSession, root: str, name: str) -> str:
     """Eight deliveries, folded after five and again at the end; the third was wrong at first and comes
-    again after it was folded, as does the last before it is."""
+    again after it was folded, as does the last before it is. A delivery is as many files as its rows
+    need, and all of them are written in one pass over the rows, wrong ones in another."""
     home, lineitem = Q._home(spark, name), T.table(spark, root, "lineitem")
-    slice_of = F.pmod(F.xxhash64("l_orderkey"), F.lit(8))
-    wrong = lineitem.withColumns({"l_quantity": F.col("l_quantity") * 2, "l_suppkey": F.lit(1).cast("long"), "l_shipdate": F.expr("l_shipdate - INTERVAL 200 DAYS")})
+    sliced = lineitem.withColumn("_slice", F.pmod(F.xxhash64("l_orderkey"), F.lit(8)))
+    wrong = sliced.where("_slice IN (2, 7)").withColumns(
+        {"l_quantity": F.col("l_quantity") * 2, "l_suppkey": F.lit(1).cast("long"), "l_shipdate": F.expr("l_shipdate - INTERVAL 200 DAYS")}
+    )
+    for kind, rows in (("wrong", wrong), ("right", sliced)):
+        rows.write.partitionBy("_slice").parquet(f"{home}/{kind}")
+
+    def deliver(kind: str, k: int, version: int) -> None:
+        _hand_over(spark, f"{home}/{kind}/_slice={k}", f"{home}/in", f"d{k}.v{version}")
 
     def ingest() -> None:
         raw = stream.trade_stream(spark, f"{home}/in", lineitem.schema)
         stream.ingest_trade_days(
             raw, compaction.deliveries_path(f"{home}/table"), f"{home}/checkpoint", prepare=lambda batch: T.trades(spark, root, batch),
-            delivery=lambda file: F.regexp_extract(file, r"^([^.]+)", 1),
+            delivery=lambda file: F.substring_index(file, ".", 1), version=lambda file: F.substring_index(file, ".", 2),
         ).awaitTermination()
 
     for k in range(5):
-        _deliver(spark, (wrong if k == 2 else lineitem).where(slice_of == k), home, f"d{k}", 1)
+        deliver("wrong" if k == 2 else "right", k, 1)
     ingest()
     compaction.compact(spark, f"{home}/table")
-    for k, rows, version in ((5, lineitem, 1), (6, lineitem, 1), (7, wrong, 1), (2, lineitem, 2)):
-        _deliver(spark, rows.where(slice_of == k), home, f"d{k}", version)
+    for kind, k, version in (("right", 5, 1), ("right", 6, 1), ("wrong", 7, 1), ("right", 2, 2)):
+        deliver(kind, k, version)
     ingest()
-    _deliver(spark, lineitem.where(slice_of == 7), home, "d7", 2)
+    deliver("right", 7, 2)
     ingest()
     return f"{home}/table"
 

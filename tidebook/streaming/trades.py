@@ -58,13 +58,16 @@ def ingest_trade_days(
     checkpoint: str,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     delivery: Callable[[Column], Column] | None = None,
+    version: Callable[[Column], Column] | None = None,
 ) -> StreamingQuery:
     """Trades as they arrive, in files of any cut; sums are kept per delivery and added when read.
 
     A day whose trades lie in several files, read in one batch or in many, adds up. A delivery is a
     file, unless ``delivery`` names it by less than the file's name (``day12`` of ``day12.v2``): a
     file of a delivery that is held replaces all that it gave before, participants and days it no
-    longer has included; of several in one batch the one modified last counts. ``flow_table`` reads
+    longer has included; of several in one batch the one modified last counts. A delivery of several
+    files needs ``version``, which names by a file's name what belongs together (``day12.v2`` of
+    ``day12.v2.p3``): files of one version add up, and must arrive in one batch. ``flow_table`` reads
     the table, which is partitioned by delivery, so a batch rewrites what it brings only. A delivery
     is written by months, so that a large one is not one task's.
     ``prepare`` turns a batch into trades and must keep the column ``delivery``.
@@ -73,13 +76,16 @@ def ingest_trade_days(
     named = trades.select(
         "*",
         (name if delivery is None else delivery(name)).alias("delivery"),
-        F.struct(F.col("_metadata.file_modification_time").alias("at"), name.alias("name")).alias("_file"),
+        F.struct(
+            F.col("_metadata.file_modification_time").alias("at"), name.alias("name"), (name if version is None else version(name)).alias("version")
+        ).alias("_file"),
     )
 
     def store(batch: DataFrame, _batch_id: int) -> None:
-        last = batch.select("delivery", "_file").distinct().groupBy("delivery").agg(F.max("_file").alias("_file"))
+        last = batch.select("delivery", "_file").distinct().groupBy("delivery").agg(F.max("_file")["version"].alias("_version"))
         # One row for each delivery of the batch, whose files the driver has listed: no row moves for it.
-        rows = batch.join(F.broadcast(last), ["delivery", "_file"], "left_semi").drop("_file")
+        versions = batch.withColumn("_version", F.col("_file.version"))
+        rows = versions.join(F.broadcast(last), ["delivery", "_version"], "left_semi").drop("_file", "_version")
         flow = aggregate_trades(rows if prepare is None else prepare(rows), by=("delivery",))
         flow = flow.withColumn("trade_month", month_number("trade_date")).hint("rebalance", "delivery", "trade_month")
         flow.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("delivery").parquet(table_path)
