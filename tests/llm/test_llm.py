@@ -432,6 +432,25 @@ def test_wrapper_takes_away_what_pages_share(spark):
     assert all(got[i] == "\n\n".join(t) for i, t in enumerate(texts))
 
 
+def test_wrapper_comes_from_all_pages_of_a_host(spark):
+    """A line that only the first dozen of forty pages share is no template."""
+    rng = random.Random(2)
+    numbered = spark.range(40).select(F.col("id").alias("page_id")).orderBy(F.xxhash64("page_id")).collect()
+    body = "<div class=q1><div class=q2>Our great site</div><div class=q3><p>{}</p></div><div class=q4>{}</div></div>"
+    lines = {r.page_id: "All rights kept" if k < 12 else prose(rng, "en", 6) for k, r in enumerate(numbered)}
+    texts = {i: prose(rng, "en", 25) for i in lines}
+    frame = spark.createDataFrame([(i, "http://w.org/x", body.format(texts[i], lines[i])) for i in lines], "page_id long, url string, html string")
+    for most in (16_000_000, 0):  # with broadcast joins and without
+        got = {r.page_id: r.text for r in html_extract.main_text(frame, broadcast_bytes=most).collect()}
+        assert got == {i: f"{texts[i]}\n\n{lines[i]}" for i in lines}
+
+
+def test_same_ends_of_children_are_partners():
+    first, other = (html_extract.signed(html_extract.parse(f"<div><p>a</p>{x}<ul><li>n</ul></div>")) for x in ("<p>b</p>", "<p>b</p><h2>c</h2><p>d</p>"))
+    n, pairs = html_extract.matched(first, other, "", 24)
+    assert n == 6 and [(a.label, html_extract.text_of(b)) for a, b, _ in pairs if a.label in ("p", "li")] == [("p", "a"), ("p", "b"), ("li", "n")]
+
+
 def test_reader_comments_notices_and_forms_go():
     page = (
         '<body class="has-sidebar"><div id="cookie-notice">We use</div><main><article><header><h1>T</h1></header><p>a<b>b</b></p>'

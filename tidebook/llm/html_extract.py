@@ -1,9 +1,10 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host share a wrapper.  A bounded number of each host's pages (those first by a hash of
-their id: the training pages) are parsed into trees and aligned by simple tree matching, the
-first with each of the others.  Nodes of the first whose text stays the same on the others are
-template; nodes that align but differ are slots.  A host's wrapper is then known as two things: the
+Pages of a host share a wrapper.  All of a host's pages are parsed into trees, and its first page (by
+a hash of its id) is aligned with each of the others by simple tree matching; what they find is
+counted in each task and added up by host, so that no task holds a host.  Nodes of the first whose
+text stays the same on the others are template; nodes that align but differ are slots.  Counts are
+of the first page's nodes, a number bounded by that page.  A host's wrapper is then known as two things: the
 texts of its template, and, for each path of tags and classes, how much of what hangs there is
 constant.  Every page, whole, is parsed once more with its host's wrapper, and gives the text of its
 content blocks: what neither the wrapper nor the meaning of its tags (navigation, header, footer,
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm.common import staged
@@ -65,19 +66,19 @@ _TAG = re.compile(
 )
 #: Name and value of each attribute; a quoted value is taken whole, so that nothing in it is read as a name.
 _ATTRIBUTE = re.compile(r"""([^\s/=]++|=[^\s/=]*+)(?:\s*+=\s*+("[^"]*+"?|'[^']*+'?|\S*+))?""")
-_SPACES = re.compile(r"\s+")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
 class Node:
     """An element: its label (tag and classes), its children, and its own text as text children."""
 
-    __slots__ = ("article", "children", "dropped", "label", "parent", "tag")
+    __slots__ = ("article", "children", "dropped", "label", "parent", "shape", "tag", "text", "whole")
 
     def __init__(self, tag: str, label: str, parent: Node | None, dropped: bool = False):
         self.tag, self.label, self.parent, self.dropped = tag, label, parent, dropped
         self.article: bool = tag == "article" or parent is not None and parent.article
         self.children: list[Node | str] = []
+        self.text: str | None = None
 
 
 def marks_of(name: str) -> frozenset[str]:
@@ -200,13 +201,29 @@ def text_of(node: Node) -> str:
         else:
             out.append(" ")
             todo.extend(reversed(x.children))
-    return _SPACES.sub(" ", "".join(out)).strip()
+    return " ".join("".join(out).split())
+
+
+def signed(root: Node) -> Node:
+    """The tree with hashes of each node's labels below (`shape`) and of labels and texts (`whole`)."""
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo.extend(c for c in x.children if isinstance(c, Node))
+    for x in reversed(order):
+        x.shape = hash((x.label, *[c.shape for c in x.children if isinstance(c, Node)]))
+        x.whole = hash((x.label, *[c.whole if isinstance(c, Node) else c for c in x.children]))
+    return root
 
 
 def matched(a: Node, b: Node, path: str, most: int, depth: int = 0) -> tuple[int, list[tuple[Node, Node, str]]]:
-    """Simple tree matching: the most nodes that align between two trees in order, and the pairs.
+    """Simple tree matching of signed trees: the most nodes that align between two trees in order,
+    and the pairs.
 
-    `most` children of a node are aligned in full; what follows is compared position by position."""
+    Children at the end that are the same, and those at the beginning that have the same labels, are
+    each other's partners: none is better.  `most` children of a node between them are aligned in
+    full; what follows is compared position by position."""
     left = [x for x in a.children if isinstance(x, Node)]
     right = [x for x in b.children if isinstance(x, Node)]
     pairs = [(a, b, path)]
@@ -221,21 +238,34 @@ def matched(a: Node, b: Node, path: str, most: int, depth: int = 0) -> tuple[int
             found[i, j] = matched(left[i], right[j], f"{path}/{left[i].label}", most, depth + 1)
         return found[i, j]
 
-    n, m = min(len(left), most), min(len(right), most)
+    total, below, ends = 0, [], min(len(left), len(right))
+    tail = 0
+    while tail < ends and left[-1 - tail].whole == right[-1 - tail].whole:
+        tail += 1
+    low = 0
+    while low < ends - tail and left[low].shape == right[low].shape:
+        low += 1
+    for i, j in [*((k, k) for k in range(low)), *((len(left) - k, len(right) - k) for k in range(tail, 0, -1))]:
+        more, down = same(i, j)
+        total += more
+        below.extend(down)
+    left_end, right_end = len(left) - tail, len(right) - tail
+    n, m = min(left_end - low, most), min(right_end - low, most)
     grid = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n):
         for j in range(m):
-            grid[i + 1][j + 1] = max(grid[i][j + 1], grid[i + 1][j], grid[i][j] + same(i, j)[0])
-    i, j, total, below = n, m, grid[n][m], []
+            grid[i + 1][j + 1] = max(grid[i][j + 1], grid[i + 1][j], grid[i][j] + same(low + i, low + j)[0])
+    i, j = n, m
+    total += grid[n][m]
     while i and j:
         if grid[i][j] == grid[i - 1][j]:
             i -= 1
         elif grid[i][j] == grid[i][j - 1]:
             j -= 1
         else:
-            below.extend(same(i - 1, j - 1)[1])
+            below.extend(same(low + i - 1, low + j - 1)[1])
             i, j = i - 1, j - 1
-    for i in range(most, min(len(left), len(right))):
+    for i in range(low + most, min(left_end, right_end)):
         more, down = same(i, i)
         total += more
         below.extend(down)
@@ -254,29 +284,55 @@ def longest(root: Node) -> str:
     return best
 
 
-def induce(pages: list[str], most: int = 24) -> tuple[list[str], list[str]]:
-    """Texts of the template, and paths whose content is constant on nearly all aligned pages."""
-    trees = [parse(x) for x in pages]
-    # A copy of the first page's article would make its content look like template.
-    trees = trees[:1] + [x for x in trees[1:] if longest(x) != longest(trees[0])]
-    texts: Counter[str] = Counter()
-    steady: Counter[str] = Counter()
-    met: Counter[str] = Counter()
-    for other in trees[1:]:
+class Reference:
+    """A host's first page, which all of its pages are aligned with."""
+
+    def __init__(self, page: str):
+        self.root = signed(parse(page))
+        self.longest = longest(self.root)
+
+    def text(self, node: Node) -> str:
+        if node.text is None:
+            node.text = text_of(node)
+        return node.text
+
+    def aligned(self, page: str, most: int) -> tuple[set[str], Counter[str], Counter[str]] | None:
+        """Texts of blocks that are the same on the page, and of each path how many blocks align and
+        how many of them are the same.  None for the page itself and others with its longest text: a
+        copy of the article would make its content look like template."""
+        other = parse(page)
+        if self.longest in text_of(other) and longest(other) == self.longest:
+            return None
         here: set[str] = set()
-        for a, b, path in matched(trees[0], other, "", most)[1]:
-            one, two = text_of(a), text_of(b)
-            if a.tag not in BLOCK or (not one and not two):
+        met: Counter[str] = Counter()
+        steady: Counter[str] = Counter()
+        for a, b, path in matched(self.root, signed(other), "", most)[1]:
+            if a.tag not in BLOCK:
+                continue
+            one = self.text(a)
+            two = one if a.whole == b.whole else text_of(b)
+            if not one and not two:
                 continue
             met[path] += 1
             if one == two:
                 steady[path] += 1
                 here.add(one)
+        return here, met, steady
+
+
+def induce(pages: list[str], most: int = 24) -> tuple[list[str], list[str]]:
+    """Template texts and steady paths of a few pages at hand, the first of which is the reference."""
+    first = Reference(pages[0])
+    found = [x for x in (first.aligned(page, most) for page in pages[1:]) if x is not None]
+    texts: Counter[str] = Counter()
+    met: Counter[str] = Counter()
+    steady: Counter[str] = Counter()
+    for here, more, same in found:
         texts.update(here)
-    need = max(2, (len(trees) - 1) * 0.5)
-    template = [x for x, n in texts.items() if n >= need]
-    paths = [p for p, n in met.items() if n >= max(3, len(trees) // 2) and steady[p] >= 0.9 * n]
-    return sorted(template), sorted(paths)
+        met.update(more)
+        steady.update(same)
+    template = [x for x, n in texts.items() if n >= max(2, len(found) * 0.5)]
+    return sorted(template), sorted(p for p, n in met.items() if n >= max(3, (len(found) + 1) // 2) and steady[p] >= 0.9 * n)
 
 
 def extract(page: str, template: frozenset[str], steady: frozenset[str]) -> str:
@@ -287,7 +343,7 @@ def extract(page: str, template: frozenset[str], steady: frozenset[str]) -> str:
     line: list[str] = []
 
     def flush() -> None:
-        text = _SPACES.sub(" ", "".join(line)).strip()
+        text = " ".join("".join(line).split())
         line.clear()
         if text and not (inside is root and text in template):
             blocks.append(text)
@@ -335,7 +391,7 @@ def _letters(node: Node, apart: bool = False) -> int:
     while todo:
         for c in todo.pop().children:
             if isinstance(c, str):
-                total += len(_SPACES.sub(" ", c).strip())
+                total += len(" ".join(c.split()))
             elif not (c.dropped or c.tag == "a" or (apart and c.tag == "article")):
                 todo.append(c)
     return total
@@ -368,32 +424,77 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def wrappers(pages: DataFrame, sample: int) -> DataFrame:
-    """(host, template, steady) of every host, from at most `sample` training pages each.
+#: Kinds of counts: pages of a host that are aligned, texts of blocks, paths.
+PAGES, TEXT, PATH = 0, 1, 2
+
 
-    The rank that picks them is cut within each task first, so that a host with any number of
-    pages sends `sample` of them from each."""
-    order = Window.partitionBy("host").orderBy(F.xxhash64("page_id"), F.xxhash64("html"))
-    picked = pages.where("length(html) > 0").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample)
+def wrappers(rows: DataFrame, broadcast_bytes: int, most: int = 24) -> DataFrame:
+    """(host, template, steady) of every host, from all of its pages.
 
-    def learn(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("nth", "ascending")])
-        template, steady = induce(rows["html"].to_pylist())
-        kind = pa.list_(pa.string())
-        return pa.table({"host": rows["host"].slice(0, 1), "template": pa.array([template], kind), "steady": pa.array([steady], kind)})
+    Texts of the template are those that at least half of the pages have (two at least); steady are
+    paths whose content is constant on nearly all pages with it, if half of them (three at least) are."""
+    pages = rows.where("length(html) > 0")
+    first = F.min_by("html", F.struct(F.xxhash64("page_id"), F.xxhash64("html"))).alias("first")
+    firsts = staged(pages.groupBy("host").agg(first))
+    paired = pages.join(_small(firsts, F.length("first").cast("long") + 64, broadcast_bytes), "host").select("host", "html", "first")
 
-    return picked.select("host", "nth", "html").groupBy("host").applyInArrow(learn, "host string, template array<string>, steady array<string>")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Reference] = {}
+        sums: dict[tuple[str, int, str], list[int]] = {}
 
+        def flush() -> pa.RecordBatch:
+            keys, values = list(sums), list(sums.values())
+            sums.clear()
+            columns = [*(pa.array([x[k] for x in keys], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.string()))), *(pa.array([x[k] for x in values], pa.int64()) for k in (0, 1))]
+            return pa.RecordBatch.from_arrays(columns, names=["host", "kind", "value", "met", "same"])
 
-def main_text(pages: DataFrame, sample: int = 12, broadcast_bytes: int = 16_000_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+        def add(key: tuple[str, int, str], met: int, same: int) -> None:
+            held = sums.setdefault(key, [0, 0])
+            held[0] += met
+            held[1] += same
+
+        for batch in batches:
+            for host, page, begin in zip(*(batch.column(c) for c in ("host", "html", "first")), strict=True):
+                host, begin = host.as_py(), begin.as_py()
+                if host not in known:
+                    if len(known) >= 64:
+                        known.clear()
+                    known[host] = Reference(begin)
+                found = known[host].aligned(page.as_py(), most)
+                if found is None:
+                    continue
+                here, met, steady = found
+                add((host, PAGES, ""), 1, 0)
+                for text in here:
+                    add((host, TEXT, text), 1, 1)
+                for path, n in met.items():
+                    add((host, PATH, path), n, steady[path])
+                if len(sums) > 20_000:
+                    yield flush()
+        yield flush()
+
+    counts = paired.mapInArrow(count, "host string, kind int, value string, met long, same long")
+    counts = staged(counts.groupBy("host", "kind", "value").agg(F.sum("met").alias("met"), F.sum("same").alias("same")))
+    pages_of = counts.where(F.col("kind") == PAGES).select("host", F.col("met").alias("pages"))
+    both = counts.where(F.col("kind") != PAGES).join(pages_of, "host")
+    template = F.when((F.col("kind") == TEXT) & (F.col("met") >= F.greatest(F.lit(2.0), F.col("pages") * 0.5)), F.col("value"))
+    often = F.col("met") >= F.greatest(F.lit(3), F.floor((F.col("pages") + 1) / 2))
+    steady = F.when((F.col("kind") == PATH) & often & (F.col("same") >= 0.9 * F.col("met")), F.col("value"))
+    return both.groupBy("host").agg(F.sort_array(F.collect_list(template)).alias("template"), F.sort_array(F.collect_list(steady)).alias("steady"))
+
+
+def _small(side: DataFrame, size: Column, most: int) -> DataFrame:
+    """A side of few bytes goes to every task; a larger one is joined by a shuffle."""
+    return F.broadcast(side) if (side.agg(F.sum(size)).first()[0] or 0) <= most else side
+
+
+def main_text(pages: DataFrame, broadcast_bytes: int = 16_000_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text) of every page."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url")))
-    known = staged(wrappers(rows, sample))
+    known = staged(wrappers(rows, broadcast_bytes))
     letters = F.expr("aggregate(concat(template, steady), 64L, (n, x) -> n + length(x) + 16)")
-    # Few hosts go to every task; the wrappers of many are joined by a shuffle.
-    small = (known.agg(F.sum(letters)).first()[0] or 0) <= broadcast_bytes
-    wrapped = rows.join(F.broadcast(known) if small else known, "host", "left").select("page_id", "url", "html", "template", "steady")
+    wrapped = rows.join(_small(known, letters, broadcast_bytes), "host", "left").select("page_id", "url", "html", "template", "steady")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
