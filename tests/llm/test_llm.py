@@ -564,6 +564,24 @@ def test_language_model_base_and_score(docs, corpus):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_contexts_come_from_all_training_text(spark):
+    """A word that is frequent only far into a text is a context, and classes are those of all documents."""
+    rng = random.Random(4)
+    kinds = [[f"{c}{k}" for k in range(40)] for c in "abcdefgh"]
+    texts = [" ".join(rng.choice(kinds[i % 8]) for _ in range(60)) for i in range(160)]
+    texts.append(" ".join(["filler"] * 1500 + ["far"] * 3000))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("train", F.lit(True))
+    one, two = (pylm.learn_contexts(docs, F.col("train"), 7) for _ in range(2))
+    word = pylm.tokens_of(np.frombuffer(b"far", np.uint8), np.array([0, 3]), None).hashes[0]
+    assert word in one.frequent and len(one.frequent) == pylm.FREQUENT - 1
+    assert np.array_equal(one.class_words, two.class_words) and np.allclose(np.exp(one.class_words).sum(0), 1, atol=1e-3)
+    data, at = np.frombuffer("".join(texts[:160]).encode(), np.uint8), np.cumsum([0, *map(len, texts[:160])])
+    found = pylm.tokens_of(data, at, one)
+    kind = found.context[found.hashes == pylm.END] // pylm.FREQUENT
+    assert all(len(set(kind[c::8])) == 1 for c in range(8)) and len(set(kind)) >= 4
+    assert pylm.learn_contexts(docs.limit(0), F.col("train"), 7) is None
+
+
 def test_language_model_sums_to_one():
     """Predictive probabilities of one restaurant's words and of all spellings."""
     counts = np.random.default_rng(0).poisson(0.001, pylm.LETTERS**4)
