@@ -306,6 +306,54 @@ def test_texts_settled_by_different_leaders_meet(spark, seed):
     assert {i: got.get(i, i) for i in texts} == {i: "a" for i in texts}
 
 
+def test_differing_bits_are_at_most_the_runs_apart(spark):
+    """Texts of other lengths, so that bitmaps are folded or cannot be compared."""
+    rng = random.Random(31)
+    texts = [prose(rng, "en", n) for n in (3, 200, 258, 262, 300, 520, 540, 2400)]
+    texts += [" ".join([*t.split()[: k + 1], "other", *t.split()[k + 2 :]]) for t in texts[1:] for k in (1, 50, 120)]
+    data, at = near_dup.flat(pa.array(texts))
+    found, whose, _, _ = near_dup.runs(data, at)
+    bits = near_dup.run_bits(found, whose, len(texts)).to_pylist()
+    assert len({len(x) for x in bits}) > 2
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(bits)], "i int, bits array<long>")
+    other = frame.select(F.col("i").alias("j"), F.col("bits").alias("r_bits"))
+    got = {(r.i, r.j): r.d for r in frame.crossJoin(other).select("i", "j", near_dup.apart_at_least(F.col("bits"), F.col("r_bits")).alias("d")).collect()}
+    runs = [five(t) for t in texts]
+    assert all(d <= len(runs[i] ^ runs[j]) for (i, j), d in got.items()) and all(got[i, i] == 0 for i in range(len(texts)))
+    near = [(i, 8 + 3 * (i - 1) + k) for i in range(1, 8) for k in range(3)]
+    assert all(got[p] >= 0.6 * len(runs[p[0]] ^ runs[p[1]]) > 0 for p in near)
+
+
+def test_near_copies_just_unlike_are_not_all_compared(spark, monkeypatch):
+    """Each text shares most runs with the group, but no two of them are alike."""
+    rng = random.Random(32)
+    base = prose(rng, "en", 200).split()
+    texts = {}
+    for i in range(60):
+        current = list(base)
+        for k in range(4):
+            current[10 + 45 * k + rng.randrange(40)] = f"own{i}x{k}"
+        texts[f"{i:02}"] = " ".join(current)
+    runs = {i: five(x) for i, x in texts.items()}
+    alike = [p for p in itertools.combinations(texts, 2) if len(runs[p[0]] & runs[p[1]]) >= 0.8 * len(runs[p[0]] | runs[p[1]])]
+    compared, verified = [], near_dup.verified
+    monkeypatch.setattr(near_dup, "verified", lambda pairs, *how: compared.append(pairs.count()) or verified(pairs, *how))
+    members = spark.createDataFrame([(0, 7, i) for i in texts], "band int, key long, node string")
+    frame = spark.createDataFrame(list(texts.items()), "node string, text string")
+    got = {r.node: r["class"] for r in near_dup.connected(members, frame, np.ones(64, np.float32), 0.8, 29, 8).collect()}
+    parent = {i: i for i in texts}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in alike:
+        parent[max(top(a), top(b))] = min(top(a), top(b))
+    assert {i: got.get(i, i) for i in texts} == {i: top(i) for i in texts}
+    assert sum(compared) < 59 + 3 * len(alike) + 100
+
+
 def test_large_bucket_of_unlike_leaders(spark):
     """Chains of texts, each like its neighbours only, all in one bucket."""
     rng = random.Random(12)

@@ -13,7 +13,8 @@ texts; those in no component with it choose new leaders among themselves, which
 all of the bucket outside their components, until none is left.  So a bucket costs its size for each
 different kind of text in it, not its square, and other bands draw other leaders.  Components are
 kept from round to round, and only one edge for each two of them is handed on.  After the first
-round, texts that cannot be like any other by what they hold alone are not compared.  In buckets
+round, texts that cannot be like any other by what they hold alone, and pairs whose bitmaps of runs
+differ in too many bits, are not compared.  In buckets
 that had more texts open after the first round than lead in the second, texts that never led and
 are in different components meet at the end, but for pairs out of reach by what other components
 hold, so that no two texts of a bucket that are alike stay apart.  A pair is linked if its exact
@@ -34,13 +35,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.llm.common import staged
 from tidebook.llm.textbytes import LOWER, distinct, flat, mixed, shingles, slices, word_hashes, words
 
 SIZE = 5
+#: What is known of a node by its own text and its set: see shared_at_most.
+BOUNDS = {"n": "double", "w": "double", "s": "double", "sw": "double", "bits": "array<long>"}
 
 
 def runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -248,9 +251,51 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def run_bits(found: np.ndarray, whose: np.ndarray, texts: int) -> pa.ListArray:
+    """A bitmap of each text's runs as 64-bit numbers: a power of two of them, with eight bits or more a run."""
+    many = np.bincount(whose, minlength=texts)
+    size = 2 ** np.ceil(np.log2(np.maximum(many, 256) / 8)).astype(np.int64)
+    begin = np.append(0, np.cumsum(size))
+    on = np.zeros(begin[-1] * 64, np.uint8)
+    on[begin[whose] * 64 + ((found >> np.uint64(20)) & (size[whose] * 64 - 1).astype(np.uint64)).astype(np.int64)] = 1
+    return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(np.packbits(on, bitorder="little").view(np.int64)))
+
+
+def apart_at_least(one: Column, two: Column) -> Column:
+    """At least so many runs are in only one of two texts: in how many bits their bitmaps differ.
+
+    The longer bitmap is folded to half its length where the other has that; for others it is 0."""
+
+    def folded(x: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda a, b: a.bitwiseOR(b))
+
+    def differ(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
+
+    n, m = F.size(one), F.size(two)
+    return F.when(n == m, differ(one, two)).when(n == 2 * m, differ(folded(one), two)).when(m == 2 * n, differ(one, folded(two))).otherwise(0)
+
+
+def reach(least: float, other: str) -> Column:
+    """Whether two nodes may be alike by what shared_at_most tells of both; the second's columns begin with `other`.
+
+    What they share is at most what either shares with any, and a run that only one of them has, of
+    weight 1 or more, takes from both likenesses."""
+
+    def shared(both: str, own: str) -> Column:
+        return F.least(both, f"{other}{both}") * (1 + least) >= least * (F.col(own) + F.col(f"{other}{own}")) - 1e-6
+
+    def total(both: str, own: str) -> Column:
+        return F.when(shared(both, own), F.col(own) + F.col(f"{other}{own}"))
+
+    most = F.greatest(total("s", "n"), total("sw", "w"))
+    return most.isNotNull() & (apart_at_least(F.col("bits"), F.col(f"{other}bits")) * (1 + least) <= (1 - least) * most + 1e-6)
+
+
 def shared_at_most(nodes: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(node, n, w, s, sw) of some nodes: different runs and their weight, and how much of both
-    other nodes of the set hold too.
+    """(node, n, w, s, sw, bits) of some nodes: different runs and their weight, how much of both
+    other nodes of the set hold too, and a bitmap of the runs.
 
     A run that only one node holds is found by an aggregate over runs, which keeps its count and one
     node: no group of nodes is ever gathered.  If the nodes have a class, s and sw are what nodes of
@@ -264,6 +309,13 @@ def shared_at_most(nodes: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataF
                 found, whose, times, _ = runs(data[at[low] : at[high]], at[low : high + 1] - at[low])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[low:high][whose]), pa.array(found.view(np.int64)), pa.array(weights(found, times, idf).astype(float))], names=["id", "run", "weight"])
 
+    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = flat(batch.column("text"))
+            for low, high in slices(at, 2_000_000):
+                found, whose, _, _ = runs(data[at[low] : at[high]], at[low : high + 1] - at[low])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(low, high - low), run_bits(found, whose, high - low)], names=["id", "bits"])
+
     some = texts.join(nodes.select("node").distinct(), "node").select(F.xxhash64("node").alias("id"), "text")
     every = staged(some.mapInArrow(unfold, "id long, run long, weight double"))
     if "class" in nodes.columns:
@@ -275,6 +327,7 @@ def shared_at_most(nodes: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataF
     alone = alone.groupBy("id").agg(F.count(F.lit(1)).alias("u"), F.sum("weight").alias("uw"))
     whole = every.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).join(alone, "id", "left")
     bound = whole.select("id", "n", "w", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"), (F.col("w") - F.coalesce("uw", F.lit(0.0))).alias("sw"))
+    bound = bound.join(some.mapInArrow(bitmaps, "id long, bits array<long>"), "id")
     return staged(nodes.select("node").distinct().withColumn("id", F.xxhash64("node")).join(bound, "id").drop("id"))
 
 
@@ -287,14 +340,10 @@ def across(rest: DataFrame, texts: DataFrame, idf: np.ndarray, least: float, blo
     apart = staged(rest.join(split, ["band", "key"]))
     known = shared_at_most(apart.select("node", "class"), texts, idf)
     apart = staged(apart.join(known, "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
-    columns = ["node", "class", "n", "w", "s", "sw"]
+    columns = ["node", "class", *BOUNDS]
     left = apart.select("band", "key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), *columns)
     right = apart.select("band", "key", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"r_{c}") for c in columns])
-
-    def reach(both: str, own: str):
-        return F.least(both, f"r_{both}") * (1 + least) >= least * (F.col(own) + F.col(f"r_{own}")) - 1e-6
-
-    met = left.join(right, ["band", "key", "i", "j"]).where((F.col("class") != F.col("r_class")) & ((F.col("i") < F.col("j")) | (F.col("node") < F.col("r_node"))) & (reach("s", "n") | reach("sw", "w")))
+    met = left.join(right, ["band", "key", "i", "j"]).where((F.col("class") != F.col("r_class")) & ((F.col("i") < F.col("j")) | (F.col("node") < F.col("r_node"))) & reach(least, "r_"))
     return met.select(F.least("node", "r_node").alias("a"), F.greatest("node", "r_node").alias("b")).distinct()
 
 
@@ -321,7 +370,8 @@ def connected(members: DataFrame, texts: DataFrame, idf: np.ndarray, least: floa
     times as many as before lead in each further round.  A leader meets every text of its bucket that is
     not in its component, but for texts that cannot be like it: what two texts share is at most what
     each shares with any text of the large buckets (more than `large` texts) still open, so a text
-    with many runs of its own is out of reach, and is never compared.  No link is lost by that.
+    with many runs of its own is out of reach, and is never compared.  Nor are two texts whose bitmaps of
+    runs differ in more bits than alike texts have runs apart.  No link is lost by that.
 
     A bucket is done when each of its texts has led or is in the component of one that led first,
     or, where more texts are open after the first round than lead in the second, when in the end
@@ -343,16 +393,12 @@ def connected(members: DataFrame, texts: DataFrame, idf: np.ndarray, least: floa
         if bounds is not None:
             live = live.join(bounds, ["band", "key", "node"], "left")
         else:
-            live = live.select("*", *[F.lit(None).cast("double").alias(c) for c in ("n", "w", "s", "sw")])
+            live = live.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in BOUNDS.items()])
         live = staged(live)
-        ahead = live.select("band", "key", F.col("node").alias("leader"), F.col("class").alias("l_class"), *[F.col(c).alias(f"l_{c}") for c in ("n", "w", "s", "sw")])
+        ahead = live.select("band", "key", F.col("node").alias("leader"), F.col("class").alias("l_class"), *[F.col(c).alias(f"l_{c}") for c in BOUNDS])
         ahead = leaders.join(ahead, ["band", "key", "leader"])
-
-        def reach(both: str, own: str):
-            return F.least(both, f"l_{both}") * (1 + least) >= least * (F.col(own) + F.col(f"l_{own}")) - 1e-6
-
         unknown = F.col("n").isNull() | F.col("l_n").isNull()
-        led = live.join(ahead, ["band", "key"]).where((F.col("class") != F.col("l_class")) & (unknown | reach("s", "n") | reach("sw", "w")))
+        led = live.join(ahead, ["band", "key"]).where((F.col("class") != F.col("l_class")) & (unknown | reach(least, "l_")))
         pairs = led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
@@ -369,7 +415,7 @@ def connected(members: DataFrame, texts: DataFrame, idf: np.ndarray, least: floa
             big = wide.groupBy("band", "key").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > large).select("band", "key")
             # A bound holds among the nodes of large buckets only.
             wide = wide.join(big, ["band", "key"], "left_semi")
-            bounds = staged(wide.join(shared_at_most(wide, texts, idf), "node").select("band", "key", "node", *[F.col(c).cast("double").alias(c) for c in ("n", "w", "s", "sw")]))
+            bounds = staged(wide.join(shared_at_most(wide, texts, idf), "node").select("band", "key", "node", *[F.col(c).cast(kind).alias(c) for c, kind in BOUNDS.items()]))
         if open_.isEmpty():
             break
         leading, turn = 16 * leading, turn + 1
