@@ -236,6 +236,19 @@ def test_pii_is_native_and_takes_nothing(nothing):
     assert "Python" not in pii.find(nothing)._jdf.queryExecution().toString()
 
 
+def test_quality_looks_at_slices_of_a_batch(monkeypatch):
+    """A batch of many texts is not unfolded at once; a longer text is one slice."""
+    texts = [prose(random.Random(i), "en", 100) for i in range(1500)] + ["word " * 100_000, None, ""]
+    fitted = quality.Fitted(np.arange(3.0**8), np.linspace(-1, 1, quality.BUCKETS + 1))
+    seen, look = [], quality.look
+    monkeypatch.setattr(quality, "look", lambda data, at: seen.append((len(data), len(at) - 1)) or look(data, at))
+    weak, scores = fitted.judge(pa.array(texts))
+    assert max(n for n, rows in seen if rows > 1) <= 500_000 and sum(rows for _, rows in seen) == len(texts)
+    for i in (0, 700, 1499, 1500, 1501):
+        one = fitted.judge(pa.array([texts[i]], pa.string()))
+        assert weak[i] == one[0][0] and math.isclose(scores[i], one[1][0])
+
+
 # --- near duplicates
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.llm.common import staged
-from tidebook.llm.textbytes import LOWER, distinct, flat, mixed, shingles, slices, word_hashes, words
+from tidebook.llm.textbytes import LOWER, SLICE, distinct, flat, mixed, shingles, slices, word_hashes, words
 
 SIZE = 5
 #: What is known of a node by its own text and its set: see shared_at_most.
@@ -122,7 +122,7 @@ def document_counts(docs: DataFrame, cells: int) -> tuple[np.ndarray, int]:
         for batch in batches:
             data, at = flat(batch.column(0))
             texts += len(batch)
-            for low, high in slices(at, 2_000_000):
+            for low, high in slices(at, SLICE):
                 found = runs(data[at[low] : at[high]], at[low : high + 1] - at[low])[0]
                 sums += np.bincount((found >> np.uint64(11)).astype(np.int64) % cells, minlength=cells)
         block = 4096
@@ -173,7 +173,7 @@ def signed(docs: DataFrame, idf: np.ndarray, bands: int, rows: int, seed: int) -
             sampler_of.append(Sampler(bands * rows, seed))
         for batch in batches:
             data, at = flat(batch.column("text"))
-            for low, high in slices(at, 1_500_000):
+            for low, high in slices(at, SLICE):
                 part, begin = data[at[low] : at[high]], at[low : high + 1] - at[low]
                 found, whose, times, n = runs(part, begin)
                 has = np.flatnonzero(n)
@@ -210,7 +210,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float)
             one, one_at = flat(batch.column("text_a"))
             two, two_at = flat(batch.column("text_b"))
             good = np.zeros(len(batch), bool)
-            for low, high in slices(one_at + two_at, 2_000_000):
+            for low, high in slices(one_at + two_at, SLICE):
                 sides = []
                 for data, at in ((one, one_at), (two, two_at)):
                     found, whose, times, _ = runs(data[at[low] : at[high]], at[low : high + 1] - at[low])
@@ -305,14 +305,14 @@ def shared_at_most(nodes: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataF
         for batch in batches:
             data, at = flat(batch.column("text"))
             ids = batch.column("id").to_numpy()
-            for low, high in slices(at, 2_000_000):
+            for low, high in slices(at, SLICE):
                 found, whose, times, _ = runs(data[at[low] : at[high]], at[low : high + 1] - at[low])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[low:high][whose]), pa.array(found.view(np.int64)), pa.array(weights(found, times, idf).astype(float))], names=["id", "run", "weight"])
 
     def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = flat(batch.column("text"))
-            for low, high in slices(at, 2_000_000):
+            for low, high in slices(at, SLICE):
                 found, whose, _, _ = runs(data[at[low] : at[high]], at[low : high + 1] - at[low])
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(low, high - low), run_bits(found, whose, high - low)], names=["id", "bits"])
 

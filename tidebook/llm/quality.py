@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm.common import sampled
-from tidebook.llm.textbytes import LOWER, distinct, flat, mixed, powers, slices, word_hashes, words
+from tidebook.llm.textbytes import LOWER, SLICE, distinct, flat, mixed, powers, slices, word_hashes, words
 
 LABELLERS = ("capitals", "marks", "lone_marks", "ending_marks", "repeats", "variety", "word_length", "sentences")
 BUCKETS = 1 << 15
@@ -163,7 +163,7 @@ class Fitted:
         """Weak label's posterior and score of every text."""
         data, at = flat(text)
         weak, scores = [np.zeros(0)], [np.zeros(0)]
-        for low, high in slices(at, 2_000_000):
+        for low, high in slices(at, SLICE):
             votes, n, (doc, word, shape) = look(data[at[low] : at[high]], at[low : high + 1] - at[low])
             total = np.bincount(doc, self.weights[word] + self.weights[shape], high - low) / np.maximum(n, 1) + self.weights[-1]
             weak.append(self.posterior[pattern_of(votes)])
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, train_docs: int, id_col: str, text_col: str) -> Fitted
         counts: Counter[int] = Counter()
         for batch in batches:
             data, at = flat(batch.column("text"))
-            for low, high in slices(at, 2_000_000):
+            for low, high in slices(at, SLICE):
                 counts.update(pattern_of(look(data[at[low] : at[high]], at[low : high + 1] - at[low])[0]).tolist())
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["pattern", "n"])
 
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, train_docs: int, id_col: str, text_col: str) -> Fitted
         # Features of a slice at a time, so that the driver holds no more than their counts.
         data, at = flat(sample["text"])
         parts = []
-        for low, high in slices(at, 1_000_000):
+        for low, high in slices(at, SLICE):
             votes, n, (doc, word, shape) = look(data[at[low] : at[high]], at[low : high + 1] - at[low])
             found, whose, times = distinct(np.append(word, shape).astype(np.uint64), np.append(doc, doc))
             value = (times / np.maximum(n[whose], 1)).astype(np.float32)
