@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import staged
+from tidebook.llm.common import handing_back, staged
 from tidebook.llm.textbytes import LOWER, SLICE, distinct, flat, mixed, shingles, slices, word_hashes, words
 
 SIZE = 5
@@ -129,7 +129,7 @@ def document_counts(docs: DataFrame, cells: int) -> tuple[np.ndarray, int]:
         for low in range(0, cells, block):
             yield pa.RecordBatch.from_arrays([pa.array([low]), pa.array([sums[low : low + block]]), pa.array([texts if not low else 0])], names=["low", "sums", "texts"])
 
-    parts = docs.select("text").mapInArrow(count, "low long, sums array<long>, texts long")
+    parts = docs.select("text").mapInArrow(handing_back(count), "low long, sums array<long>, texts long")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Row by row, so that a part of the table never holds more than its sums.
@@ -194,7 +194,7 @@ def signed(docs: DataFrame, idf: np.ndarray, bands: int, rows: int, seed: int) -
                     names=["doc_id", "_k1", "_k2", "node", "keys"],
                 )
 
-    return docs.select("doc_id", "text", "_k1", "_k2").mapInArrow(sign, f"doc_id {kind}, _k1 long, _k2 int, node string, keys array<long>")
+    return docs.select("doc_id", "text", "_k1", "_k2").mapInArrow(handing_back(sign), f"doc_id {kind}, _k1 long, _k2 int, node string, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
@@ -226,7 +226,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float)
                 good[low:high] = near & (shared > 0)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], names=["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(alike, "a string, b string")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(handing_back(alike), "a string, b string")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -317,7 +317,7 @@ def shared_at_most(nodes: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataF
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(low, high - low), run_bits(found, whose, high - low)], names=["id", "bits"])
 
     some = texts.join(nodes.select("node").distinct(), "node").select(F.xxhash64("node").alias("id"), "text")
-    every = staged(some.mapInArrow(unfold, "id long, run long, weight double"))
+    every = staged(some.mapInArrow(handing_back(unfold), "id long, run long, weight double"))
     if "class" in nodes.columns:
         classed = every.join(nodes.select(F.xxhash64("node").alias("id"), "class").distinct(), "id")
         own = classed.groupBy("run").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low = high").select("run")
@@ -327,7 +327,7 @@ def shared_at_most(nodes: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataF
     alone = alone.groupBy("id").agg(F.count(F.lit(1)).alias("u"), F.sum("weight").alias("uw"))
     whole = every.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).join(alone, "id", "left")
     bound = whole.select("id", "n", "w", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"), (F.col("w") - F.coalesce("uw", F.lit(0.0))).alias("sw"))
-    bound = bound.join(some.mapInArrow(bitmaps, "id long, bits array<long>"), "id")
+    bound = bound.join(some.mapInArrow(handing_back(bitmaps), "id long, bits array<long>"), "id")
     return staged(nodes.select("node").distinct().withColumn("id", F.xxhash64("node")).join(bound, "id").drop("id"))
 
 

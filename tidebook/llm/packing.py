@@ -21,7 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.textbytes import IS_SPACE, LOWER, flat, slices, word_hashes, words
+from tidebook.llm.common import handing_back
+from tidebook.llm.textbytes import IS_SPACE, LOWER, SLICE, flat, slices, word_hashes, words
 
 #: Classes of bytes: space, letters that the tokenizer keeps in one run, marks that it keeps in
 #: one run, anything else.
@@ -128,7 +129,8 @@ class UnitTokenizer:
         if whole.any():  # those keep their capitals
             hashes[whole] = word_hashes(data, begins[whole], stops[whole]) ^ np.uint64(1)
         different, sample, back = np.unique(hashes, return_index=True, return_inverse=True)
-        new = ~np.isin(different, self.hashes, assume_unique=True)
+        place = np.minimum(np.searchsorted(self.hashes, different), max(len(self.hashes) - 1, 0))
+        new = self.hashes[place] != different if len(self.hashes) else np.ones(len(different), bool)
         if new.any():
             if len(self.hashes) + new.sum() > self.most:
                 # All units of these texts are needed at once, however many they are.
@@ -160,7 +162,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
         known = encoder(tokenizer)
         for batch in batches:
             data, at = flat(batch.column(1))
-            for low, high in slices(at, 2_000_000):
+            for low, high in slices(at, 2 * SLICE):
                 ids, first = known.encode(data[at[low] : at[high]], at[low : high + 1] - at[low])
                 ids = np.insert(ids, first[1:], end_id).astype("<u4")
                 total = np.diff(first) + 1
@@ -178,7 +180,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        cut, f"doc_id {kind}, start long, ids binary, doc_tokens long"
+        handing_back(cut), f"doc_id {kind}, start long, ids binary, doc_tokens long"
     )
 
 

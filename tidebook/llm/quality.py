@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import sampled
+from tidebook.llm.common import handing_back, sampled
 from tidebook.llm.textbytes import LOWER, SLICE, distinct, flat, mixed, powers, slices, word_hashes, words
 
 LABELLERS = ("capitals", "marks", "lone_marks", "ending_marks", "repeats", "variety", "word_length", "sentences")
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, train_docs: int, id_col: str, text_col: str) -> Fitted
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     counts = np.zeros(3 ** len(LABELLERS), np.int64)
-    for r in texts.select("text").mapInArrow(ballot, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect():
+    for r in texts.select("text").mapInArrow(handing_back(ballot), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect():
         counts[r["pattern"]] = r["n"]
     if not counts.sum():
         return None
@@ -218,7 +218,7 @@ def rate(
             weak, score = fitted.judge(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(weak), pa.array(score), pa.array(score >= threshold)], names=["doc_id", "weak", "score", "keep"])
 
-    return rows.mapInArrow(judge, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, weak double, score double, keep boolean")
+    return rows.mapInArrow(handing_back(judge), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, weak double, score double, keep boolean")
 
 
 def kept_documents(
@@ -233,4 +233,4 @@ def kept_documents(
         for batch in batches:
             yield batch.filter(pa.array(fitted.judge(batch.column(text_col))[1] >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(handing_back(keep), docs.schema)
