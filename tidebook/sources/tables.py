@@ -39,29 +39,32 @@ def _price(rough: bool = False) -> Column:
 def trades(spark: SparkSession, root: str, lineitem: DataFrame | None = None) -> DataFrame:
     """One row per trade with its buying and selling participant."""
     li = table(spark, root, "lineitem") if lineitem is None else lineitem
-    orders = table(spark, root, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, root, "customer").select("c_custkey", _participant("c_nationkey", "participant_buy"))
     supplier = table(spark, root, "supplier").select("s_suppkey", _participant("s_nationkey", "participant_sell"))
+    return _sided(spark, root, li, customer, supplier).select(
+        "ticker",
+        F.col("l_shipdate").cast("date").alias("trade_date"),
+        "participant_buy",
+        "participant_sell",
+        F.col("l_quantity").alias("volume"),
+        (_price() * F.col("l_quantity")).alias("value"),
+        F.col("l_linestatus").alias("line_status"),
+        F.col("l_returnflag").alias("return_flag"),
+        # what a stream adds to the rows it delivers
+        *[c for c in ("delivery",) if c in li.columns],
+    )
+
+
+def _sided(spark: SparkSession, root: str, lineitem: DataFrame, customer: DataFrame, supplier: DataFrame) -> DataFrame:
+    """Line items with the part's ticker and price and the columns of their customer and supplier."""
+    orders = table(spark, root, "orders").select("o_orderkey", "o_custkey")
     part = table(spark, root, "part").select("p_partkey", _ticker(), "p_retailprice")
-    buyers = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "participant_buy")
-    price = F.col("p_retailprice") * (F.lit(1.0) - F.col("l_discount"))
+    buyers = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
     return (
         # Both sides grow with the data, so neither may be broadcast at any scale.
-        li.join(buyers.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+        lineitem.join(buyers.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .select(
-            "ticker",
-            F.col("l_shipdate").cast("date").alias("trade_date"),
-            "participant_buy",
-            "participant_sell",
-            F.col("l_quantity").alias("volume"),
-            (_price() * F.col("l_quantity")).alias("value"),
-            F.col("l_linestatus").alias("line_status"),
-            F.col("l_returnflag").alias("return_flag"),
-            # what a stream adds to the rows it delivers
-            *[c for c in ("delivery",) if c in li.columns],
-        )
     )
 
 
@@ -120,26 +123,33 @@ def trade_legs(spark: SparkSession, root: str) -> DataFrame:
     the nation of one is not known. The number of rows is bounded by the calendar, not by the
     trades, so a query that needs both kinds of rows stages these and reads the trades once.
     """
-    nation = table(spark, root, "nation")
-    sides = [
-        nation.select(_participant("n_nationkey", f"participant_{side}"), F.struct(F.col("n_regionkey").alias("region")).alias(side))
-        for side in ("buy", "sell")
-    ]
-    rows = trades(spark, root).join(sides[0], "participant_buy", "left").join(sides[1], "participant_sell", "left")
+    nation = table(spark, root, "nation").select("n_nationkey", F.struct(F.col("n_regionkey").alias("region")).alias("of"))
+
+    def placed(name: str, key: str, number: str, side: str) -> DataFrame:
+        # Nations are met by customers and suppliers, not once more by every trade, and stay
+        # numbers until the sums are made.
+        known = table(spark, root, name).join(nation, F.col(number) == F.col("n_nationkey"), "left")
+        return known.select(key, F.col(number).alias(f"nation_{side}"), F.col("of").alias(side))
+
+    sides = (placed("customer", "c_custkey", "c_nationkey", "buy"), placed("supplier", "s_suppkey", "s_nationkey", "sell"))
+    rows = _sided(spark, root, table(spark, root, "lineitem"), *sides).withColumns(
+        {"volume": F.col("l_quantity"), "value": _price() * F.col("l_quantity")}
+    )
     crosses = F.when(F.col("buy").isNotNull() & F.col("sell").isNotNull(), F.coalesce(F.col("buy.region") != F.col("sell.region"), F.lit(False)))
     legs = rows.select(
         "ticker",
-        "trade_date",
-        "line_status",
-        "return_flag",
+        F.col("l_shipdate").cast("date").alias("trade_date"),
+        F.col("l_linestatus").alias("line_status"),
+        F.col("l_returnflag").alias("return_flag"),
         crosses.alias("crosses"),
         F.expr(
-            "stack(2, participant_buy, buy.region, volume, value, 0D, 0D, volume IS NOT NULL, participant_sell, sell.region, 0D, 0D, volume, value, FALSE)"
-            " AS (participant, region, buy_volume, buy_value, sell_volume, sell_value, known)"
+            "stack(2, nation_buy, buy.region, volume, value, 0D, 0D, volume IS NOT NULL, nation_sell, sell.region, 0D, 0D, volume, value, FALSE)"
+            " AS (nation, region, buy_volume, buy_value, sell_volume, sell_value, known)"
         ),
     )
-    keys = ("ticker", "trade_date", "participant", "region", "line_status", "return_flag", "crosses")
-    return legs.groupBy(*keys).agg(*leg_sums(), F.max("known").alias("known"))
+    keys = ("ticker", "trade_date", "nation", "region", "line_status", "return_flag", "crosses")
+    sums = legs.groupBy(*keys).agg(*leg_sums(), F.max("known").alias("known"))
+    return sums.withColumn("participant", _participant("nation", "participant")).drop("nation")
 
 
 def broker_flows(spark: SparkSession, root: str, all_verified: bool = False, legs: DataFrame | None = None) -> DataFrame:
