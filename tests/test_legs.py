@@ -1,8 +1,10 @@
 """Sums of trades by side: nations are met before the trades, and by number."""
 
 import datetime as dt
+import threading
 from collections import defaultdict
 
+from tidebook.functions import frames
 from tidebook.sources import tables
 
 
@@ -42,3 +44,15 @@ def test_legs_equal_a_plain_count(spark, tmp_path):
     # Trades are summed by numbers: no text of a participant is made or met for each of them.
     plan = legs._jdf.queryExecution().optimizedPlan().toString()
     assert "participant_buy" not in plan and "participant_sell" not in plan
+
+
+def test_frames_are_staged_at_the_same_time(spark, monkeypatch):
+    gate, one = threading.Barrier(2, timeout=60), frames.staged
+
+    def met(df, name):
+        gate.wait()  # fails unless both are under way
+        return one(df, name)
+
+    monkeypatch.setattr(frames, "staged", met)
+    a, b = frames.staged_together({"a": spark.range(3), "b": spark.range(5)})
+    assert (a.count(), b.count()) == (3, 5)

@@ -6,7 +6,9 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -119,6 +121,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_together(frames: dict[str, DataFrame]) -> list[DataFrame]:
+    """Frames staged by jobs that run at the same time, so that one's joins are prepared in the
+    driver, or its last tasks end, while the tasks of another fill the cores."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return list(pool.map(inheritable_thread_target(staged), frames.values(), frames))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is None:
         return  # the session has ended: its cluster clears the folder

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook import config as C
-from tidebook.functions.frames import one_row, staged
+from tidebook.functions.frames import one_row, staged, staged_together
 from tidebook.functions.scalars import moment
 from tidebook.operators import bars as B
 from tidebook.operators import broker as K
@@ -464,9 +464,9 @@ def _result_sql(scan: str) -> str:
 def _scan(spark: SparkSession, root: str, broker: str | None) -> DataFrame:
     """The bars, read by the evidence choice and by the scan, are stored once, as a job would; so are
     the sums that broker rows and foreign flow are both made of."""
-    legs = staged(T.trade_legs(spark, root), "legs")
+    legs, bars = staged_together({"legs": T.trade_legs(spark, root), "bars": T.bars(spark, root)})
     rows = None if broker is None else T.broker_flows(spark, root, all_verified=broker == "verified", legs=legs)
-    bars, names = staged(T.bars(spark, root), "bars"), T.universe(spark, root)
+    names = T.universe(spark, root)
     flow = evidence.prepare_foreign_evidence(names, staged(T.foreign_flows(spark, root, legs), "foreign"), bars)
     return S.scan_universe(names, bars, rows, flow)
 
@@ -503,9 +503,8 @@ def scan_errors(spark, root):
 
 def _funnel(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """First pass, finalists and verified finalists; shared inputs are stored once, as a job would."""
-    legs = staged(T.trade_legs(spark, root), "legs")
-    bars, flow = staged(T.bars(spark, root), "bars"), staged(T.foreign_flows(spark, root, legs), "foreign")
-    names = T.universe(spark, root)
+    legs, bars = staged_together({"legs": T.trade_legs(spark, root), "bars": T.bars(spark, root)})
+    flow, names = staged(T.foreign_flows(spark, root, legs), "foreign"), T.universe(spark, root)
     flow = staged(evidence.prepare_foreign_evidence(names, flow, bars), "evidence")
     first = S.scan_universe(names, bars, None, flow)
     finalists = staged(funnel.select_guarded_top5(first), "finalists")
