@@ -248,6 +248,17 @@ def test_audit_is_that_of_brute_force(spark):
     assert all(r.good_lost == 0 for r in filter_audit.audit(frame, marks.limit(0)).collect())
 
 
+def test_audit_broadcasts_neither_labels_nor_repeats(spark):
+    """A salted copy of labels is many times their file, and the driver would hold it; rows of one id keep their label."""
+    docs = [(i, f"text {i // 2}", "s", 1, "x") for i in range(200)] + [(7, f"more {k}", "s", 1, "x") for k in range(300)] + [(None, "w", "s", 1, "x")] * 50
+    frame, marks = spark.createDataFrame(docs, DOCS).repartition(5), spark.createDataFrame([(i, 1, i % 2) for i in range(0, 300)], LABELS)
+    judged = filter_audit.judged(frame, marks)
+    rows = judged.collect()
+    assert "Broadcast" not in judged._jdf.queryExecution().executedPlan().toString()
+    assert len(rows) == len(docs) and sum(r.good for r in rows) == 500 and sum(r.toxic for r in rows) == 400
+    assert sorted(r.doc_id for r in rows if r.fails >> 4 & 1) == list(range(1, 200, 2))
+
+
 @given(st.sets(st.integers(0, 60)), st.sets(st.integers(0, 60)))
 def test_posting_lists_unite_and_differ_as_sets(x, y):
     a, b = np.array(sorted(x), np.int32), np.array(sorted(y), np.int32)

@@ -10,7 +10,9 @@ sizes of such lists.  Sizes add up over ranges, so ranges are worked through on
 
 On Spark: texts become narrow rows (id, part, failures, hash) in one scan; the least id of equal
 texts comes from an aggregate and goes back by a join, as labels do, both salted, so that a text,
-id or null that very many rows share is spread; ranges are cut from an exchange by range of ids,
+id or null that very many rows share is spread; only salts that rows of a key have get a copy of
+what goes back, so copies are never more than documents; both are merge joins, as a salted copy is
+many times what its file's size tells the optimizer, and the driver builds what is broadcast; ranges are cut from an exchange by range of ids,
 at most `range_docs` rows each, whatever the ids are.
 
 Defined results: a null text is empty; a null source is the part of the empty string; a null
@@ -68,14 +70,15 @@ def judged(docs: DataFrame, labels: DataFrame, salts: int = 16) -> DataFrame:
             F.unhex(F.sha2(text, 256)).alias("digest"), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int").alias("salt"),
         )
     )
-    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    least = narrow.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"))
+    seen = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("salt"))).alias("seen")
+    salt = F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda x: F.getbit("seen", x) == 1)).alias("salt")
+    least = narrow.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), seen)
     least = least.where("least < last").select("digest", "least", salt)
     marks = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic")
     )
-    marks = marks.where("good OR toxic").select("*", salt)
-    rows = narrow.join(least, ["digest", "salt"], "left").join(marks, ["doc_id", "salt"], "left")
+    marks = marks.where("good OR toxic").hint("merge").join(narrow.groupBy("doc_id").agg(seen), "doc_id").select("doc_id", "good", "toxic", salt)
+    rows = narrow.join(least.hint("merge"), ["digest", "salt"], "left").join(marks.hint("merge"), ["doc_id", "salt"], "left")
     repeats = F.when(F.col("doc_id") > F.col("least"), F.lit(1 << FILTERS.index(REPEATS))).otherwise(F.lit(0))
     false = F.lit(False)
     return rows.select(
