@@ -643,6 +643,36 @@ def test_contexts_come_from_all_training_text(spark):
     assert pylm.learn_contexts(docs.limit(0), F.col("train"), 7) is None
 
 
+def test_every_word_before_is_a_context(spark):
+    """Words that always follow one word, none of the most frequent, are likelier after it than after others."""
+    rng = random.Random(6)
+    pairs = [f"left{i} right{i}" for i in range(120)]
+    texts = [" ".join(rng.choice(pairs) for _ in range(30)) for _ in range(120)] + ["left3 right3 left4 right4", "left3 right4 left4 right3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in pylm.score(docs, F.col("doc_id") >= 120, range_bytes=5000, part_bytes=7000).collect()}
+    assert len(got) == len(texts) and abs(got[120].base_score - got[121].base_score) < 1e-9 and got[120].n_known == got[121].n_known == 5
+    assert got[120].score > got[121].score + 2
+
+
+def test_classes_count_null_texts_as_empty(spark):
+    texts = ["a b c d"] * 5 + ["e f g h"] * 7
+    one, two = (
+        pylm.learn_contexts(spark.createDataFrame([(t, True) for t in [*texts, *[x] * 9]], "text string, train boolean"), F.col("train"), 7) for x in (None, "")
+    )
+    assert np.array_equal(one.class_share, two.class_share) and np.array_equal(one.class_words, two.class_words)
+
+
+def test_one_sort_gives_pairs_in_order():
+    """Also where hashes share all bits that the sort looks at."""
+    rng = np.random.default_rng(3)
+    for low in (0, 1 << 62):
+        major, minor = (rng.integers(0, 9, 500).astype(np.uint64) * np.uint64(1 << 60) + np.uint64(low) // np.uint64(1 << 58) * rng.integers(0, 3, 500).astype(np.uint64) for _ in range(2))
+        a, b, (n,), token, back = pylm.by_before(major, minor, np.ones(500, np.int64))
+        want = collections.Counter(zip(major.tolist(), minor.tolist(), strict=True))
+        assert list(zip(a.tolist(), b.tolist(), n.tolist(), strict=True)) == [(*k, want[k]) for k in sorted(want)]
+        assert np.array_equal(a[back], major) and np.array_equal(b[back], minor) and np.array_equal(major[token], a)
+
+
 def test_language_model_sums_to_one():
     """Predictive probabilities of one restaurant's words and of all spellings."""
     counts = np.random.default_rng(0).poisson(0.001, pylm.LETTERS**4)
